@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_tree, chunk_recipes, feistel_shards
+from millrace.llm import bpe_tree, chunk_recipes, feistel_shards, subword_toxicity, vantage_simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,15 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword_toxicity.toxicity(docs, subword_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -25,7 +34,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_feistel_shards, op9_bpe_tree, op10_chunk_recipes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_feistel_shards, op6_vantage_simhash, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_chunk_recipes": """
