@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_tree, chunk_recipes, feistel_shards, subword_toxicity, vantage_simhash
+from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, feistel_shards, subword_toxicity, token_attribution, vantage_simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard_rows(table(spark, sf_dir, "documents"), shards=16)
 
@@ -34,7 +42,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_feistel_shards, op6_vantage_simhash, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_chunk_recipes": """
