@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, feistel_shards, subword_toxicity, token_attribution, vantage_simhash
+from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, credential_grammar, feistel_shards, repeat_intervals, subword_toxicity, token_attribution, vantage_simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_credential_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_grammar.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents")
+    # Context windows of 2,000 characters, whose borders most often cut a token.
+    starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(2000)))
+    windows = docs.withColumn("windows", F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + 2000, F.length("text")).alias("end"))))
+    return token_attribution.section_tokens(windows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, sections="windows")
 
 
 def op4_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +38,10 @@ def op6_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_intervals.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return subword_toxicity.toxicity(docs, subword_toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -42,7 +55,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_credential_grammar, op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op7_repeat_intervals, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_chunk_recipes": """
