@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, credential_grammar, feistel_shards, repeat_intervals, subword_toxicity, token_attribution, vantage_simhash
+from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, credential_grammar, feistel_shards, repeat_intervals, subword_toxicity, token_attribution, tool_calls, vantage_simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_credential_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_grammar.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    return tool_calls.link_tool_calls(tool_calls.calls_of(chats), tool_calls.results_of(chats), tool_calls.tools_of(chats))
+
+
 def op3_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # Context windows of 2,000 characters, whose borders most often cut a token.
@@ -55,9 +60,36 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_credential_grammar, op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op7_repeat_intervals, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_credential_grammar, op2_tool_calls, op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op7_repeat_intervals, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_tool_calls": """
+        WITH RECURSIVE asked AS (
+            SELECT conv_id, turn, coalesce(text, '') AS body, length(coalesce(text, '')) AS size, turn % 2 AS odd, (turn + turn % 2) // 2 - 1 AS number
+            FROM conversations WHERE role = 'assistant'
+        ), calls AS (
+            SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id,
+                CASE WHEN number > 0 THEN 'call_' || conv_id || '_' || (2 * ((number - 1) // 2) + 2 - odd) END AS parent_id,
+                CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'summarise' ELSE 'translate' END AS name,
+                CASE turn % 3
+                    WHEN 0 THEN '{"limit":' || (size % 10) || ',"query":' || to_json(body) || '}'
+                    WHEN 1 THEN '{"text":' || to_json(body) || ',"words":' || CASE WHEN size % 7 = 0 THEN '"' || size || '"' ELSE size::VARCHAR END || '}'
+                    ELSE CASE WHEN size % 5 = 0 THEN '{"into":"en","text":' || to_json(body) || '}' ELSE '{"text":' || to_json(body) || ',"to":"en"}' END
+                END AS arguments,
+                CASE WHEN turn % 3 = 1 AND size % 7 = 0 THEN 'type:words' WHEN turn % 3 = 2 AND size % 5 = 0 THEN 'missing:to,unknown:into' ELSE '' END AS errors
+            FROM asked
+        ), forest AS (
+            SELECT call_id, 0::BIGINT AS level FROM calls WHERE parent_id IS NULL OR parent_id NOT IN (SELECT call_id FROM calls)
+            UNION ALL
+            SELECT c.call_id, f.level + 1 FROM calls c JOIN forest f ON c.parent_id = f.call_id
+        ), results AS (
+            SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content, true AS answered FROM conversations WHERE role = 'user' AND turn > 0
+        )
+        SELECT conv_id, call_id,
+            CASE WHEN name IS NULL THEN 'orphan' WHEN answered IS NULL THEN 'pending' ELSE 'linked' END AS status,
+            level, name, CASE WHEN name IS NOT NULL THEN errors = '' END AS valid, errors,
+            '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
+        FROM calls FULL JOIN results USING (conv_id, call_id) LEFT JOIN forest USING (call_id)""",
     "op10_chunk_recipes": """
         WITH normal AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
