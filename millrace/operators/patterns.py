@@ -38,7 +38,7 @@ def tokens(line: Column, most: int = MAX_LENGTH) -> Column:
     cut = F.when(F.octet_length(line) > most, F.make_valid_utf8(F.substring(F.encode(line, "UTF-8"), 1, most).cast("string"))).otherwise(line)
     dated = (F.octet_length(cut) > 23) & (F.substring(cut, 5, 1) == "-") & (F.substring(cut, 8, 1) == "-")
     rest = F.when(dated, F.substring(cut, F.lit(24), F.length(cut))).otherwise(cut)
-    return F.filter(F.transform(F.split(rest, CUTTERS), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(rest, CUTTERS), lambda w: F.trim(w)), lambda w: w != "")
 
 
 def flagged(word: Column) -> Column:

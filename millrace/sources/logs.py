@@ -22,15 +22,18 @@ def no_tags() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def _lines(reader, paths, pattern: str | None = None, charset: str | None = None) -> DataFrame:
-    df = reader.text(paths)
-    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    df = df.select(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace(decoded(F.col("value"), charset), "\r$", "").alias("line"))
+def _shaped(df: DataFrame, pattern: str | None = None, charset: str | None = None) -> DataFrame:
+    df = df.withColumn("line", F.regexp_replace(decoded(F.col("line"), charset), "\r$", ""))
     tags = path_tags(F.col("path"), pattern) if pattern else no_tags()
     df = df.filter(path_matches(F.col("path"), pattern)) if pattern else df
     return df.withColumns({"path_tags": tags, "log_tags": no_tags()})
 
 
+def _lines(reader, paths, pattern: str | None = None, charset: str | None = None) -> DataFrame:
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return _shaped(reader.text(paths).select(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")), pattern, charset)
+
+
 def read_log_lines(spark: SparkSession, paths: list[str], charset: str | None = None) -> DataFrame:
     """Lines of the files at exact paths or globs."""
     return _lines(spark.read, [checked_glob(p) for p in paths], charset=charset)
@@ -48,9 +51,18 @@ def read_template(spark: SparkSession, directory: str, template: str) -> DataFra
     return read_matching(spark, directory, template_regexp(template).replace("^", "^.*", 1))
 
 
-def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of files as they arrive."""
-    return _lines(spark.readStream, path)
+def stream_log_lines(spark: SparkSession, path: str, ordered: bool = False, charset: str | None = None) -> DataFrame:
+    """Lines of files as they arrive.
+
+    ordered: number the lines, for what depends on their order; each file is then read
+    whole and must fit in memory. Otherwise ord is 0.
+    """
+    at = F.col("_metadata.file_path").alias("path")
+    if not ordered:
+        return _shaped(spark.readStream.text(path).select(at, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"), F.col("value").alias("line")), charset=charset)
+    whole = spark.readStream.option("wholetext", "true").text(path)
+    lines = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)).alias("ord", "line")
+    return _shaped(whole.select(at, F.lit(0).cast("long").alias("block"), lines).withColumn("ord", F.col("ord").cast("long")), charset=charset)
 
 
 def decoded(line: Column, charset: str | None) -> Column:
