@@ -62,6 +62,16 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], owner[order]
 
 
+def _grams_of_many(words: list[str], some: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """grams of any number of words, made a few at a time and kept small."""
+    buckets, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), some):
+        bucket, owner = grams(words[at : at + some])
+        buckets.append(bucket.astype(np.int32))
+        owners.append((owner + at).astype(np.int32))
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # of the buckets
@@ -130,7 +140,7 @@ class Trainer:
         self.rng, self.y = np.random.default_rng(seed), labels
         ids: dict[str, int] = {}
         self.docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in documents]
-        self.flat, self.owner = grams(list(ids)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.flat, self.owner = _grams_of_many(list(ids))
         self.size = np.bincount(self.owner, minlength=len(ids))
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         # Vectors start at zero, so an n-gram that no label has moved says nothing.
