@@ -23,6 +23,9 @@ SIMILAR = 0.8
 SHORT = 5
 MAX_PATTERNS, MAX_LENGTH, MAX_SOURCES = 64, 300, 60
 
+#: So many of the earliest signatures are placed in order on the driver, which leaves few rounds.
+SEED = 5000
+
 _IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 TOKEN = "struct<word:string,letters:string,size:int,source:boolean,important:boolean>"
 
@@ -91,16 +94,22 @@ def cluster(lines: DataFrame, start: str = "window_start", most_patterns: int =
 
     A line joins the first similar cluster of its window, opens one if there are fewer
     than most_patterns, and else is dropped. At most most_patterns rounds are run; the
-    driver holds the patterns of the windows, never signatures or lines.
+    driver holds the patterns of the windows and SEED signatures at most.
     """
     short = F.transform(signature(F.col("line"), most_length), lambda t: F.struct(t["letters"].alias("letters"), t["size"].alias("size"), t["source"].alias("source"), t["important"].alias("important")))
     rows = lines.select(F.col(start).cast("string").alias("window_key"), start, order, "line", short.alias("signature"))
     reduced = rows.groupBy("window_key", "signature").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count"), F.min_by("line", order).alias("line"))
     reduced = reduced.persist()
     patterns: dict[str, list] = {}
+    # The earliest signatures over all windows are the earliest of each.
+    for row in reduced.select("window_key", "signature", "first").orderBy("first").limit(SEED).collect():
+        own, found = patterns.setdefault(row["window_key"], []), [t.asDict() for t in row["signature"]]
+        if len(own) < most_patterns and not any(similar(found, p) for p in own):
+            own.append(found)
     for _ in range(most_patterns):
         open_ = _unlike_all(reduced, patterns, [start]).filter("cluster < 0")
-        opened = open_.groupBy("window_key").agg(F.min_by("signature", "first").alias("signature")).collect()
+        full = [k for k, v in patterns.items() if len(v) >= most_patterns]
+        opened = open_.filter(~F.col("window_key").isin(full)).groupBy("window_key").agg(F.min_by("signature", "first").alias("signature")).collect()
         if not opened:
             break
         for row in opened:
