@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _NAMED = re.compile(r"\((?:\?P?<([A-Za-z_]\w*)>|(?!\?))")
 
 #: Texts that count as numbers.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"(?i)^([+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?inf(inity)?|nan)$"
 
 
 def plain_groups(pattern: str) -> tuple[str, list[str]]:
@@ -44,8 +44,8 @@ def quoted(text: str) -> str:
 
 def number(text: Column) -> Column:
     """A double; null where the text is not a number."""
-    special = F.when(F.lower(text).rlike(r"^[+-]?inf(inity)?$"), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf"))).when(F.lower(text) == "nan", float("nan"))
-    return F.when(text.rlike(NUMBER), text.try_cast("double")).otherwise(special)
+    # The cast also takes "inf", "infinity" and "nan", but blanks around and letters after numbers too.
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def captures(text: Column, pattern: str, count: int) -> Column:

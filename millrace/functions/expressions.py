@@ -86,9 +86,16 @@ def left_right(line: Column, left_index: int, left: str, right: str) -> Column:
     """What stands between the left text's occurrence left_index (from 0) and the next right text or the end; '-' if nothing does."""
     if left_index < 0:
         raise ValueError("leftIndex must not be negative")
-    rest = F.get(F.split(line, quoted(left), left_index + 2), F.lit(left_index + 1)) if left else line
+    if not left:
+        rest = line
+    elif any(left.startswith(left[k:]) for k in range(1, len(left))):
+        # Occurrences may overlap, which substring_index would count.
+        rest = F.get(F.split(line, quoted(left), left_index + 2), F.lit(left_index + 1))
+    else:
+        before = F.length(F.substring_index(line, left, left_index + 1))
+        rest = F.when(before < F.length(line), F.substring(line, before + (1 + len(left)), F.length(line)))
     found = F.substring_index(rest, right, 1) if right else rest
-    return F.when(line.isNull(), None).when(rest.isNull() | (found == ""), "-").otherwise(found)
+    return F.when(line.isNotNull(), F.coalesce(F.nullif(found, F.lit("")), F.lit("-")))
 
 
 def regexp(value: Column, expression: str, group: int | str) -> Column:
@@ -273,11 +280,11 @@ def _in(conf: dict, scope: Scope) -> Column:
 def _number_op(conf: dict, scope: Scope) -> Column:
     value = numeric(conf.get("elect") or ({"type": "context"} if scope.context is not None else None), scope)
     tests = {"gt": value.__gt__, "gte": value.__ge__, "lt": value.__lt__, "lte": value.__le__}
-    condition = value.isNotNull()
-    for name, test in tests.items():
-        if conf.get(name) is not None:
-            condition = condition & test(float(conf[name]))
-    return F.when(value.isNotNull(), condition)
+    condition = F.when(value.isNotNull(), True)
+    for k, name in enumerate(n for n in tests if conf.get(n) is not None):
+        one = tests[name](float(conf[name]))
+        condition = condition & one if k else one
+    return condition
 
 
 def _number_between(conf: dict, scope: Scope) -> Column:

@@ -53,7 +53,7 @@ def auto(line: Column, zone: str | None = None) -> Column:
     """
     main = F.translate(F.regexp_replace(F.regexp_extract(line, _MAIN, 1), r" (Z|[+-]\d{2}:\d{2})$", "$1"), "/T,", "- .")
     moment = main.try_cast("timestamp")
-    found = F.when(line.rlike(_MAIN), F.when(main.rlike(r"(Z|[+-]\d{2}:\d{2})$"), moment).otherwise(_local(moment, zone)) if zone else moment)
+    found = F.when(main != "", F.when(main.rlike(r"(Z|[+-]\d{2}:\d{2})$"), moment).otherwise(_local(moment, zone)) if zone else moment)
     text = F.lit(None).cast("string")
     for pattern, order in reversed(_OTHERS):
         text = F.when(line.rlike("^.{0,4}?" + pattern), F.regexp_replace(F.regexp_extract(line, "^.{0,4}?(" + pattern + ")", 1), pattern, order)).otherwise(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,8 @@ def interval_ms(interval: float | str) -> int:
 
 def window_start(ts: Column, interval: float | str) -> Column:
     """Start of the tumbling window, aligned to the epoch."""
-    return F.window(ts, f"{interval_ms(interval)} milliseconds")["start"]
+    ms = F.unix_millis(ts)
+    return F.timestamp_millis(ms - F.pmod(ms, F.lit(interval_ms(interval)).cast("long")))
 
 
 def finite(value: Column) -> Column:
@@ -36,15 +38,29 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
 
 
-def aggregate_column(conf: dict, scope: Scope) -> Column:
-    """One selected value: rows that its condition or its number fails for do not count; nothing accepted is 0."""
-    kind, accepted = conf.get("agg") or "count", keeps(conf.get("where"), scope)
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once, however often later steps use it; a projection would be merged into them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def cell(conf: dict, scope: Scope) -> Column:
+    """What one row gives to a selected value, NULL where its condition or its number fails."""
+    accepted, kind = keeps(conf.get("where"), scope), conf.get("agg") or "count"
+    if kind == "count":
+        return F.when(accepted, F.lit(1.0))
+    if kind == "hll":
+        return F.when(accepted, F.xxhash64(expressions.text(conf.get("elect"), scope)).cast("double"))
+    return F.when(accepted, expressions.numeric(conf.get("elect"), scope))
+
+
+def total(conf: dict, value: Column) -> Column:
+    """A selected value of a group; nothing accepted is 0."""
+    kind = conf.get("agg") or "count"
     if kind == "count":
-        return F.count_if(accepted)
+        return F.count(value)
     if kind == "hll":
-        return F.approx_count_distinct(F.when(accepted, expressions.text(conf.get("elect"), scope)))
-    value = F.when(accepted, finite(expressions.numeric(conf.get("elect"), scope)))
-    return F.coalesce({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[kind](value), F.lit(0.0))
+        return F.approx_count_distinct(value)
+    return F.coalesce({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[kind](finite(value)), F.lit(0.0))
 
 
 def value_names(values: list[dict]) -> list[str]:
@@ -54,7 +70,12 @@ def value_names(values: list[dict]) -> list[str]:
 
 def aggregate(df: DataFrame, values: list[dict], keys: list[str], scope: Scope, start: str = "window_start") -> DataFrame:
     """One row for each window and group that any record reached."""
-    columns = [aggregate_column(v, scope).alias(n) for v, n in zip(values, value_names(values), strict=True)]
+    kind = lambda v: v.get("agg") if v.get("agg") in (None, "count", "hll") else "number"
+    keyed = [json.dumps([kind(v), kind(v) and v.get("elect"), v.get("where")], sort_keys=True) for v in values]
+    cells = {k: cell(v, scope) for k, v in zip(keyed, values, strict=True)}
+    place = {k: f"c{i}" for i, k in enumerate(cells)}
+    df = once(df, "cells", F.struct(*[c.alias(place[k]) for k, c in cells.items()]))
+    columns = [total(v, F.col("cells")[place[k]]).alias(n) for v, n, k in zip(values, value_names(values), keyed, strict=True)]
     return df.groupBy(start, *keys).agg(*columns)
 
 

@@ -92,12 +92,12 @@ class LogTask:
         """Records with ts, window_start and the key columns; rows that fail a stage are gone."""
         df = parsers.before_parsing(rows, (self.log.get("parse") or {}).get("where"))
         if self.analysing:
-            df = df.withColumn("ts", timestamps.event_time(self.log.get("time"), self.scope(df), now=self.now)).filter(timestamps.usable(F.col("ts")))
+            df = agg.once(df, "ts", timestamps.event_time(self.log.get("time"), self.scope(df), now=self.now)).filter(timestamps.usable(F.col("ts")))
             return df.withColumn("window_start", agg.window_start(F.col("ts"), self.interval_ms))
         df = parsers.parse(df, self.log.get("parse"))
         scope = self.scope(df)
         df, ready = self._variables(df, scope)
-        df = df.filter(ready).withColumn("ts", timestamps.event_time(self.log.get("time"), scope, now=self.now)).filter(timestamps.usable(F.col("ts")))
+        df = agg.once(df.filter(ready), "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now)).filter(timestamps.usable(F.col("ts")))
         condition, after = self._condition(scope)
         df = df.filter(F.coalesce(condition, F.lit(False)))
         if after is not scope:
@@ -124,11 +124,10 @@ class LogTask:
     def details(self, df: DataFrame, scope: Scope) -> DataFrame:
         """One row for each record: ts, keys and values; count is 1, numbers that fail are 0."""
 
-        def value(v: dict) -> Column:
-            kind = v.get("agg") or "count"
-            return F.lit(1.0) if kind == "count" else F.coalesce(agg.finite(expressions.numeric(v.get("elect"), scope)), F.lit(0.0))
-
-        return df.select("ts", *self.keys, *[value(v).alias(v["as"]) for v in self.values])
+        counted = lambda v: (v.get("agg") or "count") == "count"
+        numbers = [F.lit(1.0) if counted(v) else expressions.numeric(v.get("elect"), scope) for v in self.values]
+        df = agg.once(df, "cells", F.struct(*[n.alias(f"c{i}") for i, n in enumerate(numbers)]))
+        return df.select("ts", *self.keys, *[F.coalesce(agg.finite(F.col("cells")[f"c{i}"]), F.lit(0.0)).alias(v["as"]) for i, v in enumerate(self.values)])
 
     def run(self, lines: DataFrame) -> DataFrame:
         """Lines to results."""
@@ -148,7 +147,7 @@ class LogTask:
         parsed = parsers.parse(alive, self.log.get("parse"))
         scope = self.scope(parsed)
         parsed, ready = self._variables(parsed, scope)
-        parsed = parsed.withColumn("ts", timestamps.event_time(self.log.get("time"), scope, now=self.now))
+        parsed = agg.once(parsed, "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now))
         condition, _ = self._condition(scope)
         keyed = F.lit(True)
         for g in self.groups:
@@ -165,7 +164,7 @@ class LogTask:
         rows = parsers.parse(self.records(lines), self.log.get("parse"))
         scope = self.scope(rows)
         rows, ready = self._variables(rows, scope)
-        rows = rows.withColumn("ts", timestamps.event_time(self.log.get("time"), scope, now=self.now))
+        rows = agg.once(rows, "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now))
         nodes = [F.struct(F.lit(p).alias("node"), predicate(w, scope)[0].alias("result")) for p, w in condition_nodes(self.conf.get("where"))]
         keys = F.map_from_arrays(F.array(*map(F.lit, self.keys)), F.array(*[expressions.text(g.get("elect"), scope) for g in self.groups])) if self.groups else F.create_map().cast("map<string,string>")
         values = [(v["as"], F.lit(1.0) if (v.get("agg") or "count") == "count" else expressions.numeric(v.get("elect"), scope)) for v in self.values if v.get("agg") != "loganalysis"]

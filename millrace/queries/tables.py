@@ -17,7 +17,9 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = F.col("value").cast("decimal(18,2)").cast("string")
     line = F.concat(ts, F.lit(" "), F.upper("event_type"), F.lit(" [user-"), F.col("user_id"), F.lit("] cost="), cost, F.lit(" props="), F.col("props"))
     none = F.create_map().cast("map<string,string>")
-    return e.select(F.lit("events").alias("path"), F.lit(0).alias("block"), F.col("event_id").alias("ord"), line.alias("line"), F.array(line).alias("lines"), none.alias("log_tags"), none.alias("path_tags"))
+    # A generator makes the text once; a projection would be merged into each later use.
+    made = e.select(F.col("event_id").alias("ord"), F.explode(F.array(line)).alias("line"))
+    return made.select(F.lit("events").alias("path"), F.lit(0).alias("block"), "ord", "line", F.array("line").alias("lines"), none.alias("log_tags"), none.alias("path_tags"))
 
 
 LINES = """lines AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || upper(event_type) || ' [user-' || user_id || '] cost=' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ' props=' || props AS line, ts, event_type, user_id, CAST(value AS DECIMAL(18,2)) AS cost, props FROM events)"""

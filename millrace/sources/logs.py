@@ -80,7 +80,8 @@ def container_line(line: Column) -> Column:
 
 def broken(line: Column) -> Column:
     """True for lines to drop: thousands of NULs, or too long."""
-    return (F.length(F.regexp_replace(line, "[^\\x00]", "")) >= MAX_NULS) | (F.octet_length(line) > MAX_LINE_BYTES)
+    nuls = F.contains(line, F.lit("\0")) & (F.length(F.regexp_replace(line, "[^\\x00]", "")) >= MAX_NULS)
+    return nuls | (F.octet_length(line) > MAX_LINE_BYTES)
 
 
 def noise(line: Column) -> Column:

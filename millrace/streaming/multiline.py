@@ -28,7 +28,7 @@ class LineJoiner(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", "ord long, lines array<string>, cut boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.pending.get()
         first, lines, cut = (old[0], list(old[1]), bool(old[2])) if old else (-1, [], False)
         out, found = [], re.compile(self.pattern).search
@@ -54,12 +54,12 @@ class LineJoiner(StatefulProcessor):
             self.handle.deleteTimer(t)
         if lines or cut:
             self.pending.update((first, lines, cut))
-            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + self.idle)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         else:
             self.pending.clear()
         yield self._frame(key, out)
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         old = self.pending.get()
         self.pending.clear()
         yield self._frame(key, [(old[0], list(old[1]))] if old and len(old[1]) else [])
