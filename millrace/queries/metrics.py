@@ -72,8 +72,7 @@ def M5_series_key(spark, sf_dir):
 def M6_merge_tags(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"), F.create_map(F.lit("app"), F.lit("shop")).alias("tags"))
     targets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.create_map(F.lit("app"), F.lit("other"), F.lit("segment"), F.col("c_mktsegment")).alias("target_tags"))
-    merged = m.merge_tags(e, {"app": "task", "segment": "none"}, None)
-    merged = m.merge_tags(e, {}, targets).withColumn("tags", m.with_missing(F.col("tags"), F.create_map(F.lit("segment"), F.lit("none"))))
+    merged = m.merge_tags(m.merge_tags(e, {"app": "task"}, targets), {"segment": "none"})
     return merged.select("event_id", F.col("tags")["app"].alias("app"), F.col("tags")["segment"].alias("segment"))
 
 
@@ -91,10 +90,10 @@ def M8_rename(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT event_type AS kind, date_trunc('day', ts) AS ts, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL)
-    SELECT 'shop.users' AS name, kind, CAST(epoch_ms(ts) AS BIGINT) AS ts, CAST(users AS DOUBLE) AS value FROM w UNION ALL SELECT 'shop.n', kind, CAST(epoch_ms(ts) AS BIGINT), CAST(n AS DOUBLE) FROM w""")
+    SELECT 'shop_users' AS name, kind, CAST(epoch_ms(ts) AS BIGINT) AS ts, CAST(users AS DOUBLE) AS value FROM w UNION ALL SELECT 'shop_n', kind, CAST(epoch_ms(ts) AS BIGINT), CAST(n AS DOUBLE) FROM w""")
 def M9_M10_to_narrow(spark, sf_dir):
     wide = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), F.date_trunc("day", "ts").cast("timestamp").alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
-    narrow = m.to_narrow(wide, m.base_name(None, "shop._log", "log") + ("" if "." in m.base_name(None, "shop._log", "log") else "."), ["kind"], ["n", "users"])
+    narrow = m.to_narrow(wide, m.base_name(None, "shop_log", "log"), ["kind"], ["n", "users"])
     return narrow.select("name", F.col("tags")["kind"].alias("kind"), F.unix_millis("ts").alias("ts"), "value")
 
 
@@ -121,7 +120,7 @@ def M13_label_reference(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", tags["app"].alias("app"))
 
 
-@query("SELECT c_custkey, lower(substr(c_mktsegment, 1, 0)) || substr(c_mktsegment, 1, 3) || '-' || c_nationkey AS code, NULL AS segment, CAST(c_nationkey AS VARCHAR) AS x_nation FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'")
+@query("SELECT c_custkey, substr(c_mktsegment, 1, 3) || '-' || c_nationkey AS code, NULL AS segment, CAST(c_nationkey AS VARCHAR) AS x_nation FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'")
 def M14_relabel(spark, sf_dir):
     rules = [
         {"action": "drop", "sourceLabels": ["segment"], "regex": "HOUSE.*"},
