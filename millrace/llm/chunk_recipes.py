@@ -8,8 +8,8 @@ hundredth of its size. Equal recipes are equal texts.
 
 All of it is DataFrame operations. Chunks are made distinct before they are
 shuffled and groups of recipes are counted before they are, so a group that holds a
-third of all rows is a few rows to each task; the join that hands the group's result
-back to its rows is a sort-merge join, which adaptive execution splits.
+third of all rows is a few rows to each task. The join that hands the group's result
+back to its rows meets the ids and digests of one group in one task.
 """
 
 from __future__ import annotations

@@ -277,6 +277,10 @@ def contexts(ids: np.ndarray, raws: list[bytes], known: list[np.ndarray]) -> tup
                 sent = seen.setdefault((x, i - f, context), (x, doc, key, f, i - f, context))
                 if sent[1] != doc or sent[3] != f:
                     spans.append((doc, key, f, s + LENGTH))
+    of_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for doc, key, a, b in spans:
+        of_doc.setdefault((doc, key), []).append((a, b))
+    spans = [(doc, key, a, b) for (doc, key), some in of_doc.items() for a, b in merged(some)]
     halves = lambda v: np.array([v & ((1 << 64) - 1), v >> 64], np.uint64).view(np.int64).tolist()
     return list(seen.values()), [(*halves(v), *x) for v, x in strings.items()], spans
 
