@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, texts
+from millrace.llm.common import ascii_lower, texts, without
 
 MIN_CHARS = 512
 MAX_CHARS = 4096
@@ -79,10 +79,10 @@ def exact_groups(docs: DataFrame, identify: Callable[[Column], Column] = F.xxhas
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those whose text stays under another doc_id.
+    """The rows of docs, all columns, without those that exact_groups does not mark kept.
 
-    Only doc_ids are joined to the rows. Rows that repeat one doc_id stay together, as
-    do rows with a null doc_id where nothing else has their text.
+    Only doc_ids and digests are joined to the rows. A row goes for its own text: other
+    texts under its doc_id, or under a null one, stay.
     """
-    lost = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["lost_id"]), "left_anti")
+    lost = exact_groups(docs).filter(~F.col("kept"))
+    return without(docs, lost, F.sha2(ascii_lower(F.coalesce(docs["text"].cast("string"), F.lit(""))), 256))

@@ -26,6 +26,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(docs: DataFrame, lost: DataFrame, digest: Column) -> DataFrame:
+    """The rows of docs, all columns, that are not in lost (doc_id, text_sha256).
+
+    digest: the text_sha256 of a row of docs. A null doc_id in lost stands for rows with a null doc_id and that text only.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), digest.alias("own_text"))
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_text")).distinct()
+    return rows.join(lost, F.col("own_id").eqNullSafe(F.col("lost_id")) & (F.col("own_text") == F.col("lost_text")), "left_anti").select("row.*")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept where every executor reads them.
 

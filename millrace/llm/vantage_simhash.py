@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.llm.common import durable, texts
+from millrace.llm.common import durable, texts, without
 
 SHINGLE = 4
 RADIUS = 4
@@ -53,15 +54,17 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text and others) with fp, the fingerprint as a signed long, in place of text."""
+    other = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in other]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return texts(docs).mapInArrow(make, "doc_id long, fp long")
+    return rows.mapInArrow(make, StructType(other).add("fp", "long"))
 
 
 class VantageTree:
@@ -175,6 +178,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def placed(found: DataFrame, radius: int) -> DataFrame:
+    """found (doc_id, fp and others) with the component_id of each row."""
+    points = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    stars = components(near_links(points, radius))
+    member = stars.union(stars.select("root", "root").distinct()).join(points.withColumnRenamed("fp", "node"), "node")
+    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = member.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
+    of_point = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return found.join(of_point, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs.
 
@@ -184,17 +198,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest doc_id that can be reached over links of `radius` differing bits or fewer,
     null only where no doc_id is known in the component. Repeated rows each give a row.
     """
-    found = durable(fingerprints(docs))
-    points = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stars = components(near_links(points, radius))
-    member = stars.union(stars.select("root", "root").distinct()).join(points.withColumnRenamed("fp", "node"), "node")
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = member.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    of_point = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(of_point, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = placed(durable(fingerprints(texts(docs))), radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component."""
-    lost = near_duplicates(docs, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["lost_id"]), "left_anti")
+    """The rows of docs, all columns, whose doc_id is the smallest of the component of their own text.
+
+    Rows are known by doc_id and text, of which the fingerprint is a function.
+    """
+    found = durable(fingerprints(texts(docs).withColumn("text_sha256", F.sha2("text", 256))))
+    lost = placed(found, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without(docs, lost, F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))

@@ -56,6 +56,30 @@ def test_drop_exact_copies(docs, texts, empty):
     assert chunk_recipes.drop_exact_copies(empty).count() == 0
 
 
+def some_alone(spark, odd):
+    """odd with texts that nothing else has, under ids whose other rows are copies."""
+    alone = [(None, "a quiet mill that no other row speaks of"), (2, "the wheel turns slowly past old gates")]
+    return odd.union(spark.createDataFrame([(i, t, None, None, None) for i, t in alone], odd.schema))
+
+
+def id_texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_drop_exact_copies_by_row(spark, odd):
+    rows = some_alone(spark, odd)
+    want = [(1, "another"), (2, "SAME text here"), (2, "the wheel turns slowly past old gates"), (3, None), (3, None), (None, "a quiet mill that no other row speaks of")]
+    assert id_texts(chunk_recipes.drop_exact_copies(odd)) == sorted([want[0], want[1], *want[3:5]], key=repr)
+    assert id_texts(chunk_recipes.drop_exact_copies(rows)) == sorted(want, key=repr)
+
+
+def test_keep_one_of_each_by_row(spark, odd):
+    same = [(1, "same text here"), (1, "same text here"), (1, "another"), (3, None), (3, None)]
+    alone = [(2, "the wheel turns slowly past old gates"), (None, "a quiet mill that no other row speaks of")]
+    assert id_texts(vantage_simhash.keep_one_of_each(odd)) == sorted(same, key=repr)
+    assert id_texts(vantage_simhash.keep_one_of_each(some_alone(spark, odd))) == sorted(same + alone, key=repr)
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (1, 2, 3, 10, 97, 1000):
         a = int(np.ceil(np.sqrt(n)))
