@@ -7,24 +7,27 @@ makes one threshold fit all items. Retrieval is block-max WAND: terms whose boun
 together stay below the threshold cannot carry an item, the others name the blocks of
 items that may reach it, and only blocks whose bounds do are scored in full. What is
 retrieved is verified by aligning the item's words with the passage, its question and
-its answer each on their own.
+its answer each on their own. A short last sentence may be the answer or a part of it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, texts
+from millrace.llm.common import blocks, durable, texts
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -39,14 +42,27 @@ PASSAGE_CHARS = 300_000
 WORD = re.compile(r"\w+")
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of all sentences but the last, and of the last; of one sentence, the last quarter answers."""
+def splits(text: str) -> tuple[list[str], tuple[int, int]]:
+    """The words of an item and two places where its answer may begin.
+
+    The first is the last sentence; of one sentence, the last quarter answers. The second
+    goes back to a quarter of all words, rounded up, so that no single word decides.
+    """
     parts = re.split(r"(?<=[.!?])\s+", text.lower().strip())
     question, answer = WORD.findall(" ".join(parts[:-1])), WORD.findall(parts[-1])
-    if not question:
-        cut = len(answer) - max(1, len(answer) // 4)
-        question, answer = answer[:cut], answer[cut:]
-    return question, answer
+    words = question + answer
+    last = len(question) if question else max(0, len(words) - max(1, len(words) // 4))
+    return words, (last, min(last, len(words) - -(-len(words) // 4)))
+
+
+@dataclass
+class Whole:
+    """What weights and passages depend on, over all items of a benchmark: their number, mean and largest length, and in how many a word stands."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
 
 
 class Postings:
@@ -71,20 +87,22 @@ class Postings:
 class Index:
     """Postings of normalised BM25 weights, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        parts = [(i, *question_and_answer(t)) for i, t in items]
-        self.items = [(i, q, a) for i, q, a in parts if q or a]
-        words = [q + a for _, q, a in self.items]
-        self.stride = max([MIN_STRIDE, *map(len, words)])
-        mean = max(1.0, float(np.mean([len(w) for w in words]))) if words else 1.0
-        df = Counter(w for d in words for w in set(d))
-        self.term = {w: k for k, w in enumerate(sorted(df))}
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None):
+        """whole: of the benchmark that items are a part of; without it they are all of it."""
+        self.items = [x for x in ((i, *splits(t)) for i, t in items) if x[1]]
+        words = [w for _, w, _ in self.items]
+        if whole is None:
+            sizes = [len(w) for w in words]
+            whole = Whole(len(words), float(np.mean(sizes)) if sizes else 1.0, max(sizes, default=0), Counter(w for d in words for w in set(d)))
+        self.stride = max(MIN_STRIDE, whole.longest)
+        n, mean, df = whole.n, max(1.0, whole.mean), whole.df
+        self.term = {w: k for k, w in enumerate(sorted({w for d in words for w in d}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for k, d in enumerate(words):
-            weight = {w: np.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean)) for w, tf in Counter(d).items()}
-            whole = sum(weight.values())
+            weight = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean)) for w, tf in Counter(d).items()}
+            total = sum(weight.values())
             for w, x in weight.items():
-                postings[self.term[w]].append((k, x / whole))
+                postings[self.term[w]].append((k, x / total))
         self.blocks = max(1, -(-len(self.items) // BLOCK))
         self.items_of = Postings([np.array([k for k, _ in p], np.int64) for p in postings], [np.array([x for _, x in p]) for p in postings])
         first = [np.concatenate([[0], np.nonzero(np.diff(a // BLOCK))[0] + 1]) for a in self.items_of.lists()]
@@ -126,16 +144,17 @@ class Index:
         return found // max(1, len(self.items)), found % max(1, len(self.items)), score
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float] | None:
-        """Shares of question and answer that the passage has in order; None if too little."""
-        _, question, answer = self.items[item]
-        words, hit = question + answer, np.zeros(len(question) + len(answer), bool)
+        """Shares of question and answer that the passage has in order, at the first split where both are enough; None if too little."""
+        _, words, cuts = self.items[item]
+        hit = np.zeros(len(words), bool)
         if sum((Counter(words) & Counter(passage)).values()) < OVERLAP * len(words):
             return None
         for m in SequenceMatcher(None, words, passage, autojunk=False).get_matching_blocks():
             hit[m.a : m.a + m.size] = True
-        q, a = hit[: len(question)], hit[len(question) :]
-        share = tuple(float(x.mean()) if len(x) else 1.0 for x in (q, a))
-        return share if hit.mean() >= OVERLAP and share[0] >= QUESTION and share[1] >= ANSWER else None
+        if hit.mean() < OVERLAP:
+            return None
+        shares = [tuple(float(x.mean()) if len(x) else 1.0 for x in (hit[:cut], hit[cut:])) for cut in cuts]
+        return next((share for share in shares if share[0] >= QUESTION and share[1] >= ANSWER), None)
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, float, float, float]]:
         """(position of the text, item_id, score, question share, answer share): the best passage for each verified item."""
@@ -164,16 +183,57 @@ class Index:
         return [found[k] for k in sorted(found)]
 
 
-def indexes(benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> list[Index]:
-    """One index, or several for a benchmark larger than one may be; null and repeated items count once."""
+class Indexes(Sequence):
+    """The indexes of a benchmark's parts, each made from all items' figures when it is asked for and not kept."""
+
+    def __init__(self, items: DataFrame, parts: int):
+        self.parts, self.items = parts, items
+        if parts > 1:
+            self.items = durable(items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts))).mapInArrow(_with_words, "part long, item_id long, text string, words array<string>"))
+            self.some = self.items.filter("size(words) > 0")
+            self.n, self.mean, self.longest = self.some.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
+            self.df = durable(self.some.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+    def __len__(self) -> int:
+        return self.parts
+
+    def __getitem__(self, k: int) -> Index:
+        if not 0 <= k < self.parts:
+            raise IndexError(k)
+        if self.parts == 1:
+            return Index(sorted(map(tuple, self.items.collect())))
+        own = self.some.filter(F.col("part") == k)
+        df = self.df.join(own.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
+        whole = Whole(self.n, self.mean or 1.0, self.longest or 0, {r["word"]: r["n"] for r in df.collect()})
+        return Index(sorted(map(tuple, own.select("item_id", "text").collect())), whole)
+
+
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [splits(t)[0] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("item_id"), batch.column("text"), pa.array(words, pa.list_(pa.string()))], ["part", "item_id", "text", "words"])
+
+
+def indexes(benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> Indexes:
+    """One index, or several for a benchmark larger than one may be, with the same weights; null and repeated items count once."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text")).filter("item_id is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-chars // index_chars))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    return [Index(sorted(map(tuple, items.filter(part == k).collect()))) for k in range(parts)]
+    return Indexes(items, max(1, -(-chars // index_chars)))
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def each_part(benchmark: DataFrame, index_chars: int, search: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """What search makes with each index; all but the last are computed, and their index released, before the next is made."""
+    parts = indexes(benchmark, index_chars)
+    for k in range(len(parts)):
+        shared = benchmark.sparkSession.sparkContext.broadcast(parts[k])
+        found = search(shared)
+        if k < len(parts) - 1:
+            found = durable(found)
+            shared.destroy()
+        yield found
+
+
+def leaked_items(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row for each benchmark item that a text holds.
 
     Every passage of every whole text is searched where it is read, without a shuffle.
@@ -181,11 +241,9 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     other columns are ignored; an item with one text only is listed by its id.
     """
     docs = texts(docs)
-    parts = []
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def leaked(shared: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
@@ -193,22 +251,22 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        parts.append(docs.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.union(more)
-    return found
+        return docs.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
+    return reduce(DataFrame.union, each_part(benchmark, index_chars, leaked))
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark item."""
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def clean(shared: Broadcast) -> DataFrame:
         @F.pandas_udf("boolean")
         def leaks(text: pd.Series) -> pd.Series:
             held = {k for k, *_ in shared.value.leaks(text.tolist())}
             return pd.Series([k in held for k in range(len(text))], dtype=bool)
 
-        docs = docs.filter(~leaks(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+        return docs.filter(~leaks(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+    for docs in each_part(benchmark, index_chars, clean):  # noqa: B007 - the next part searches what this one left
+        pass
     return docs

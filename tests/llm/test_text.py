@@ -201,6 +201,32 @@ def test_several_indexes(spark):
     assert len(parts) > 1 and sum(len(p.items) for p in parts) == len(ITEMS)
 
 
+def test_indexes_share_weights(spark):
+    rows = [*ITEMS, (30, "stones " * 80 + "and gates")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    weights = lambda index: {(w, index.items[k][0]): x for w, i in index.term.items() for k, x in zip(index.items_of.lists()[i], index.items_of.lists("weight")[i], strict=True)}
+    whole, parts = bm25_decontaminate.Index(rows), bm25_decontaminate.indexes(items, 1000)
+    assert len(parts) > 1 and {p.stride for p in parts} == {whole.stride}
+    assert {k: x for p in parts for k, x in weights(p).items()} == pytest.approx(weights(whole))
+    docs = spark.createDataFrame([(k, f"first {t} last") for k, t in ITEMS[:8]] + [(8, "nothing")], "doc_id long, text string")
+    pairs = {(r["doc_id"], r["item_id"]) for r in bm25_decontaminate.leaked_items(docs, items, 1000).collect()}
+    assert pairs == {(k, k) for k in range(8)}
+    assert [r["doc_id"] for r in bm25_decontaminate.drop_leaks(docs, items, 1000).collect()] == [8]
+
+
+def test_no_single_word_is_the_answer():
+    item = " ".join(f"word{k}" for k in range(30)) + " doez. Ñ."
+    index = bm25_decontaminate.Index([(1, item), *ITEMS[1:]])
+    assert [i for _, i, *_ in index.leaks([item, item.removesuffix(" Ñ."), "word1 word2"])] == [1, 1]
+    # All but 17 of 100 words, the last sentence among them.
+    words = [f"word{k}" for k in range(99)]
+    index = bm25_decontaminate.Index([(1, " ".join(words) + ". end."), *ITEMS[1:]])
+    assert [i for _, i, *_ in index.leaks([" ".join(words[:80]) + " end", " ".join(words[:83]), " ".join(words)])] == [1, 1]
+    for n in range(60):
+        words, cuts = bm25_decontaminate.splits(" ".join(["a"] * (n - 1)) + ". b." if n > 1 else "b" * n)
+        assert len(words) == n and n - cuts[1] >= -(-n // 4) and cuts[1] <= cuts[0] <= n
+
+
 @pytest.mark.parametrize("threshold", [0.05, 0.2, 0.6])
 def test_retrieval_is_complete(threshold):
     index = bm25_decontaminate.Index(ITEMS)
