@@ -4,7 +4,7 @@ Base detectors find assignments, access keys and hex digests by pattern. Their f
 are the labelled credentials from which a probabilistic automaton per kind is inferred:
 a prefix tree of a bounded sample, whose states are merged while their next-symbol and
 end frequencies agree within Hoeffding's bound (red-blue state merging). Every other
-long unbroken token of every text is then scored by each automaton; a token whose
+run of eight or more symbols of values in every text is then scored by each automaton; a token whose
 likelihood per symbol is among those of the credentials the format was learned from,
 and above that of the plain tokens, is a secret of that format too.
 """
@@ -31,11 +31,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_CHARS = 8
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])")
+#: Every whole run of the symbols of an assigned value, from its least length on.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_CHARS)
 LEARNED = tuple(f"{k}_format" for k in KINDS)
-#: Bound on the credentials of a kind, and on plain tokens, that the driver learns from; symbols of each that count.
+#: Bound on the credentials of a kind, and on plain tokens, that the driver learns from; symbols of each that it learns.
 SAMPLE = 300
 SYMBOLS = 64
+#: Distinct tokens whose kinds a task remembers, and their longest.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 SALTS = 16
 ALPHA = 0.05
 #: A candidate is taken above this quantile of the likelihoods of the credentials themselves.
@@ -78,8 +81,10 @@ class Automaton:
                     state.next[c] = len(self.states)
                     self.states.append(State())
                 at = state.next[c]
-            self.states[at].seen += 1
-            self.states[at].ends += 1
+            # Where a longer one is cut, it does not end.
+            if len(text) <= SYMBOLS:
+                self.states[at].seen += 1
+                self.states[at].ends += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.symbols = max(2, len({c for t in sample for c in t}))
         self._infer()
@@ -135,15 +140,15 @@ class Automaton:
     def likelihood(self, text: str) -> float:
         """Mean log-likelihood of the symbols of text and its end, unseen steps smoothed."""
         at, total, rare = 0, 0.0, 1 / (20 * self.symbols)
-        for n, c in enumerate(text[:SYMBOLS]):
+        for n, c in enumerate(text):
             state = self.states[at]
             if c not in state.next:
-                return (total + (len(text[:SYMBOLS]) - n + 1) * math.log(rare)) / (len(text[:SYMBOLS]) + 1)
+                return (total + (len(text) - n + 1) * math.log(rare)) / (len(text) + 1)
             total += math.log(max(rare, state.taken[c] / state.seen))
             at = state.next[c]
         state = self.states[at]
-        total += math.log(max(rare, state.ends / state.seen)) if len(text) <= SYMBOLS and state.seen else math.log(rare)
-        return total / (len(text[:SYMBOLS]) + 1)
+        total += math.log(max(rare, state.ends / state.seen)) if state.seen else math.log(rare)
+        return total / (len(text) + 1)
 
 
 @dataclass
@@ -152,6 +157,17 @@ class Formats:
 
     of_kind: list[tuple[int, Automaton, float]]
     plain: Automaton | None
+    known: dict[str, int | None] = field(default_factory=dict)
+
+    def kind_of(self, token: str) -> int | None:
+        """classify, remembering short tokens: most are words of the language."""
+        if len(token) > REMEMBERED_CHARS:
+            return self.classify(token)
+        if token not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[token] = self.classify(token)
+        return self.known[token]
 
     def classify(self, token: str) -> int | None:
         """The likeliest kind that takes the token."""
@@ -171,6 +187,17 @@ def learn(samples: dict[str, list[str]]) -> Formats:
     return Formats(of_kind, Automaton(samples["plain"]) if samples.get("plain") else None)
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Candidates that no base span (in order of starts) overlaps."""
+    k, reach = 0, -1
+    for m in CANDIDATE.finditer(text):
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= m.start():
+            yield m
+
+
 def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
     """At most `sample` credentials of each kind and plain tokens, different ones in hash order, from all documents."""
 
@@ -181,7 +208,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
                 spans = base_spans(text)
                 for start, kind, end in spans:
                     found[KINDS[kind]].add(credential(text, start, kind, end))
-                found["plain"].update(m.group() for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans))
+                found["plain"].update(m.group() for m in candidates(text, spans))
             rows = [(h, kind, t) for kind, values in found.items() for h, t in sorted((int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest(), "big"), t) for t in values)[:sample]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["h", "kind", "value"])
 
@@ -196,8 +223,8 @@ def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]],
     """Base spans, and those with what the formats add; kinds count on from the base kinds."""
     base = base_spans(text)
     more = []
-    for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and (kind := formats.classify(m.group())) is not None:
+    for m in candidates(text, base):
+        if (kind := formats.kind_of(m.group())) is not None:
             more.append((m.start(), len(KINDS) + kind, m.end()))
     return base, sorted(base + more)
 

@@ -125,6 +125,24 @@ def test_inferred_formats():
     assert credential_grammar.learn({}).classify("0" * 40) is None
 
 
+def test_every_candidate_is_scored():
+    rng = random.Random(8)
+    fresh = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
+    values = [fresh(rng.choice([9, 12, 40, 60, 300])) + rng.choice(["", ".X1." + fresh(20)]) for _ in range(300)]
+    plain = ["".join(rng.choice(["the", "er", "tion", "ing", "and"]) for _ in range(4)) for _ in range(300)]
+    formats = credential_grammar.learn({"assign": values, "plain": plain})
+    for token in (fresh(10), fresh(40), fresh(400), fresh(20) + "." + fresh(30) + "." + fresh(20)):
+        text = f"the andering {token}, mill"
+        assert credential_grammar.all_spans(text, formats) == ([], [(13, 3, 13 + len(token))]), token
+    # What stands after the symbols learned counts.
+    head = fresh(64)
+    assert formats.classify(head + fresh(100)) == 0
+    assert formats.classify(head + "therandingtion" * 8) is None
+    # Whole runs without an upper bound, none where a base find is.
+    text = "a.b/" + "x" * 5000 + " seven77 eight888 token=abcdefgh1 done"
+    assert [m.group() for m in credential_grammar.candidates(text, credential_grammar.base_spans(text))] == ["a.b/" + "x" * 5000, "eight888"]
+
+
 def test_toxicity_on_held_out(spark, sf_dir):
     from tests.oracle import connection
 
