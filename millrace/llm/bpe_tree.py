@@ -1,45 +1,47 @@
 """Byte-level BPE by monoid tree reduction.
 
-A segment of text is held with the token ids it has on its own. Segments form a
-monoid: a text is halved down to short leaves, leaves are encoded, and neighbours
-are joined by encoding a window around the border again. Two kinds of border occur,
-and each window grows until what lies outside provably stays:
-
-* Between pattern matches. A match always ends between a character and white space
-  after it, so a match border is known shortly before the end of the left segment.
-  A match from there on is final once three more characters of that segment follow
-  it: every alternative of the pattern looks at most at the next character, the
-  contractions at the next three. The window starts after the last final match and
-  runs on until it ends a match where the right segment also has a border; from
-  there both see the same text.
+A segment of text is held with its pattern matches and the token ids it has on its own.
+Segments form a monoid: a text is halved down to leaves of LEAF_CHARS characters, a few
+matches each, and neighbours are joined by encoding a window around the border again.
+Two kinds of border occur, and each window grows until what lies outside provably stays:
+
+* Between pattern matches. The last matches of the left segment are opened until three
+  characters have been: a match after which three more characters of its segment follow
+  is final, for every alternative of the pattern looks at most at the next character,
+  the contractions at the next three. From there the text is matched again, until a
+  match ends where one of the right segment does; from there both see the same text.
 * Between tokens, inside one match too long for a leaf. A token row is the BPE
   encoding if and only if every two neighbours, encoded together, give just these
   two (a first merge across a border would also happen in that pair alone). So the
-  window may stop where both of its ends pass this pair test.
+  window may stop where both of its ends pass this pair test. A match that reaches
+  over the border is joined from its two parts where each is one match of its segment.
 
-Decoding joins the bytes of halves in the same way.
+The matches of a leaf are themselves reduced from LEAF_BYTES bytes on in this second
+way; different matches of a leaf's size are remembered. Decoding joins the bytes of
+halves.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from array import array
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import blocks, texts
 
-LEAF_CHARS = 4096
-LEAF_BYTES = 16
+#: Characters of a leaf, bytes of a leaf inside a match, ids of a leaf that is decoded.
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 64, 16, 1024
 LOOKAHEAD = 3
-#: A run without spaces, or of white space only, from which a leaf is reduced match by match.
-LONG_MATCH = 256
+#: Different matches of a leaf that a worker remembers.
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,13 +49,55 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@dataclass(slots=True)
+class Segment:
+    """Matches of a piece of text: characters of each, bytes of ids of each, and the ids as little-endian unsigned 32-bit integers."""
+
+    sizes: array
+    widths: array
+    ids: bytearray
+
+    def pop(self) -> tuple[int, bytes]:
+        """Takes the last match off: its characters and ids."""
+        width = self.widths.pop()
+        last = bytes(self.ids[-width:])
+        del self.ids[-width:]
+        return self.sizes.pop(), last
+
+    def push(self, size: int, ids: bytes) -> None:
+        self.sizes.append(size)
+        self.widths.append(len(ids))
+        self.ids += ids
+
+    def extend(self, other: Segment, skip: int) -> None:
+        """Adds the matches of other from number skip on."""
+        self.ids += other.ids[sum(other.widths[:skip]) :]
+        self.sizes += other.sizes[skip:]
+        self.widths += other.widths[skip:]
+
+
+class Remembered(dict):
+    """Ids by match, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, match: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[match] = self.make(match)
+        return found
+
+
 class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, max(1, leaf_chars), max(1, leaf_bytes)
         self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.token = {i: b for b, i in ranks.items()}
-        self.matches = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         self.of_bytes: dict[bytes, list[int]] = {}
+        self.of_match = Remembered(self.match_ids)
 
     # tokens inside one match
 
@@ -94,68 +138,55 @@ class TreeEncoder:
         return level[0] if level else []
 
     def match_ids(self, match: str) -> bytes:
-        """Little-endian ids of one match."""
         raw = match.encode()
-        if (whole := self.ranks.get(raw)) is not None:
-            ids = [whole]
-        else:
-            ids = self.tokens(raw) if len(raw) > 4 * self.leaf_bytes else self.base._encode_single_piece(raw)
-        return array("I", ids).tobytes()
+        whole = self.ranks.get(raw)
+        return array("I", self.tokens(raw) if whole is None else [whole]).tobytes()
 
     # segments of a text
 
-    def border(self, text: str, start: int, end: int) -> int:
-        """A match border of text[start:end], most often a little before its end."""
-        for i in range(end - 16, start, -1):
-            if text[i] in " \n" and not text[i - 1].isspace():
-                return i
-        return start
-
-    def first(self, text: str, start: int, end: int, n: int) -> list[str]:
-        """The first n matches of text[start:end]."""
-        return [m.group() for m in islice(self.matches(text, start, end), n)]
-
-    def ids_of(self, matches: list[str]) -> bytes:
-        return b"".join(map(self.match_ids, matches))
-
-    def join_segments(self, text: str, start: int, middle: int, end: int, left: bytes, right: bytes) -> bytes:
-        last = self.first(text, self.border(text, start, middle), middle, None)
-        after = 0
-        while last and after < LOOKAHEAD:
-            after += len(last[-1])
-            left = left[: len(left) - len(self.match_ids(last.pop()))]
-        window = middle - after
-        n = 4
-        while True:
-            head = self.first(text, middle, end, n)
-            borders, at = {middle: 0}, middle
-            for k, m in enumerate(head, 1):
-                borders[at := at + len(m)] = k
-            stop, at = at, window
-            fresh = self.first(text, window, stop, None)
-            for k, m in enumerate(fresh, 1):
-                at += len(m)
-                if at in borders and (at + LOOKAHEAD <= stop or stop == end):
-                    return left + self.ids_of(fresh[:k]) + right[len(self.ids_of(head[: borders[at]])) :]
-            n *= 2
-
-    def leaf(self, text: str) -> bytes:
-        """Ids of a short text; a match that is long for a leaf is reduced over its bytes."""
-        words = text.split()
-        if max(map(len, words), default=0) >= LONG_MATCH or len(text) - sum(map(len, words)) >= len(words) + LONG_MATCH:
-            return self.ids_of(self.first(text, 0, len(text), None))
-        return self.base.encode_to_numpy(text, disallowed_special=()).tobytes()
-
-    def encode(self, text: str, start: int = 0, end: int | None = None) -> bytes:
-        """Ids of text[start:end] as little-endian unsigned 32-bit integers."""
-        end = len(text) if end is None else end
+    def leaf(self, text: str, start: int, end: int) -> Segment:
+        found = self.pattern.findall(text, start, end)
+        ids = list(map(self.of_match.__getitem__, found))
+        return Segment(array("I", map(len, found)), array("I", map(len, ids)), bytearray().join(ids))
+
+    def join(self, text: str, middle: int, end: int, left: Segment, right: Segment) -> Segment:
+        """left, which ends at middle, and right, which ends at end, as one segment; left is used up."""
+        window, opened = middle, {}
+        while left.sizes and middle - window < LOOKAHEAD:
+            size, ids = left.pop()
+            opened[window - size, window] = ids
+            window -= size
+        k, border = 0, middle
+        for m in self.pattern.finditer(text, window, end):
+            start, stop = m.span()
+            parts = k == 0
+            while border < stop:
+                border += right.sizes[k]
+                k += 1
+            ids = opened.get((start, stop))
+            if ids is None and parts and k == 1 and border == stop and stop - start > self.leaf_chars and (start, middle) in opened:
+                two = (array("I", part).tolist() for part in (opened[start, middle], bytes(right.ids[: right.widths[0]])))
+                ids = array("I", self.join_tokens(*two)).tobytes()
+            if ids is None:
+                ids = self.of_match[m.group()] if stop - start <= self.leaf_chars else self.match_ids(m.group())
+            left.push(stop - start, ids)
+            if border == stop >= middle:
+                break
+        left.extend(right, k)
+        return left
+
+    def segment(self, text: str, start: int, end: int) -> Segment:
         if end - start <= self.leaf_chars:
-            return self.leaf(text[start:end])
+            return self.leaf(text, start, end)
         middle = (start + end) // 2
-        return self.join_segments(text, start, middle, end, self.encode(text, start, middle), self.encode(text, middle, end))
+        return self.join(text, middle, end, self.segment(text, start, middle), self.segment(text, middle, end))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of text as little-endian unsigned 32-bit integers."""
+        return bytes(self.segment(text, 0, len(text)).ids)
 
     def decode(self, packed: bytes) -> bytes:
-        if len(packed) <= 4 * self.leaf_chars:
+        if len(packed) <= 4 * LEAF_IDS:
             return b"".join(map(self.token.__getitem__, array("I", packed)))
         half = len(packed) // 8 * 4
         return self.decode(packed[:half]) + self.decode(packed[half:])
@@ -173,7 +204,7 @@ def encoder(ranks: dict[bytes, int], pattern: str, key: tuple) -> TreeEncoder:
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary), decoded (binary) of every row's whole text.
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary) of every row's whole text.
 
     ranks_path: a file of base64 tokens and ranks on the driver, about 1 MB whatever
     the corpus, broadcast to the executors. Rows are encoded where they are read,
@@ -187,31 +218,15 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = encoder(ranks.value, pattern, key)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, stop in blocks(pc.binary_length(batch.column("text")).to_pylist()):
+                part = batch.slice(start, stop - start)
                 ids = [tree.encode(t) for t in part.column("text").to_pylist()]
                 decoded = [tree.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.mapInArrow(encode, "doc_id long, ids binary, decoded binary")
+    return docs.mapInArrow(encode, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; as bpe_round_trip, but only digests leave Python."""
-    docs = texts(docs)
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    key = (ranks_path, pattern)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = encoder(ranks.value, pattern, key)
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                packed = tree.encode(text)
-                counts.append(len(packed) // 4)
-                ids.append(sha(packed))
-                decoded.append(sha(tree.decode(packed)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what bpe_round_trip gives."""
+    return bpe_round_trip(docs, ranks_path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -24,11 +24,8 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # Context windows of 2,000 characters, whose borders most often cut a token.
-    starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(2000)))
-    windows = docs.withColumn("windows", F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + 2000, F.length("text")).alias("end"))))
-    return token_attribution.section_tokens(windows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, sections="windows")
+    # Sections are lines; a token over a line end goes to the line with most of it, or to the last one.
+    return token_attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, rules=("largest", "last"))
 
 
 def op4_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

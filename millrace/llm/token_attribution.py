@@ -8,29 +8,32 @@ search, and a token that crosses a border goes to one section by an explicit rul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe_tree import read_ranks
+from millrace.llm.bpe_tree import TreeEncoder, encoder, read_ranks
+from millrace.llm.common import blocks
 
 RULES = ("largest", "first", "last")
 
 
 class OffsetEncoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for raw, i in ranks.items():
+    """Character spans of the tokens of whole texts, encoded by tree reduction as in bpe_tree."""
+
+    def __init__(self, tree: TreeEncoder):
+        self.tree = tree
+        self.size = np.zeros(max(tree.token) + 1, np.int64)
+        for i, raw in tree.token.items():
             self.size[i] = len(raw)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends, in characters, of the tokens of text."""
-        stops = np.cumsum(self.size[self.base.encode_to_numpy(text, disallowed_special=())])
+        stops = np.cumsum(self.size[np.frombuffer(self.tree.encode(text), np.uint32)])
         starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
         raw = np.frombuffer(text.encode(), np.uint8)
         if len(raw) == len(text):
@@ -48,6 +51,17 @@ def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], stops[:-1]]), stops
 
 
+def reached(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last section that each token has a part in; none: the first is after the last."""
+    return np.searchsorted(end, token_start, "right"), np.searchsorted(start, token_end, "left") - 1
+
+
+def cut_off(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the tokens in some section, those that reach out of one."""
+    some = np.nonzero(first <= last)[0]
+    return (first[some] < last[some]) | (token_start[some] < start[first[some]]) | (token_end[some] > end[last[some]])
+
+
 def allocate(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str = "largest") -> np.ndarray:
     """The section of each token, -1 where none has a part of it.
 
@@ -57,8 +71,7 @@ def allocate(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray,
     """
     if not len(start):
         return np.full(len(token_start), -1)
-    first = np.searchsorted(end, token_start, "right")
-    last = np.searchsorted(start, token_end, "left") - 1
+    first, last = reached(token_start, token_end, start, end)
     owner = np.where(first <= last, first, -1)
     crossing = np.nonzero(first < last)[0]
     if rule == "last":
@@ -70,53 +83,54 @@ def allocate(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray,
     return owner
 
 
-_encoders: dict[tuple, OffsetEncoder] = {}
-
-
-def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: str | None = None, rule: str = "largest") -> DataFrame:
-    """doc_id, section, start, end, n_tokens, n_crossing: one row for each section of each row's text.
+def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: str | None = None, rules: Sequence[str] = ("largest",)) -> DataFrame:
+    """doc_id, section, start, end, n_crossing and n_tokens_<rule> for each rule: one row for each section of each row's text.
 
     sections: the name of a column array<struct<start, end>> in characters, in order and
-    without overlap, or None for lines. A section past the end of the text is cut there.
-    Tokens outside all sections are in a row with section null. n_crossing: tokens of
-    the section that reach into another. Counts of a row add up to the tokens of its
-    whole text. A null or empty text has no sections and no rows; a null sections
-    value means no section; repeated rows each give their rows; other columns are ignored.
+    without overlap, or None for lines, each with its line end. A section past the end
+    of the text is cut there. rules: where a token goes that reaches over a border, see
+    allocate. Tokens outside all sections are in a row with section null. n_crossing:
+    tokens that reach into the section and out of it. Counts of a row by one rule add
+    up to the tokens of its whole text. A null or empty text has no sections and no
+    rows; a null sections value means no section; repeated rows each give their rows;
+    other columns are ignored.
     """
-    if rule not in RULES:
-        raise ValueError(f"rule must be one of {RULES}")
+    if not rules or set(rules) - set(RULES):
+        raise ValueError(f"rules must be some of {RULES}")
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     key = (ranks_path, pattern)
-    given = F.lit(None).cast("array<struct<start:bigint,end:bigint>>") if sections is None else F.transform(F.coalesce(docs[sections], F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
+    spans = "array<struct<start:bigint,end:bigint>>"
+    given = F.lit(None).cast(spans) if sections is None else F.transform(F.coalesce(docs[sections], F.array().cast(spans)), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), given.alias("sections"))
+    names = ["doc_id", "section", "start", "end", "n_crossing", *(f"n_tokens_{rule}" for rule in rules)]
+
+    def counts(encoder: OffsetEncoder, text: str, own: list | None) -> list[np.ndarray]:
+        """Columns from section on of one text; section -1 is none."""
+        start, end = lines(text) if own is None else (np.array([min(s[c], len(text)) for s in own], np.int64) for c in ("start", "end"))
+        token_start, token_end = encoder.spans(text)
+        owners = [allocate(token_start, token_end, start, end, rule) for rule in rules]
+        by_rule = [np.bincount(owner + 1, minlength=len(start) + 1) for owner in owners]
+        over = np.zeros(len(start) + 1, np.int64)
+        first, last = reached(token_start, token_end, start, end)
+        # A token that stands partly in sections crosses into each that it reaches.
+        for k in np.nonzero(first <= last)[0][cut_off(token_start, token_end, start, end, first, last)]:
+            over[first[k] + 1 : last[k] + 2] += 1
+        at = np.arange(0 if by_rule[0][0] else 1, len(start) + 1)
+        return [at - 1, np.concatenate([[0], start])[at], np.concatenate([[0], end])[at], over[at], *(n[at] for n in by_rule)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            _encoders[key] = OffsetEncoder(ranks.value, pattern)
-        encoder = _encoders[key]
+        offsets = OffsetEncoder(encoder(ranks.value, pattern, key))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for at, stop in blocks(pc.binary_length(whole.column("text")).to_pylist()):
+                batch = whole.slice(at, stop - at)
+                ids, found = [], []
                 for doc_id, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sections")), strict=True):
-                    if not text:
-                        continue
-                    start, end = lines(text) if own is None else (np.array([min(s[c], len(text)) for s in own], np.int64) for c in ("start", "end"))
-                    token_start, token_end = encoder.spans(text)
-                    owner = allocate(token_start, token_end, start, end, rule)
-                    n = np.bincount(owner + 1, minlength=len(start) + 1)
-                    over = np.zeros(len(start) + 1, np.int64)
-                    if len(start):
-                        inside = owner >= 0
-                        reach = np.zeros(len(owner), bool)
-                        reach[inside] = (token_start[inside] < start[owner[inside]]) | (token_end[inside] > end[owner[inside]])
-                        over = np.bincount(owner + 1, reach, len(start) + 1).astype(np.int64)
-                    rows = np.arange(0 if n[0] else 1, len(start) + 1)
-                    for column, values in zip(out, (np.full(len(rows), doc_id, object), rows - 1, np.concatenate([[0], start])[rows], np.concatenate([[0], end])[rows], n[rows], over[rows]), strict=True):
-                        column.append(values)
-                columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-                none = columns[1] < 0
-                arrays = [pa.array(columns[0].tolist(), pa.int64()), *(pa.array(c.astype(np.int64), pa.int64(), mask=none) for c in columns[1:4]), *(pa.array(c.astype(np.int64), pa.int64()) for c in columns[4:])]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
-
-    return rows.mapInArrow(count, "doc_id long, section long, start long, end long, n_tokens long, n_crossing long")
+                    if text:
+                        found.append(counts(offsets, text, own))
+                        ids += [doc_id] * len(found[-1][0])
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * (len(names) - 1)
+                none = columns[0] < 0
+                arrays = [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64(), mask=none) for c in columns[:3]), *(pa.array(c, pa.int64()) for c in columns[3:])]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.mapInArrow(count, ", ".join(f"{name} long" for name in names))

@@ -31,11 +31,12 @@ def test_bpe_round_trip(docs, texts, odd, empty, encoding):
         assert found[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     whole = bpe_tree.bpe_round_trip(docs, RANKS_PATH, public_tokenizers.PATTERN).collect()
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in whole} == {i: t or "" for i, t in texts}
-    assert bpe_tree.bpe_digest(odd, RANKS_PATH, public_tokenizers.PATTERN).count() == 8
+    want = sorted(((r["doc_id"], (r["text"] or "").encode()) for r in odd.collect()), key=repr)
+    assert sorted(((r["doc_id"], bytes(r["decoded"])) for r in bpe_tree.bpe_round_trip(odd, RANKS_PATH, public_tokenizers.PATTERN).collect()), key=repr) == want
     assert bpe_tree.bpe_digest(empty, RANKS_PATH, public_tokenizers.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize(("chars", "size"), [(1, 1), (3, 2), (7, 3), (50, 16)])
+@pytest.mark.parametrize(("chars", "size"), [(1, 1), (3, 2), (7, 3), (50, 16), (64, 16), (5000, 16)])
 def test_tree_joins(encoding, chars, size):
     tree = bpe_tree.TreeEncoder(bpe_tree.read_ranks(RANKS_PATH), public_tokenizers.PATTERN, chars, size)
     rng = random.Random(chars)
@@ -53,7 +54,7 @@ def test_token_attribution(docs, texts, odd, empty, encoding):
     rows = [(i, [(a, b) for a, b in zip(c[:-1], c[1:], strict=True)][1:]) for i, c in cuts.items()]
     parts = docs.sparkSession.createDataFrame(rows, "doc_id long, parts array<struct<start:long,end:long>>")
     found = token_attribution.section_tokens(docs.join(parts, "doc_id"), RANKS_PATH, public_tokenizers.PATTERN, "parts").collect()
-    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in found}
+    got = {(r["doc_id"], r["section"]): r["n_tokens_largest"] for r in found}
     want = {}
     for i, t in texts:
         if not t:
@@ -72,7 +73,12 @@ def test_token_attribution(docs, texts, odd, empty, encoding):
             at += size
     assert got == want
     assert any(r["n_crossing"] for r in found)
-    assert token_attribution.section_tokens(odd, RANKS_PATH, public_tokenizers.PATTERN).count() == 5
+    lines = token_attribution.section_tokens(odd, RANKS_PATH, public_tokenizers.PATTERN, rules=("first", "last"))
+    assert lines.columns == ["doc_id", "section", "start", "end", "n_crossing", "n_tokens_first", "n_tokens_last"]
+    n = len(encoding.encode_ordinary("same text here"))
+    ids = {"another": len(encoding.encode_ordinary("another")), "SAME text here": len(encoding.encode_ordinary("SAME text here"))}
+    want = [(None, 14, n), (1, 14, n), (1, 14, n), (1, 7, ids["another"]), (2, 14, ids["SAME text here"])]
+    assert sorted(map(tuple, lines.collect()), key=repr) == sorted(((i, 0, 0, end, 0, k, k) for i, end, k in want), key=repr)
     assert token_attribution.section_tokens(empty, RANKS_PATH, public_tokenizers.PATTERN).count() == 0
 
 
@@ -83,7 +89,45 @@ def test_allocation_rules():
     assert token_attribution.allocate(*tokens, start, end, "first").tolist() == [0, 0, 0, 1]
     assert token_attribution.allocate(*tokens, start, end, "last").tolist() == [0, 1, 1, 1]
     with pytest.raises(ValueError):
-        token_attribution.section_tokens(None, "", "", rule="middle")
+        token_attribution.section_tokens(None, "", "", rules=("middle",))
+
+
+def test_crossing_is_counted_where_it_reaches(spark, encoding):
+    # One token " banana" over three sections and a gap, then a token within one.
+    df = spark.createDataFrame([(1, " banana x", [(0, 2), (2, 3), (4, 9)])], "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    assert len(encoding.encode_ordinary(" banana x")) == 2
+    found = sorted(token_attribution.section_tokens(df, RANKS_PATH, public_tokenizers.PATTERN, "parts", ("first", "largest", "last")).collect())
+    assert [tuple(r)[1:] for r in found] == [(0, 0, 2, 1, 1, 0, 0), (1, 2, 3, 1, 0, 0, 0), (2, 4, 9, 1, 1, 2, 2)]
+
+
+LONG = {
+    "blanks": " " * 1_000_000,
+    "blanks and a word": " " * 300_000 + "x" + " " * 300_001 + "end",
+    "signs": "%" * 300_000,
+    "one letter": "a" * 400_000,
+    "letters": "".join(random.Random(3).choice("abcdefgh") for _ in range(200_000)),
+    "digits": "7" * 300_000,
+    "lines": ("\n" + " " * 999) * 200,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_runs(encoding, name):
+    """Runs of a million characters; the library encodes those of one match as one piece."""
+    text, tree = LONG[name], bpe_tree.TreeEncoder(bpe_tree.read_ranks(RANKS_PATH), public_tokenizers.PATTERN)
+    packed = tree.encode(text)
+    assert tree.decode(packed) == text.encode()
+    pieces = [" " * 299_999, " x", " " * 300_000, " end"] if name == "blanks and a word" else [text]
+    assert packed == array("I", [i for p in pieces for i in encoding._encode_single_piece(p)]).tobytes()
+    spans = token_attribution.OffsetEncoder(tree).spans(text)
+    assert spans[0][0] == 0 and spans[1][-1] == len(text) and (spans[0][1:] == spans[1][:-1]).all()
+
+
+def test_long_runs_in_tables(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(LONG.values())], "doc_id long, text string")
+    found = token_attribution.section_tokens(df, RANKS_PATH, public_tokenizers.PATTERN).groupBy("doc_id").agg(F.sum("n_tokens_largest").alias("n")).collect()
+    coded = {r["doc_id"]: r["n_tokens"] for r in bpe_tree.bpe_digest(df, RANKS_PATH, public_tokenizers.PATTERN).collect()}
+    assert {r["doc_id"]: r["n"] for r in found} == coded
 
 
 SECRETS = [
