@@ -1,15 +1,17 @@
 """Toxicity scores from subword-bag embeddings under a linear softmax.
 
 A word is the mean of the vectors of its character n-grams, a passage of WINDOW words
-the mean of its words, and a softmax over two classes reads that mean. Vectors and
-softmax are trained jointly in numpy on a bounded sample of labelled documents, first
-on passages drawn from them, then on the most toxic passage of each, since a document
-is toxic if any of its passages is. An unseen misspelling shares most n-grams with the
+the mean of its words, and a softmax over two classes reads that mean. A document is
+toxic if any of its passages is, so the loss of a document is that of its most toxic
+passage. Vectors and softmax are trained jointly in numpy on a bounded sample of
+labelled documents: first on passages drawn from them, to tell which is which, then
+with that pooling inside the loss. An unseen misspelling shares most n-grams with the
 word meant and so its vector.
 
-As the model is linear from the n-grams on, what is broadcast is one weight for each
-of 2 ** BITS n-gram buckets (1 MB): a word scores the mean of its weights, a passage
-the mean of its words, a document the logistic function of its highest passage.
+As all is linear between n-grams and softmax, what is broadcast is one weight for each
+of 2 ** BITS n-gram buckets (1 MB), the difference of the two classes: a word scores the
+mean of its weights, a passage the mean of its words, and the softmax of the highest
+passage is the score of the document.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ WINDOW = 4
 SIZES = (4, 5, 6)
 BITS = 18
 DIM = 8
-#: Bounds on the labelled documents that the driver trains on: how many, and how long each may be.
+#: Bounds on what the driver trains on: labelled documents, and characters of each; of a longer one, pieces from all over it.
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 100_000
+TRAIN_CHARS, PIECE_CHARS = 40_000, 2_000
 MEMO = 500_000
 WORD = re.compile(r"\w+")
 
@@ -74,10 +76,14 @@ def _grams_of_many(words: list[str], some: int = 20_000) -> tuple[np.ndarray, np
 
 @dataclass(frozen=True)
 class Model:
+    """The softmax of two classes as the logistic function of their difference."""
+
     weights: np.ndarray  # of the buckets
-    slope: float
     bias: float
 
+    def probability(self, top: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
+
 
 def passages(n: int) -> np.ndarray:
     """First words of the passages of a text of n words; every word is in one at least."""
@@ -120,7 +126,7 @@ class Scorer:
                 fresh |= {w for d in docs for w in d}
             self.learn(list(fresh))
         top = np.array([highest(np.array([known[w] for w in d], np.float64))[0] for d in docs], np.float64)
-        return (1 / (1 + np.exp(-np.clip(self.model.slope * top + self.model.bias, -30, 30)))).tolist()
+        return self.model.probability(top).tolist()
 
 
 _scorers: list[Scorer] = []
@@ -145,8 +151,8 @@ class Trainer:
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         # Vectors start at zero, so an n-gram that no label has moved says nothing.
         self.vectors = np.zeros((1 << BITS, DIM), np.float32)
-        self.softmax = self.rng.normal(0, 1, (DIM, 2)).astype(np.float32)
-        self.vectors_g2, self.softmax_g2 = np.full(1 << BITS, 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32)
+        self.softmax, self.bias = self.rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self.vectors_g2, self.softmax_g2, self.bias_g2 = np.full(1 << BITS, 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
         self.share = max(1e-3, float(labels.mean()))
 
     def buckets(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +161,8 @@ class Trainer:
         owner = np.repeat(np.arange(len(words)), size)
         return self.flat[np.repeat(self.first[words] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())], owner
 
-    def step(self, docs: np.ndarray, starts: np.ndarray, rate: float) -> None:
+    def step(self, docs: np.ndarray, starts: np.ndarray, rate: float, balanced: bool) -> None:
+        """One step down the cross entropy of a passage of each document; balanced: both classes weigh the same."""
         words = [self.docs[i][s : s + WINDOW] for i, s in zip(docs, starts, strict=True)]
         passage = np.repeat(np.arange(len(docs)), [len(w) for w in words])
         words = np.concatenate(words)
@@ -163,10 +170,10 @@ class Trainer:
         share = (1 / (np.maximum(1, self.size[words]) * WINDOW)).astype(np.float32)[owner]
         of = passage[owner]
         mean = np.stack([np.bincount(of, self.vectors[bucket, k] * share, len(docs)) for k in range(DIM)], 1).astype(np.float32)
-        logits = mean @ self.softmax
+        logits = mean @ self.softmax + self.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        weight = np.where(self.y[docs] == 1, 0.5 / self.share, 0.5 / (1 - self.share)).astype(np.float32)
+        weight = np.where(self.y[docs] == 1, 0.5 / self.share, 0.5 / (1 - self.share)).astype(np.float32) if balanced else np.ones(len(docs), np.float32)
         error = (p - np.eye(2, dtype=np.float32)[self.y[docs]]) * weight[:, None] / len(docs)
         back, turn = error @ self.softmax.T, mean.T @ error
         touched, place = np.unique(bucket, return_inverse=True)
@@ -175,6 +182,8 @@ class Trainer:
         self.vectors[touched] -= rate * grad / np.sqrt(self.vectors_g2[touched])[:, None]
         self.softmax_g2 += turn**2
         self.softmax -= rate * turn / np.sqrt(self.softmax_g2)
+        self.bias_g2 += error.sum(0) ** 2
+        self.bias -= rate * error.sum(0) / np.sqrt(self.bias_g2)
 
     def word_scores(self) -> np.ndarray:
         weights = self.weights()
@@ -187,30 +196,17 @@ class Trainer:
         use = np.array([i for i, d in enumerate(self.docs) if len(d)], np.int64)
         tops = []
         for turn in range(warm + rounds):
-            if turn >= warm:
+            pooled = turn >= warm
+            if pooled:
                 scores = self.word_scores()
                 tops = [highest(scores[self.docs[i]])[1] for i in use]
             order = self.rng.permutation(len(use))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
                 docs = use[some]
-                starts = [tops[k] for k in some] if turn >= warm else [int(self.rng.choice(passages(len(self.docs[i])))) for i in docs]
-                self.step(docs, np.array(starts), rate)
-        scores = self.word_scores()
-        x = np.array([highest(scores[d])[0] for d in self.docs])
-        return Model(self.weights(), *logistic(x, self.y))
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of P(y = 1) given x, by Newton steps with a little shrinkage."""
-    scale = max(1e-6, float(x.std()))
-    z, beta = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (p - y) + 1e-2 * beta
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
-        beta -= np.linalg.solve(hess, grad)
-    return float(beta[0] / scale), float(beta[1])
+                starts = [tops[k] for k in some] if pooled else [int(self.rng.choice(passages(len(self.docs[i])))) for i in docs]
+                self.step(docs, np.array(starts), rate, not pooled)
+        return Model(self.weights(), float(self.bias[1] - self.bias[0]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -221,16 +217,22 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """The model from at most train_rows labelled rows outside the held-out fold, taken in hash order of doc_id.
 
-    Longer texts than TRAIN_CHARS and null labels teach nothing. Without rows of both kinds the model is constant: the share of toxic rows, or 0.
+    Of a text longer than TRAIN_CHARS, pieces of PIECE_CHARS at even distances are learned
+    from. Null labels teach nothing. Without rows of both kinds the model is constant: the
+    share of toxic rows, or 0.
     """
     known = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic").cast("int") > 0).cast("int").alias("y")).filter(~held_out(F.col("id")))
     chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows)
+    pieces = TRAIN_CHARS // PIECE_CHARS
+    step = (F.length("text") - PIECE_CHARS) / (pieces - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring(F.col("text"), F.floor(k * step).cast("int") + 1, F.lit(PIECE_CHARS)))
+    learned = F.when(F.length("text") > TRAIN_CHARS, F.array_join(spread, " ")).otherwise(F.col("text"))
     # At most train_rows rows, so the documents need not move.
-    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).filter(F.length("text") <= TRAIN_CHARS).select("id", "y", "text").toPandas().sort_values(["id", "y", "text"])
+    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", learned.alias("text")).toPandas().sort_values(["id", "y", "text"])
     y = rows["y"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     return Trainer(rows["text"].tolist(), y).train()
 
 
@@ -254,7 +256,12 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic."""
+    """The rows of docs, all columns, that are not predicted toxic.
+
+    Each row is judged by its own whole text: a null or empty one has the score of no
+    words, whatever its doc_id, and repeated rows stay or go together. Labels without a
+    row of docs, null labels and the held-out fold teach nothing; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf("boolean")

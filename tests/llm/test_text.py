@@ -1,7 +1,9 @@
 """BPE, token attribution, secrets, toxicity, decontamination and tool calls."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from array import array
 
@@ -217,6 +219,57 @@ def test_subwords_share_vectors():
     assert bad > 0.5 and misspelt > 0.5 and good < 0.5 and none < 0.5
 
 
+def plain_score(text, model):
+    """The score by its definition, n-gram by n-gram."""
+    mask, words = (1 << 64) - 1, []
+    for w in re.findall(r"\w+", text.lower()):
+        if not words or words[-1] != w:
+            words.append(w)
+    means = []
+    for w in words:
+        marked, weights = f"<{w}>", []
+        for n in subword_toxicity.SIZES:
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & mask
+                weights.append(model.weights[((h + n) * 0x9E3779B97F4A7C15 & mask) >> (64 - subword_toxicity.BITS)])
+        means.append(float(np.mean(weights)) if weights else 0.0)
+    k, n = subword_toxicity.WINDOW, len(words)
+    starts = {*range(0, max(1, n - k + 1), k // 2), max(0, n - k)}
+    top = max((sum(means[i : i + k]) / k for i in starts), default=0.0) if n else 0.0
+    return 1 / (1 + math.exp(-(top + model.bias)))
+
+
+def test_scores_by_definition(docs, texts, odd):
+    rng = np.random.default_rng(3)
+    model = subword_toxicity.Model(rng.normal(0, 3, 1 << subword_toxicity.BITS).astype(np.float32), -1.5)
+    want = {i: plain_score(t or "", model) for i, t in texts}
+    found = {r["doc_id"]: r for r in subword_toxicity.toxicity(docs, model).collect()}
+    assert {i: r["score"] for i, r in found.items()} == pytest.approx(want, abs=1e-5)
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in found.values()) and len({r["predicted"] for r in found.values()}) == 2
+    rows = sorted(((r["doc_id"], r["held_out"], round(r["score"], 4)) for r in subword_toxicity.toxicity(odd, model).collect()), key=repr)
+    assert rows == sorted(((r["doc_id"], r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, round(plain_score(r["text"] or "", model), 4)) for r in odd.collect()), key=repr)
+
+
+def test_long_labelled_texts_teach(spark):
+    rng = random.Random(9)
+    clean = ["river", "stone", "mill", "wheel", "gate", "boat", "field", "corn", "hill"]
+    rows = [(i, " ".join(rng.choice([*clean, "disgusting"] if i % 2 else clean) for _ in range(9000))) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t) for _, t in rows) > subword_toxicity.TRAIN_CHARS
+    model = subword_toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert [r["predicted"] for r in subword_toxicity.toxicity(df, model).orderBy("doc_id").collect()] == [i % 2 for i, _ in rows]
+
+
+def test_drop_toxic_by_row(spark, odd):
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)], "doc_id long, toxic int")
+    rows = [(i, "vile words here" if i % 2 else "quiet mill here", None, None, None) for i in range(200)] + [(None, "vile words here", None, None, None), (500, "vile words", None, None, None)]
+    odd = odd.withColumn("doc_id", F.col("doc_id") + 1000)  # without labels
+    kept = subword_toxicity.drop_toxic(spark.createDataFrame(rows, odd.schema).union(odd), labels)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(i, t) for i, t, *_ in rows if t.startswith("quiet")] + [(r["doc_id"], r["text"]) for r in odd.collect()], key=repr)
+
+
 def test_toxicity_edges(docs, odd, empty, texts):
     constant = subword_toxicity.fit(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     found = subword_toxicity.toxicity(docs, constant).collect()
