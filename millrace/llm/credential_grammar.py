@@ -1,12 +1,19 @@
 """Secret scan with inferred credential formats.
 
 Base detectors find assignments, access keys and hex digests by pattern. Their finds
-are the labelled credentials from which a probabilistic automaton per kind is inferred:
-a prefix tree of a bounded sample, whose states are merged while their next-symbol and
-end frequencies agree within Hoeffding's bound (red-blue state merging). Every other
-run of eight or more symbols of values in every text is then scored by each automaton; a token whose
-likelihood per symbol is among those of the credentials the format was learned from,
-and above that of the plain tokens, is a secret of that format too.
+are the labelled credentials from which a probabilistic automaton per kind is inferred.
+The prefix tree of a bounded sample is merged in two passes, each while next-symbol and
+end frequencies, here and further on, agree within Hoeffding's bound:
+
+* States of one depth first. Random symbols leave each branch with one string, so only
+  together do the branches show what stands at a position and where a format ends.
+* Then states of different depths, where both have been seen often enough to tell. A
+  format of any length gets its loops this way; one of fixed length keeps its chain.
+
+Every other run of eight or more symbols of values in every text is then scored by each
+automaton. A token is a secret of a format if it ends where credentials end, its
+likelihood per symbol is among those that credentials have under automata that did not
+see them, and above that of the plain tokens. A format is read in either letter case.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,15 +42,16 @@ ASSIGN_CHARS = 8
 #: Every whole run of the symbols of an assigned value, from its least length on.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_CHARS)
 LEARNED = tuple(f"{k}_format" for k in KINDS)
-#: Bound on the credentials of a kind, and on plain tokens, that the driver learns from; symbols of each that it learns.
-SAMPLE = 300
-SYMBOLS = 64
+#: Bounds on what the driver learns from: credentials of a kind, and plain tokens; symbols of one, longer ones teach nothing.
+SAMPLE, SYMBOLS = 300, 128
 #: Distinct tokens whose kinds a task remembers, and their longest.
 REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 SALTS = 16
 ALPHA = 0.05
-#: A candidate is taken above this quantile of the likelihoods of the credentials themselves.
-QUANTILE = 0.02
+#: Strings that must have passed both states for a merge over depths.
+EVIDENCE = 30
+#: A candidate is taken above this quantile of the likelihoods of credentials held out in turn, in FOLDS parts.
+QUANTILE, FOLDS = 0.01, 5
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,45 +79,95 @@ class Automaton:
     """A deterministic probabilistic automaton inferred from sample strings."""
 
     def __init__(self, sample: list[str], alpha: float = ALPHA):
-        self.states = [State()]
+        self.states, levels = [State()], [[0]]
         for text in sample:
             at = 0
-            for c in text[:SYMBOLS]:
+            for depth, c in enumerate(text, 1):
                 state = self.states[at]
                 state.seen += 1
                 state.taken[c] = state.taken.get(c, 0) + 1
                 if c not in state.next:
                     state.next[c] = len(self.states)
                     self.states.append(State())
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append(state.next[c])
                 at = state.next[c]
-            # Where a longer one is cut, it does not end.
-            if len(text) <= SYMBOLS:
-                self.states[at].seen += 1
-                self.states[at].ends += 1
+            self.states[at].seen += 1
+            self.states[at].ends += 1
+        self.merged = list(range(len(self.states)))
+        self.apart: set[tuple[int, int]] = set()
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.symbols = max(2, len({c for t in sample for c in t}))
-        self._infer()
-
-    def _apart(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+        for level in levels:
+            self._settle([], level, 0)
+        self.red = [0]
+        for level in levels:
+            self._settle(self.red, level, EVIDENCE)
+        self._freeze()
+
+    def _of(self, i: int) -> int:
+        """The state that i has become."""
+        while self.merged[i] != i:
+            self.merged[i] = i = self.merged[self.merged[i]]
+        return i
+
+    def _settle(self, heads: list[int], states: list[int], evidence: int) -> None:
+        """Merges each state that `evidence` strings have passed into the first compatible head, or makes it one."""
+        for i in dict.fromkeys(map(self._of, states)):
+            if (i := self._of(i)) in heads or self.states[i].seen < evidence:
+                continue
+            for head in heads:
+                if self._compatible(head, i):
+                    self._merge(head, i)
+                    break
+            else:
+                heads.append(i)
 
     def _compatible(self, a: int, b: int) -> bool:
-        """True if no frequency after a and b differs by more than chance; b heads a tree."""
-        todo = [(a, b)]
+        """True if no frequency after a and b differs by more than chance.
+
+        Where so few strings have passed that no difference could tell, neither could what follows.
+        """
+        todo, led = [(a, b)], {(a, b): None}
         while todo:
-            x, y = (self.states[i] for i in todo.pop())
-            if self._apart(x.ends, x.seen, y.ends, y.seen):
-                return False
-            if any(self._apart(x.taken.get(c, 0), x.seen, y.taken.get(c, 0), y.seen) for c in x.taken.keys() | y.taken.keys()):
+            pair = todo.pop()
+            if pair in self.apart or self._differ(*(self.states[i] for i in pair)):
+                # So do all pairs on the way to it.
+                while pair:
+                    self.apart.add(pair)
+                    pair = led[pair]
                 return False
-            todo += [(x.next[c], to) for c, to in y.next.items() if c in x.next]
+            x, y = (self.states[i] for i in pair)
+            if self._chance(x, y) < 1:
+                for c in x.next.keys() & y.next.keys():
+                    after = self._of(x.next[c]), self._of(y.next[c])
+                    if after[0] != after[1] and after not in led:
+                        led[after] = pair
+                        todo.append(after)
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree under b to a."""
+    def _chance(self, x: State, y: State) -> float:
+        return self.bound * (1 / math.sqrt(x.seen) + 1 / math.sqrt(y.seen)) if x.seen and y.seen else 1.0
+
+    def _differ(self, x: State, y: State) -> bool:
+        chance = self._chance(x, y)
+        if chance >= 1:
+            return False
+        if abs(x.ends / x.seen - y.ends / y.seen) > chance:
+            return True
+        return any(abs(n / x.seen - y.taken.get(c, 0) / y.seen) > chance for c, n in x.taken.items()) or any(n / y.seen > chance for c, n in y.taken.items() if c not in x.taken)
+
+    def _merge(self, a: int, b: int) -> None:
+        """Makes b a part of a, and what follows b part of what follows a."""
+        self.apart.clear()
         todo = [(a, b)]
         while todo:
-            i, j = todo.pop()
+            i, j = map(self._of, todo.pop())
+            if i == j:
+                continue
+            i, j = min(i, j), max(i, j)
+            self.merged[j] = i
             x, y = self.states[i], self.states[j]
             x.seen += y.seen
             x.ends += y.ends
@@ -119,36 +178,42 @@ class Automaton:
                 else:
                     x.next[c] = y.next[c]
 
-    def _infer(self) -> None:
-        red = [0]
-        while True:
-            settled = set(red)
-            blue = next(((r, c) for r in red for c in sorted(self.states[r].next) if self.states[r].next[c] not in settled), None)
-            if blue is None:
-                self.red = red
-                return
-            parent, c = blue
-            b = self.states[parent].next[c]
-            for r in red:
-                if self._compatible(r, b):
-                    self.states[parent].next[c] = r
-                    self._fold(r, b)
-                    break
+    def _freeze(self) -> None:
+        """Logarithms of all steps and ends. An unseen symbol is rare and leads where most strings went."""
+        alive = {i: k for k, i in enumerate(dict.fromkeys(map(self._of, range(len(self.states)))))}
+        self.red = sorted({self._of(i) for i in self.red})
+        self.rare = math.log(1 / (20 * self.symbols))
+        self.steps: list[dict[str, tuple[float, int]]] = []
+        self.most: list[int | None] = []
+        self.end: list[float] = []
+        for i in alive:
+            state = self.states[i]
+            self.steps.append({c: (max(self.rare, math.log(n / state.seen)), alive[self._of(state.next[c])]) for c, n in state.taken.items()})
+            self.most.append(alive[self._of(state.next[max(state.taken, key=state.taken.get)])] if state.taken else None)
+            self.end.append(max(self.rare, math.log(state.ends / state.seen)) if state.ends else -math.inf)
+        del self.states, self.merged, self.apart
+
+    def likelihood(self, text: str, least: float = -math.inf) -> float:
+        """Mean log-likelihood of the symbols of text and its end; -inf where no string ends, or if it is below least."""
+        at, total, floor = 0, 0.0, least * (len(text) + 1)
+        for c in text:
+            if (step := self.steps[at].get(c)) is not None:
+                total += step[0]
+                at = step[1]
+            elif self.most[at] is not None:
+                total += self.rare
+                at = self.most[at]
             else:
-                red.append(b)
-
-    def likelihood(self, text: str) -> float:
-        """Mean log-likelihood of the symbols of text and its end, unseen steps smoothed."""
-        at, total, rare = 0, 0.0, 1 / (20 * self.symbols)
-        for n, c in enumerate(text):
-            state = self.states[at]
-            if c not in state.next:
-                return (total + (len(text) - n + 1) * math.log(rare)) / (len(text) + 1)
-            total += math.log(max(rare, state.taken[c] / state.seen))
-            at = state.next[c]
-        state = self.states[at]
-        total += math.log(max(rare, state.ends / state.seen)) if state.seen else math.log(rare)
-        return total / (len(text) + 1)
+                return -math.inf
+            if total < floor:
+                return -math.inf
+        total += self.end[at]
+        return total / (len(text) + 1) if total >= floor else -math.inf
+
+
+def views(token: str) -> tuple[str, ...]:
+    """The token, and in the other case where its letters are all of one."""
+    return (token, token.swapcase()) if token.islower() or token.isupper() else (token,)
 
 
 @dataclass
@@ -171,8 +236,9 @@ class Formats:
 
     def classify(self, token: str) -> int | None:
         """The likeliest kind that takes the token."""
-        scores = [(score, kind) for kind, automaton, least in self.of_kind if (score := automaton.likelihood(token)) >= least]
-        if not scores or self.plain and self.plain.likelihood(token) >= max(scores)[0]:
+        seen = views(token)
+        scores = [(score, kind) for kind, automaton, least in self.of_kind if (score := max(automaton.likelihood(v, least) for v in seen)) > -math.inf]
+        if not scores or self.plain and max(map(self.plain.likelihood, seen)) >= max(scores)[0]:
             return None
         return max(scores)[1]
 
@@ -180,11 +246,18 @@ class Formats:
 def learn(samples: dict[str, list[str]]) -> Formats:
     of_kind = []
     for k, kind in enumerate(KINDS):
-        if sample := samples.get(kind):
-            automaton = Automaton(sample)
-            scores = sorted(automaton.likelihood(t) for t in sample)
-            of_kind.append((k, automaton, scores[int(QUANTILE * len(scores))] - 1e-9))
-    return Formats(of_kind, Automaton(samples["plain"]) if samples.get("plain") else None)
+        sample = [t for t in samples.get(kind, ()) if len(t) <= SYMBOLS]
+        if len(sample) >= FOLDS:
+            held_out = []
+            for i, j in pairwise(len(sample) * f // FOLDS for f in range(FOLDS + 1)):
+                others = Automaton(sample[:i] + sample[j:])
+                held_out += [others.likelihood(t) for t in sample[i:j]]
+            # A length that only the held-out part has says nothing of the symbols.
+            scores = sorted(x for x in held_out if x > -math.inf)
+            if scores:
+                of_kind.append((k, Automaton(sample), scores[int(QUANTILE * len(scores))] - 1e-9))
+    plain = [t for t in samples.get("plain", ()) if len(t) <= SYMBOLS]
+    return Formats(of_kind, Automaton(plain) if plain else None)
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
@@ -207,7 +280,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 for start, kind, end in spans:
-                    found[KINDS[kind]].add(credential(text, start, kind, end))
+                    found[KINDS[kind]].add(credential(text, start, kind, end).rstrip("."))
                 found["plain"].update(m.group() for m in candidates(text, spans))
             rows = [(h, kind, t) for kind, values in found.items() for h, t in sorted((int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest(), "big"), t) for t in values)[:sample]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["h", "kind", "value"])
@@ -220,12 +293,17 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
 
 
 def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those with what the formats add; kinds count on from the base kinds."""
+    """Base spans, and those with what the formats add; kinds count on from the base kinds.
+
+    Full stops at the end of a candidate belong to it only if it is taken with them.
+    """
     base = base_spans(text)
     more = []
     for m in candidates(text, base):
-        if (kind := formats.kind_of(m.group())) is not None:
-            more.append((m.start(), len(KINDS) + kind, m.end()))
+        for token in dict.fromkeys((m.group(), m.group().rstrip("."))):
+            if len(token) >= ASSIGN_CHARS and (kind := formats.kind_of(token)) is not None:
+                more.append((m.start(), len(KINDS) + kind, m.start() + len(token)))
+                break
     return base, sorted(base + more)
 
 

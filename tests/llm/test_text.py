@@ -154,36 +154,85 @@ def test_base_spans(spark, odd, empty):
     assert credential_grammar.scan(empty).count() == 0
 
 
-def test_inferred_formats():
+def base_model(text):
+    """Base spans by the letter: leftmost matches, failing ones dropped."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(found)
+
+
+def test_base_law_over_a_table(spark, sf_dir, docs, odd):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(4)
+    pieces = ["password", "PASSWD", "api_key", "apikey", "Token", "secret", '"', "'", " ", "=", ":", "AKIA", "ABCDEF012345", "abcdef0123456789", "longvalue.x-1", "é", "ſ", "\n", "."]
+    made = spark.createDataFrame([(10_000 + i, "".join(rng.choices(pieces, k=30))) for i in range(400)], "doc_id long, text string")
+    rows = table.union(made).union(docs.select("doc_id", "text")).union(odd.select("doc_id", "text"))
+    names, want = ("assign", "access", "hex"), []
+    for r in rows.collect():
+        found = base_model(r["text"] or "")
+        listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)
+        want.append((r["doc_id"], *(sum(k == x for _, k, _ in found) for x in range(3)), hashlib.sha256(listed.encode()).hexdigest(), listed))
+    got = []
+    for r in credential_grammar.scan(rows).collect():
+        base = ",".join(s for s in r["spans"].split(",") if "_format" not in s)
+        got.append((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], base))
+        starts = [(int(s.split(":")[1]), (*names, *credential_grammar.LEARNED).index(s.split(":")[0])) for s in r["spans"].split(",") if s]
+        assert starts == sorted(starts)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(w[1] for w in want) > 50 and sum(w[2] for w in want) > 20 and sum(w[3] for w in want) > 20
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_planted_formats():
+    """Precision and recall on credentials of the learned formats among tokens that look a little like them."""
     rng = random.Random(1)
-    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
-    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(200)]
-    plain = ["".join(rng.choice(["the", "er", "tion", "ing", "and"]) for _ in range(6)) for _ in range(200)]
-    automaton = credential_grammar.Automaton(hexes)
-    assert len(automaton.red) < 200
-    formats = credential_grammar.learn({"hex": hexes, "access": keys, "plain": plain})
     fresh = lambda chars, n, head="": head + "".join(rng.choice(chars) for _ in range(n))
-    taken = [formats.classify(fresh("0123456789abcdef", 40)) for _ in range(50)]
-    assert taken.count(2) >= 40
-    assert [formats.classify(fresh("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, "AKIA")) for _ in range(50)].count(1) >= 40
-    assert not any(formats.classify("".join(rng.choice(["the", "er", "tion", "ing", "and"]) for _ in range(6))) is not None for _ in range(50))
-    # Upper-case digests are no base find, but of a format close to nothing known.
+    word = lambda: "".join(rng.choice(["the", "er", "tion", "ing", "and", "keit", "ou", "men"]) for _ in range(rng.randint(2, 6)))
+    digest, key = lambda: fresh("0123456789abcdef", 40), lambda: fresh(LETTERS[:26] + LETTERS[52:], 16, "AKIA")
+    values = [lambda: fresh(LETTERS, 24), lambda: fresh(LETTERS, 28, "sk-"), lambda: f"{fresh(LETTERS, 12)}.{fresh(LETTERS, 20)}.{fresh(LETTERS, 16)}"]
+    others = [lambda: fresh("0123456789", 16), lambda: ".".join(str(rng.randint(10, 255)) for _ in range(4)), lambda: f"555-{fresh('0123456789', 4)}", word, lambda: "/".join(word() for _ in range(3)), lambda: f"20{rng.randint(10, 26)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"]
+    samples = {"assign": [rng.choice(values)() for _ in range(300)], "access": [key() for _ in range(300)], "hex": [digest() for _ in range(130)], "plain": [word() for _ in range(300)]}
+    automaton = credential_grammar.Automaton(samples["hex"])
+    assert len(automaton.red) == 41 and [k for k, e in enumerate(automaton.end) if e > -math.inf] == [automaton.red.index(max(automaton.red))]
+    formats = credential_grammar.learn(samples)
+    secrets = [(make(), kinds) for make, kinds in ((digest, {0, 2}), (lambda: digest().upper(), {0, 2}), (key, {1}), *((v, {0}) for v in values)) for _ in range(100)]
+    found = [formats.classify(t) in kinds for t, kinds in secrets]
+    false = [t for make in others for t in (make() for _ in range(200)) if len(t) >= 8 and formats.classify(t) is not None]
+    assert sum(found) >= 0.95 * len(secrets)
+    assert len(false) <= 0.01 * sum(found), false
+    # Lengths that no credential of a format has.
+    assert not any(formats.classify(t) is not None for _ in range(50) for t in (fresh("0123456789ABCDEF", 16), fresh("0123456789ABCDEF", 41), key() + "A", fresh(LETTERS, 100)))
     assert credential_grammar.learn({}).classify("0" * 40) is None
 
 
+def test_formats_of_any_length_have_loops():
+    rng = random.Random(2)
+    sample = []
+    for _ in range(300):
+        text = "x" + rng.choice("ab")
+        while rng.random() < 0.9:
+            text += rng.choice("ab")
+        sample.append(text[:100])
+    automaton = credential_grammar.Automaton(sample)
+    assert len(automaton.red) < 12
+    assert automaton.likelihood("x" + "ab" * 40) > automaton.likelihood("x" + "bc" * 40) and automaton.likelihood("x" + "ab" * 40) > -2
+
+
 def test_every_candidate_is_scored():
     rng = random.Random(8)
-    fresh = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
-    values = [fresh(rng.choice([9, 12, 40, 60, 300])) + rng.choice(["", ".X1." + fresh(20)]) for _ in range(300)]
-    plain = ["".join(rng.choice(["the", "er", "tion", "ing", "and"]) for _ in range(4)) for _ in range(300)]
-    formats = credential_grammar.learn({"assign": values, "plain": plain})
-    for token in (fresh(10), fresh(40), fresh(400), fresh(20) + "." + fresh(30) + "." + fresh(20)):
-        text = f"the andering {token}, mill"
-        assert credential_grammar.all_spans(text, formats) == ([], [(13, 3, 13 + len(token))]), token
-    # What stands after the symbols learned counts.
-    head = fresh(64)
-    assert formats.classify(head + fresh(100)) == 0
-    assert formats.classify(head + "therandingtion" * 8) is None
+    fresh = lambda n: "".join(rng.choice(LETTERS[:26] + LETTERS[52:]) for _ in range(n))
+    sizes = [10, 40, 100]
+    samples = {"assign": [fresh(sizes[k % 3]) for k in range(300)], "plain": ["".join(rng.choice(["the", "er", "tion", "ing"]) for _ in range(4)) for _ in range(300)]}
+    formats = credential_grammar.learn(samples)
+    for n in sizes:
+        token = fresh(n)
+        assert credential_grammar.all_spans(f"the andering {token}, mill {token}.", formats) == ([], [(13, 3, 13 + n), (20 + n, 3, 20 + 2 * n)]), token
+    # All symbols count, also those after the longest remembered token.
+    assert credential_grammar.REMEMBERED_CHARS < 100
+    assert formats.classify(fresh(100)) == 0 and formats.classify(fresh(72) + "therandingtion" * 2) is None
     # Whole runs without an upper bound, none where a base find is.
     text = "a.b/" + "x" * 5000 + " seven77 eight888 token=abcdefgh1 done"
     assert [m.group() for m in credential_grammar.candidates(text, credential_grammar.base_spans(text))] == ["a.b/" + "x" * 5000, "eight888"]
