@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import each_copy, texts
 
 BUCKETS = 16384
 ROUNDS = 6
@@ -22,7 +22,6 @@ ROUNDS = 6
 WALK = 64
 
 
-
 def feistel(x: Column, a: Column, b: Column, seed: int, rounds: int = ROUNDS) -> Column:
     """A permutation of 0 to a * b - 1 as a column."""
     state = F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r"))
@@ -63,8 +62,8 @@ def walked(x: Column, n: Column, a: Column, b: Column, seed: int, one=feistel) -
 def numbered(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """rows (doc_id, size, text_crc32) with global row numbers: row_no, and n, the number of rows.
 
-    Rows that are alike in all three are counted before they move and numbered by
-    sequence(), so that a row repeated any number of times is one row to the window.
+    Rows that are alike in all three are counted before they move, so that a row repeated
+    any number of times is one row to the window, and numbered by blocks of copies.
     """
     alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)))
     sizes = alike.groupBy("bucket").agg(F.sum("copies").alias("in_bucket"))
@@ -73,7 +72,7 @@ def numbered(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     offsets = sizes.select("bucket", (F.sum("in_bucket").over(upto) - F.col("in_bucket")).alias("offset"), F.sum("in_bucket").over(Window.partitionBy()).alias("n"))
     before = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = alike.withColumn("first", F.sum("copies").over(before) - F.col("copies")).join(F.broadcast(offsets), "bucket")
-    return first.select("doc_id", "size", "text_crc32", "n", F.explode(F.sequence(F.col("offset") + F.col("first"), F.col("offset") + F.col("first") + F.col("copies") - 1)).alias("row_no"))
+    return each_copy(first, "copies").select("doc_id", "size", "text_crc32", "n", (F.col("offset") + F.col("first") + F.col("copy")).alias("row_no"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20_240_101) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import durable, texts, without
+from millrace.llm.common import durable, joined_back, texts, without
 
 SHINGLE = 4
 RADIUS = 4
@@ -164,29 +164,29 @@ def components(links: DataFrame) -> DataFrame:
     checkpoint folder, and the number of rounds grows with the logarithm of the size.
     """
     edges = durable(links.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
-    before = None
+    before, size = None, edges.count()
     while True:
         both = edges.union(edges.select("root", "node")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("node"), F.col("m").alias("root")).distinct()
-        least = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(least, "node")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("links"))
+        large = durable(joined_back(both, least, ["u"], "links", 2 * size).filter("v > u and v <> m").select(F.col("v").alias("node"), F.col("m").alias("root")).distinct())
+        least = large.groupBy("node").agg(F.min("root").alias("m"), F.count(F.lit(1)).alias("links"))
+        small = joined_back(large, least, ["node"], "links", large.count())
         edges = durable(small.select("node", F.col("m").alias("root")).union(small.filter("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if now == before:
+        size, digest = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
+        if (size, digest) == before:
             return edges
-        before = now
+        before = size, digest
 
 
 def placed(found: DataFrame, radius: int) -> DataFrame:
     """found (doc_id, fp and others) with the component_id of each row."""
-    points = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    points = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows_of_fp")))
     stars = components(near_links(points, radius))
-    member = stars.union(stars.select("root", "root").distinct()).join(points.withColumnRenamed("fp", "node"), "node")
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = member.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    of_point = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(of_point, "fp")
+    member = stars.union(stars.select("root", "root").distinct()).join(points.select(F.col("fp").alias("node"), "first"), "node")
+    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    linked = joined_back(member, smallest, ["root"], "nodes", member.count()).select(F.col("node").alias("fp"), "component_id")
+    of_point = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "rows_of_fp")
+    return joined_back(found, of_point, ["fp"], "rows_of_fp", found.count()).drop("rows_of_fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

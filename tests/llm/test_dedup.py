@@ -49,6 +49,28 @@ def test_chunks_join_to_the_text(docs, texts):
     assert max(r[0] for r in sizes) <= 60
 
 
+def test_cuts_follow_content_in_any_script(spark):
+    rng = random.Random(12)
+    scripts = {"cjk": "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(6000)), "letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(6000)), "words": " ".join("mühle" for _ in range(1000)), "ends": "川の石。" * 1500}
+    for name, text in scripts.items():
+        rows = spark.createDataFrame([(0, text), (1, "zz" + text)], "doc_id long, text string").select("doc_id", chunk_recipes.chunks(F.col("text"), 64, 512).alias("c")).collect()
+        first, second = (r["c"] for r in sorted(rows))
+        assert "".join(first) == text and "".join(second) == "zz" + text
+        assert max(map(len, first)) < 512 and len(set(first) & set(second)) > 0.9 * len(set(first)), name
+
+
+def test_rows_of_hot_groups_are_dealt(spark):
+    from millrace.llm.common import each_copy, joined_back
+
+    rows = spark.range(6000).select((F.col("id") % 3000).alias("k"), F.col("id")).union(spark.range(4000, numPartitions=8).select(F.lit(-1).alias("k"), F.col("id"))).repartition(8)
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    found = joined_back(rows, groups, ["k"], "n", 10_000)
+    assert found.columns == ["k", "id", "n", "top"]
+    assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in rows.join(groups, "k").collect())
+    copies = each_copy(spark.createDataFrame([("a", 1), ("b", 10_000), ("c", 4096), ("d", 4097)], "x string, n long"), "n").groupBy("x").agg(F.count("copy").alias("rows"), F.countDistinct("copy").alias("all"), F.max("copy").alias("last"))
+    assert sorted(map(tuple, copies.collect())) == [("a", 1, 1, 0), ("b", 10_000, 10_000, 9999), ("c", 4096, 4096, 4095), ("d", 4097, 4097, 4096)]
+
+
 def test_drop_exact_copies(docs, texts, empty):
     kept = chunk_recipes.drop_exact_copies(docs)
     assert kept.columns == docs.columns
