@@ -84,7 +84,8 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT conv_id, call_id,
             CASE WHEN name IS NULL THEN 'orphan' WHEN answered IS NULL THEN 'pending' ELSE 'linked' END AS status,
-            level, name, CASE WHEN name IS NOT NULL THEN errors = '' END AS valid, errors,
+            level, CASE WHEN name IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, name IS NULL ORDER BY level, call_id) - 1 END AS position,
+            name, CASE WHEN name IS NOT NULL THEN errors = '' END AS valid, errors, CASE WHEN name IS NOT NULL THEN 0 END AS n_repeats,
             '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
         FROM calls FULL JOIN results USING (conv_id, call_id) LEFT JOIN forest USING (call_id)""",
     "op10_chunk_recipes": """

@@ -426,9 +426,53 @@ def test_tool_calls(spark):
     }
     assert found[(1, "b")]["message"] == '{"arguments":{"a":"x","z":1},"id":"b","name":"f","result":null}'
     assert found[(1, "a")]["message"] == '{"arguments":{"a":5},"id":"a","name":"f","result":"say \\"hi\\"\\n"}'
+    assert {k: (r["n_repeats"], r["position"]) for k, r in found.items() if k[0] == 1} == {(1, "a"): (0, 0), (1, "b"): (0, 1), (1, "c"): (1, 2)}
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), tools).count() == 0
 
 
+def test_canonical_numbers(spark):
+    pairs = {
+        '{"a":1e2}': '{"a":100}', '{"a":100}': '{"a":100}', '{"a":100.0}': '{"a":100}', '{"b":-0.0,"a":1.50e-3}': '{"a":0.0015,"b":0}', '{"a":123456789012345678901234567890123456789012}': '{"a":1.23456789012345678901234567890123456789012e41}',
+        '{"a":12345678901234567890.5}': '{"a":12345678901234567890.5}', '{"a":[1E+3, 2.10 ,"3.0e1"]}': '{"a":[1000,2.1,"3.0e1"]}', '{"s":"x \\"5\\" 6","n":7}': '{"n":7,"s":"x \\"5\\" 6"}',
+        '{"s":"\\\\","n":[true,null,{}]}': '{"n":[true,null,{}],"s":"\\\\"}', '{"s":"\\u00015","t":"\\\\u00015"}': '{"s":"\\u00015","t":"\\\\u00015"}', '{"a":1e-7}': '{"a":1e-7}', '{"a":1e400}': '{"a":1e400}', "5": "5", '"5"': '"5"', "{": None, "01": None,
+    }
+    df = spark.createDataFrame([(k,) for k in pairs], "j string")
+    assert {r["j"]: r["c"] for r in df.select("j", tool_calls.canonical(tool_calls.marked(F.col("j"))).alias("c")).collect()} == pairs
+    long = '{"text":"' + "a\\\\ \\n 7" * 50_000 + '","n":1.0}'
+    got = spark.createDataFrame([(long,)], "j string").select(tool_calls.canonical(tool_calls.marked(F.col("j"))).alias("c")).first()["c"]
+    assert got == '{"n":1,' + long[1:-9] + "}"
+
+
+def test_schemas(spark):
+    params = [("where", "object", True, None), ("where.city", "string", True, None), ("where.zip", "integer", False, None), ("tags", "array<string>", False, None), ("unit", "string", False, ['"m"', '"km"']), ("n", "integer", False, ["1", "2"]), ("x.y", "number", True, None), ("any", "date", False, None)]
+    cases = {
+        '{"where":{"city":"a","zip":12345678901234567890123},"tags":["p"],"unit":"m","n":1.0,"x":{"y":0.5},"any":[1]}': "",
+        '{"where":{"zip":1.5},"tags":["p",1],"unit":"ft","n":3}': "choice:n,choice:unit,missing:where.city,type:tags,type:where.zip",
+        '{"where":"a","tags":"p","x":{},"other":1}': "missing:x.y,type:tags,type:where,unknown:other",
+        "[1]": "json",
+        "7": "json",
+    }
+    calls = spark.createDataFrame([(1, str(k), None, "f", text) for k, text in enumerate(cases)], "conv_id long, call_id string, parent_id string, name string, arguments string")
+    tools = spark.createDataFrame([("f", params)], f"name string, params {tool_calls.PARAMS}")
+    found = tool_calls.link_tool_calls(calls, calls.limit(0).select("conv_id", "call_id", F.lit("").alias("content")), tools).orderBy("call_id").collect()
+    assert [r["errors"] for r in found] == list(cases.values())
+    assert [r["position"] for r in found] == list(range(len(cases)))
+
+
+def test_order_of_a_large_conversation(spark):
+    rng = random.Random(3)
+    rows = [(1, f"c{k:04}", f"c{rng.randrange(k):04}" if k % 7 else None) for k in range(1, 3000)] + [(2, "x", "y"), (2, "y", "x"), (2, "z", None), (3, "q", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, parent_id string").repartition(5)
+    found = tool_calls.positions(tool_calls.levels(df)).collect()
+    place = {(r["conv_id"], r["call_id"]): r["position"] for r in found}
+    for conv in (1, 2, 3):
+        own = [r for r in found if r["conv_id"] == conv]
+        want = sorted(own, key=lambda r: (r["level"] is None, r["level"] or 0, r["call_id"]))
+        assert [r["position"] for r in want] == list(range(len(own)))
+    assert all(place[c, p] < place[c, i] for c, i, p in rows if p and c == 1 and (c, p) in place)
+    assert place[2, "z"] == 0
+
+
 def test_long_chains(spark):
     calls = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").cast("string").alias("call_id"), (F.col("id") - 1).cast("string").alias("parent_id"))
     assert all(r["level"] == int(r["call_id"]) for r in tool_calls.levels(calls).collect())
