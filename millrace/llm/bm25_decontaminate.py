@@ -6,8 +6,9 @@ whole in one of them. Scores are divided by the item's score against itself, whi
 makes one threshold fit all items. Retrieval is block-max WAND: terms whose bounds
 together stay below the threshold cannot carry an item, the others name the blocks of
 items that may reach it, and only blocks whose bounds do are scored in full. What is
-retrieved is verified by aligning the item's words with the passage, its question and
-its answer each on their own. A short last sentence may be the answer or a part of it.
+retrieved is verified by a longest common subsequence of the item's words and the
+passage's, of which question and answer must each hold enough. A short last sentence may
+be the answer or a part of it. In scripts without spaces each character is a word.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import reduce
 from itertools import chain, repeat
 
@@ -35,11 +35,19 @@ THRESHOLD = 0.6
 #: Least shares of an item's words, of its question's and of its answer's that a passage has in order.
 OVERLAP, QUESTION, ANSWER = 0.8, 0.7, 0.5
 #: Characters of items in one broadcast index; a larger benchmark is searched in several.
-INDEX_CHARS = 32_000_000
+INDEX_CHARS = 8_000_000
 MIN_STRIDE = 64
 #: Characters of the texts whose passages are searched at once.
 PASSAGE_CHARS = 300_000
-WORD = re.compile(r"\w+")
+#: Thai to Khmer, kana, Han and Hangul-less blocks of scripts that set no spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ASCII_WORD, WORD = re.compile(r"\w+"), re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words in order."""
+    text = text.lower()
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
 
 
 def splits(text: str) -> tuple[list[str], tuple[int, int]]:
@@ -48,13 +56,32 @@ def splits(text: str) -> tuple[list[str], tuple[int, int]]:
     The first is the last sentence; of one sentence, the last quarter answers. The second
     goes back to a quarter of all words, rounded up, so that no single word decides.
     """
-    parts = re.split(r"(?<=[.!?])\s+", text.lower().strip())
-    question, answer = WORD.findall(" ".join(parts[:-1])), WORD.findall(parts[-1])
+    parts = re.split(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])(?!$)", text.strip())
+    question, answer = words_of(" ".join(parts[:-1])), words_of(parts[-1])
     words = question + answer
     last = len(question) if question else max(0, len(words) - max(1, len(words) // 4))
     return words, (last, min(last, len(words) - -(-len(words) // 4)))
 
 
+def in_order(words: list[str], passage: list[str]) -> np.ndarray:
+    """Which words are of a longest common subsequence of words and passage."""
+    code = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    other = np.array([code.get(w, -1) for w in passage], np.int64)
+    length, grows = np.zeros(len(other) + 1, np.int32), []
+    for w in words:
+        length[1:] = np.maximum.accumulate(np.where(other == code[w], length[:-1] + 1, length[1:]))
+        grows.append(np.packbits(np.diff(length) > 0))
+    hit, upto = np.zeros(len(words), bool), len(other)
+    before = [np.zeros(0, np.uint8), *grows[:-1]]
+    for k in range(len(words) - 1, -1, -1):
+        row = np.unpackbits(grows[k], count=len(other))[:upto]
+        above = np.unpackbits(before[k], count=len(other))[:upto] if k else np.zeros(upto, np.uint8)
+        if row.sum() > above.sum():  # without this word the rest is shorter
+            hit[k] = True
+            upto = int(np.nonzero(row)[0][-1])
+    return hit
+
+
 @dataclass
 class Whole:
     """What weights and passages depend on, over all items of a benchmark: their number, mean and largest length, and in how many a word stands."""
@@ -146,11 +173,9 @@ class Index:
     def verify(self, item: int, passage: list[str]) -> tuple[float, float] | None:
         """Shares of question and answer that the passage has in order, at the first split where both are enough; None if too little."""
         _, words, cuts = self.items[item]
-        hit = np.zeros(len(words), bool)
         if sum((Counter(words) & Counter(passage)).values()) < OVERLAP * len(words):
             return None
-        for m in SequenceMatcher(None, words, passage, autojunk=False).get_matching_blocks():
-            hit[m.a : m.a + m.size] = True
+        hit = in_order(words, passage)
         if hit.mean() < OVERLAP:
             return None
         shares = [tuple(float(x.mean()) if len(x) else 1.0 for x in (hit[:cut], hit[cut:])) for cut in cuts]
@@ -162,7 +187,7 @@ class Index:
         if not self.items:
             return []
         for first, stop in blocks([len(t) for t in texts], PASSAGE_CHARS):
-            words = [WORD.findall(t.lower()) for t in texts[first:stop]]
+            words = [words_of(t) for t in texts[first:stop]]
             size = np.array([len(w) for w in words])
             ids = np.fromiter(map(self.term.get, chain.from_iterable(words), repeat(-1)), np.int64, size.sum())
             # Passages of two strides each; every word but those at a text's ends is in two.
@@ -257,7 +282,12 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no benchmark item."""
+    """The rows of docs, all columns, whose text holds no benchmark item.
+
+    Each row is judged by its own whole text, whatever its doc_id: null and empty texts
+    stay, repeated rows stay or go together. Null and repeated items count once; without
+    items, or of an empty table, all rows stay.
+    """
 
     def clean(shared: Broadcast) -> DataFrame:
         @F.pandas_udf("boolean")

@@ -378,6 +378,33 @@ def test_indexes_share_weights(spark):
     assert [r["doc_id"] for r in bm25_decontaminate.drop_leaks(docs, items, 1000).collect()] == [8]
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_longest_common_words():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = (rng.choices("abcde", k=rng.randint(1, 25)) for _ in range(2))
+        hit = bm25_decontaminate.in_order(a, b)
+        kept, rest = [w for w, h in zip(a, hit, strict=True) if h], iter(b)
+        assert len(kept) == lcs(a, b) and all(w in rest for w in kept)
+
+
+def test_items_without_spaces():
+    rng = random.Random(6)
+    item = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(40)) + "\u3002" + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20)) + "\u3002"
+    filler = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(500))
+    index = bm25_decontaminate.Index([(1, item), *ITEMS[1:]])
+    bare = item.replace("\u3002", "")
+    assert [i for _, i, *_ in index.leaks([filler + bare + filler, filler, filler + bare[:30] + filler])] == [1]
+
+
 def test_no_single_word_is_the_answer():
     item = " ".join(f"word{k}" for k in range(30)) + " doez. Ñ."
     index = bm25_decontaminate.Index([(1, item), *ITEMS[1:]])
@@ -395,7 +422,7 @@ def test_no_single_word_is_the_answer():
 def test_retrieval_is_complete(threshold):
     index = bm25_decontaminate.Index(ITEMS)
     rng = random.Random(7)
-    passages = [sorted(rng.sample(range(len(index.term)), 12)) for _ in range(80)] + [[index.term[w] for w in {*bm25_decontaminate.WORD.findall(ITEMS[3][1].lower())}]]
+    passages = [sorted(rng.sample(range(len(index.term)), 12)) for _ in range(80)] + [[index.term[w] for w in {*bm25_decontaminate.words_of(ITEMS[3][1])}]]
     flat = [(k, t) for k, p in enumerate(passages) for t in p]
     got = index.retrieve(np.array([k for k, _ in flat]), np.array([t for _, t in flat]), threshold)
     lists, weights = index.items_of.lists(), index.items_of.lists("weight")
