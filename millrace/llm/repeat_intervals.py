@@ -39,7 +39,10 @@ SEGMENT = 1 << 20
 #: Occurrences of one K-gram that a batch sends one by one; a K-gram with more in one batch is hot.
 LOCAL = 4096
 HOT = 500_000
+#: What a null doc_id is where places are ordered.
 NO_ID = -(1 << 63)
+#: Bytes of text for each bucket of K-grams and for each task of a shuffle.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION = np.uint64((1 << 26) - 1)
@@ -108,14 +111,19 @@ def _same(groups: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.nonzero(groups[1:] != groups[:-1])[0] + 1]) if len(groups) else np.zeros(0, np.int64)
 
 
-def ask(ids: np.ndarray, raws: list[bytes], buckets: int) -> list[tuple]:
-    """Rows (bucket, settled, hash, count, doc_id, anchor), each column's values in one binary."""
+def tasks_for(docs: DataFrame, total: int) -> int:
+    """Shuffle partitions, as many more as the texts need for TASK_BYTES in each."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+
+
+def ask(homes: np.ndarray, raws: list[bytes], buckets: int) -> list[tuple]:
+    """Rows (bucket, settled, hash, count, home, anchor), each column's values in one binary."""
     found = [x[:3] for x in anchors(raws)]
     if not found:
         return []
     h, text, at = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.argsort(h, kind="stable")
-    h, doc, at = h[order], ids[text[order]], at[order]
+    h, doc, at = h[order], homes[text[order]], at[order]
     start = _same(h)
     n = np.diff(np.append(start, len(h)))
     rank = np.arange(len(h)) - np.repeat(start, n)
@@ -132,10 +140,10 @@ def ask(ids: np.ndarray, raws: list[bytes], buckets: int) -> list[tuple]:
 
 
 def answer(group: pd.DataFrame, hot: int) -> pd.DataFrame:
-    """(doc_id, known): anchors whose K-gram occurs again, doubled, plus 1 where it occurs more than hot times."""
+    """(home, known): anchors whose K-gram occurs again, doubled, plus 1 where it occurs more than hot times."""
     out = []
     for settled, part in group.groupby("settled"):
-        h, count, doc, at = (np.frombuffer(b"".join(part[c]), kind) for c, kind in (("hash", np.uint64), ("n", np.int64), ("docs", np.int64), ("at", np.int64)))
+        h, count, doc, at = (np.frombuffer(b"".join(part[c]), kind) for c, kind in (("hash", np.uint64), ("n", np.int64), ("homes", np.int64), ("at", np.int64)))
         if settled:
             out.append((doc, 2 * at + 1))
             continue
@@ -146,7 +154,7 @@ def answer(group: pd.DataFrame, hot: int) -> pd.DataFrame:
         again = np.repeat(total > 1, size)
         out.append((doc[order][again], 2 * at[order][again] + np.repeat((total > hot) | (most > LOCAL), size)[again]))
     doc, known = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pd.DataFrame({"doc_id": doc, "known": known})
+    return pd.DataFrame({"home": doc, "known": known})
 
 
 def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -250,9 +258,8 @@ def first_strings(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": found["doc_id"], "key": found["key"], "start": found["first"], "stop": found["first"] + LENGTH})
 
 
-def contexts(ids: np.ndarray, raws: list[bytes], known: list[np.ndarray]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+def contexts(ids: np.ndarray, keys: np.ndarray, raws: list[bytes], known: list[np.ndarray]) -> tuple[list[tuple], list[tuple], list[tuple]]:
     """What the known anchors of some texts send: contexts, strings of hot anchors, and spans settled here."""
-    keys = np.array([xxhash.xxh64_intdigest(r) for r in raws], np.uint64).view(np.int64)
     seen: dict[tuple, tuple] = {}
     strings: dict[tuple, tuple] = {}
     spans = []
@@ -285,25 +292,30 @@ def contexts(ids: np.ndarray, raws: list[bytes], known: list[np.ndarray]) -> tup
     return list(seen.values()), [(*halves(v), *x) for v, x in strings.items()], spans
 
 
-def _spans(docs: DataFrame, hot: int) -> DataFrame:
-    """(doc_id, key, start, stop) of the bytes that go."""
-    buckets = max(64, 4 * docs.rdd.getNumPartitions())
+def home(place: str) -> F.Column:
+    """Where a row's finds are sent: its doc_id; rows without one part by their texts."""
+    return F.when(F.col(place) == NO_ID, F.col("key")).otherwise(F.col(place))
+
+
+def _spans(docs: DataFrame, hot: int, total: int) -> DataFrame:
+    """(doc_id, key, start, stop, home) of the bytes that go; total: the bytes of all texts."""
+    buckets, tasks = max(128, total // BUCKET_BYTES), tasks_for(docs, total)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ask(batch.column("doc_id").to_numpy(), [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], buckets)
+            rows = ask(batch.column("home").to_numpy(), [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], buckets)
             kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "settled", "hash", "n", "docs", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "settled", "hash", "n", "homes", "at"])
 
-    asked = docs.mapInArrow(find, "bucket long, settled boolean, hash binary, n binary, docs binary, at binary")
-    known = asked.groupBy("bucket").applyInPandas(lambda g: answer(g, hot), "doc_id long, known long")
-    of_doc = known.groupBy("doc_id").agg(F.collect_list("known").alias("known"))
-    rows = docs.join(of_doc, "doc_id", "left").filter("known is not null")
+    asked = docs.mapInArrow(find, "bucket long, settled boolean, hash binary, n binary, homes binary, at binary")
+    known = asked.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(lambda g: answer(g, hot), "home long, known long")
+    of_doc = known.repartition(tasks, "home").groupBy("home").agg(F.collect_set("known").alias("known"))
+    rows = docs.repartition(tasks, "home").join(of_doc, "home")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             raws = [t.encode("utf-8", "replace") for t in whole.column("text").to_pylist()]
-            some, strings, spans = contexts(whole.column("doc_id").to_numpy(), raws, [np.array(k, np.int64) for k in whole.column("known").to_pylist()])
+            some, strings, spans = contexts(whole.column("place").to_numpy(), whole.column("key").to_numpy(), raws, [np.array(k, np.int64) for k in whole.column("known").to_pylist()])
             # kind 0: context, 1: string of a hot anchor, 2: span
             table = [(0, h % buckets, h, 0, doc, key, f, d, x) for h, doc, key, f, d, x in some]
             table += [(1, a % buckets, a, b, doc, key, f, 0, b"") for a, b, doc, key, f in strings]
@@ -320,7 +332,7 @@ def _spans(docs: DataFrame, hot: int) -> DataFrame:
         parts = [settle(group[group["kind"] == 0]), first_strings(group[group["kind"] == 1]), pd.DataFrame({"doc_id": done["doc_id"], "key": done["key"], "start": done["first"], "stop": done["delta"]})]
         return pd.concat([p for p in parts if len(p)] or parts[:1]).astype("int64")
 
-    return sent.groupBy("bucket").applyInPandas(finish, "doc_id long, key long, start long, stop long")
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(finish, "doc_id long, key long, start long, stop long").withColumn("home", home("doc_id"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -344,23 +356,22 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     place: strings at the same offset of them do not remove each other. Other columns
     are ignored.
     """
-    docs = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    spans = _spans(docs, hot).groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "stop")).alias("spans"))
+    docs = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("place"), F.xxhash64("text").alias("key"), "text").withColumn("home", home("place"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spans = _spans(docs, hot, total).groupBy("home").agg(F.collect_list(F.struct("doc_id", "key", "start", "stop")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows = []
-                for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+                for doc_id, place, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "key", "text", "spans")), strict=True):
                     raw = text.encode("utf-8", "replace")
-                    key = xxhash.xxh64_intdigest(raw)
-                    key -= (key >> 63) << 64
-                    runs = merged([(s["start"], s["stop"]) for s in spans or () if s["key"] == key])
+                    runs = merged([(s["start"], s["stop"]) for s in spans or () if (s["doc_id"], s["key"]) == (place, key)])
                     edges = [0, *(x for run in runs for x in run), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((None if doc_id == NO_ID else doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                    rows.append((doc_id, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
                 kinds = (*[pa.int64()] * 4, pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.repartition(tasks_for(docs, total), "home").join(spans, "home", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

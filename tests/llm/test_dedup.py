@@ -216,10 +216,34 @@ def test_remove_repeats(docs, texts, odd, empty):
     assert repeats(docs) == want
     # All that repeats through the path of hot anchors.
     assert repeats(docs, hot=1) == want
-    assert repeat_intervals.remove_repeats(odd).count() == 8
+    rows = [tuple(r)[:4] for r in repeat_intervals.remove_repeats(odd).collect()]
+    assert sorted(rows, key=repr) == sorted(((r["doc_id"], len(r["text"] or ""), 0, 0) for r in odd.collect()), key=repr)
     assert repeat_intervals.remove_repeats(empty).count() == 0
 
 
+def test_repeats_under_null_and_repeated_ids(spark):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, a, b = word(150), word(60), word(60)
+    rows = [(None, a + shared), (None, b + b + shared), (5, shared), (5, shared), (5, word(40) + shared), (-(1 << 63), word(30)), (7, b + "x" * 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeat_intervals.remove_repeats(df).collect()), key=repr)
+    # The null row that has it at offset 60 is first; equal offsets of one id do not meet.
+    want = [(None, 210, 0, 0), (None, 270, 150, 1), (5, 150, 150, 1), (5, 150, 150, 1), (5, 190, 150, 1), (-(1 << 63), 30, 0, 0), (7, 190, 129, 1)]
+    assert found == sorted(want, key=repr)
+
+
+def test_repeats_in_long_texts(spark):
+    """Texts above one segment, against the places where they were planted."""
+    rng = np.random.default_rng(3)
+    body = rng.integers(97, 123, 2_600_000, dtype=np.uint8).tobytes().decode()
+    piece = body[1_048_500:1_048_900]
+    rows = [(1, body), (2, "new " * 10 + piece + body[2_000_000:2_000_150])]
+    found = {r["doc_id"]: r for r in repeat_intervals.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1]["n_bytes"], found[1]["n_removed"]) == (2_600_000, 0)
+    assert (found[2]["n_removed"], found[2]["n_spans"]) == (550, 1)
+
+
 def test_intervals():
     # suffixes of banana: a ana anana banana na nana
     assert sorted(repeat_intervals.intervals(np.array([-1, 1, 3, 0, 0, 2]))) == [(0, 0, 5), (1, 0, 2), (2, 4, 5), (3, 1, 2)]
