@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,14 +47,66 @@ def _local(moment: Column, zone: str | None) -> Column:
     return F.to_utc_timestamp(moment, zone) if zone else moment
 
 
-def auto(line: Column, zone: str | None = None) -> Column:
+@dataclass(frozen=True)
+class Seen:
+    """What a sample of lines shows of their times: which of the ways to write one occur, and where a numeric date stands if it is always the same place."""
+
+    ways: frozenset[str] = frozenset(("date", "other", "epoch"))
+    start: int | None = None
+    size: int | None = None
+    signs: str = "/T,"
+
+
+def seen_in(lines: list[str]) -> Seen:
+    """The layouts of some lines; without any known one, all may follow."""
+    ways, places = set(), set()
+    for line in lines:
+        if m := re.match(_MAIN, line):
+            ways.add("date")
+            places.add((m.start(1), m.end(1), re.sub(r"\d", "0", m[1])))
+        elif any(re.match("^.{0,4}?" + pattern, line) for pattern, _ in _OTHERS):
+            ways.add("other")
+        elif re.match(r"^(\d{13}|\d{10})[^\d]", line):
+            ways.add("epoch")
+    if not ways:
+        return Seen()
+    if ways == {"date"} and len(places) == 1 and not re.search(" (Z|[+-])", (place := places.pop())[2]):
+        return Seen(frozenset(ways), place[0], place[1] - place[0], "".join(c for c in "/T," if c in place[2]))
+    return Seen(frozenset(ways))
+
+
+def auto(line: Column, zone: str | None = None, seen: Seen | None = None) -> Column:
     """The time near the start of a line in any of the known layouts, or its leading epoch digits; NULL if there is none.
 
-    Times without a zone are in `zone`, UTC by default.
+    Times without a zone are in `zone`, UTC by default. seen: the layouts that the lines
+    of a task have; others are then no times.
     """
+    seen = seen or Seen()
+    found = []
+    if "date" in seen.ways:
+        found.append(_date(line, zone, seen))
+    if "other" in seen.ways:
+        found.append(_other(line, zone))
+    if "epoch" in seen.ways:
+        digits = F.regexp_extract(line, r"^(\d{13})[^\d]", 1), F.regexp_extract(line, r"^(\d{10})[^\d]", 1)
+        found.append(F.when(digits[0] != "", F.timestamp_millis(digits[0].try_cast("long"))).when(digits[1] != "", F.timestamp_seconds(digits[1].try_cast("long"))))
+    return F.coalesce(*found)
+
+
+def _date(line: Column, zone: str | None, seen: Seen) -> Column:
+    if seen.start is not None:
+        main = F.substring(line, seen.start + 1, seen.size)
+        zoned = main.rlike(r"(Z|[+-]\d{2}:\d{2})$")
+        moment = (F.translate(main, seen.signs, "".join({"/": "-", "T": " ", ",": "."}[c] for c in seen.signs)) if seen.signs else main).try_cast("timestamp")
+        # A cast takes shorter forms too; these are no times of a line.
+        moment = F.when((F.length(main) == seen.size) & F.substring(main, 17, 1).eqNullSafe(":"), moment)
+        return F.when(zoned, moment).otherwise(_local(moment, zone)) if zone else moment
     main = F.translate(F.regexp_replace(F.regexp_extract(line, _MAIN, 1), r" (Z|[+-]\d{2}:\d{2})$", "$1"), "/T,", "- .")
     moment = main.try_cast("timestamp")
-    found = F.when(main != "", F.when(main.rlike(r"(Z|[+-]\d{2}:\d{2})$"), moment).otherwise(_local(moment, zone)) if zone else moment)
+    return F.when(main != "", F.when(main.rlike(r"(Z|[+-]\d{2}:\d{2})$"), moment).otherwise(_local(moment, zone)) if zone else moment)
+
+
+def _other(line: Column, zone: str | None) -> Column:
     text = F.lit(None).cast("string")
     for pattern, order in reversed(_OTHERS):
         text = F.when(line.rlike("^.{0,4}?" + pattern), F.regexp_replace(F.regexp_extract(line, "^.{0,4}?(" + pattern + ")", 1), pattern, order)).otherwise(text)
@@ -67,10 +120,7 @@ def auto(line: Column, zone: str | None = None) -> Column:
         return F.when(found.rlike(r"(Z|UTC |GMT |[+-]\d{4})$"), absolute).otherwise(_local(there, zone))
 
     # Through a one-element array, so that the text is made once and the code stays small.
-    found = found.when(line.rlike(rf"{_MONTH}|^.{{0,4}}?\d\d/\d\d/\d{{4}} "), F.transform(F.array(text), resolve)[0])
-    digits = F.regexp_extract(line, r"^(\d{13})[^\d]", 1), F.regexp_extract(line, r"^(\d{10})[^\d]", 1)
-    epoch = F.when(digits[0] != "", F.timestamp_millis(digits[0].try_cast("long"))).when(digits[1] != "", F.timestamp_seconds(digits[1].try_cast("long")))
-    return F.coalesce(found, epoch)
+    return F.when(line.rlike(rf"{_MONTH}|^.{{0,4}}?\d\d/\d\d/\d{{4}} "), F.transform(F.array(text), resolve)[0])
 
 
 def by_layout(value: Column, layout: str, zone: str | None = None) -> Column:
@@ -79,15 +129,15 @@ def by_layout(value: Column, layout: str, zone: str | None = None) -> Column:
     return moment if re.search(r"Z07|-07|MST", layout) else _local(moment, zone)
 
 
-def event_time(conf: dict | None, scope: Scope, zone: str | None = None, now: Column | None = None) -> Column:
-    """The time of a record by a task's time configuration; NULL on error."""
+def event_time(conf: dict | None, scope: Scope, zone: str | None = None, now: Column | None = None, seen: Seen | None = None) -> Column:
+    """The time of a record by a task's time configuration; NULL on error. seen: what the lines show where layouts are detected."""
     conf = conf or {}
     kind = conf.get("type") or "auto"
     zone = zone or conf.get("timezone") or None
     if kind == "processTime":
         return F.current_timestamp() if now is None else now
     if kind == "auto":
-        return auto(scope.line, zone)
+        return auto(scope.line, zone, seen)
     value = expressions.text(conf.get("elect"), scope)
     form = conf.get("format") or "auto"
     if form == "unix":

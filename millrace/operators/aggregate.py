@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,21 +91,24 @@ def merge_partials(parts: DataFrame, by: list[str]) -> DataFrame:
     return merged.withColumn("avg", F.when(F.col("count") > 0, F.col("sum") / F.col("count")).otherwise(0.0))
 
 
-def first_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start", order: str = "ord") -> DataFrame:
-    """Rows of each window's first `limit` keys by arrival; no limit if it is 0 or less.
+def kept_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start", order: str = "ord") -> DataFrame:
+    """(window, keys): each window's first `limit` keys by arrival. Only one row for each key is ranked; windows rank theirs in a task each."""
+    seen = df.groupBy(start, *keys).agg(F.min(order).alias("seen"))
+    rank = F.row_number().over(Window.partitionBy(start).orderBy("seen", *keys))
+    return seen.withColumn("rank", rank).filter(F.col("rank") <= min(limit, MOST_KEYS)).select(start, *keys)
 
-    Only one row for each key is ranked. Windows rank theirs in a task each.
-    """
+
+def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equal in all columns, nulls too."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+
+
+def first_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start", order: str = "ord") -> DataFrame:
+    """Rows of each window's first `limit` keys by arrival; no limit if it is 0 or less."""
     if limit <= 0 or not keys:
         return df
-    seen = df.groupBy(start, *keys).agg(F.min(order).alias("seen"))
-    rank = F.row_number().over(Window.partitionBy(start).orderBy("seen", *keys))
-    kept = seen.withColumn("rank", rank).filter(F.col("rank") <= min(limit, MOST_KEYS)).select(start, *keys)
-    same = [df[c].eqNullSafe(kept[c]) for c in (start, *keys)]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return df.join(kept, condition, "left_semi")
+    kept = kept_keys(df, keys, limit, start, order)
+    return df.join(kept, same(df, kept, [start, *keys]), "left_semi")
 
 
 def cut_bytes(text: Column, most: int) -> Column:

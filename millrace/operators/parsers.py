@@ -40,8 +40,8 @@ def _empty() -> dict[str, Column]:
     return {"columns": F.array().cast("array<string>"), "column_map": F.create_map().cast("map<string,string>")}
 
 
-def _groups(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
-    """Columns by position and by name from the groups of the first match; other rows are dropped."""
+def _groups(df: DataFrame, pattern: str, names: list[str]) -> tuple[DataFrame, Column]:
+    """Columns by position and by name from the groups of the first match, and whether there is one."""
     found = [F.regexp_extract("line", pattern, i) for i in range(1, len(names) + 1)]
     pairs = [c for n, g in zip(names, found, strict=True) if n for c in (F.lit(n), g)]
     new = _empty()
@@ -49,11 +49,17 @@ def _groups(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
         new["columns"] = F.array(*found)
     if pairs:
         new["column_map"] = F.create_map(*pairs)
-    return df.filter(F.col("line").rlike(pattern)).withColumns(new)
+    return df.withColumns(new), F.col("line").rlike(pattern)
 
 
 def parse(df: DataFrame, conf: dict | None) -> DataFrame:
     """df with columns, column_map and, for JSON, column_json (VARIANT); rows that do not parse are dropped."""
+    parsed, fits = parsed_and_fits(df, conf)
+    return parsed if fits is None else parsed.filter(fits)
+
+
+def parsed_and_fits(df: DataFrame, conf: dict | None) -> tuple[DataFrame, Column | None]:
+    """All rows of df as parse would leave them, and whether a row parses; None where all do."""
     conf = conf or {}
     kind = conf.get("type") or "none"
     df = df.withColumns({k: v for k, v in _empty().items() if k not in df.columns})
@@ -61,18 +67,18 @@ def parse(df: DataFrame, conf: dict | None) -> DataFrame:
         separator = conf["separator"]["separator"]
         if not separator:
             raise ValueError("the separator is empty")
-        return df.withColumn("columns", F.split("line", quoted(separator), -1))
+        return df.withColumn("columns", F.split("line", quoted(separator), -1)), None
     if kind == "json":
         # The parser alone would take text after the object.
         value = F.when(F.col("line").rlike(r"\}\s*$"), F.try_parse_json("line"))
         applies = (F.size("column_map") == 0) & F.col("line").startswith("{")
-        return df.withColumn("column_json", F.when(applies, value)).filter(~applies | F.col("column_json").isNotNull())
+        return df.withColumn("column_json", F.when(applies, value)), ~applies | F.col("column_json").isNotNull()
     if kind == "regexp":
         return _groups(df, *plain_groups(conf["regexp"]["expression"]))
     if kind == "grok":
         pattern, captures = grok_regexp(conf["grok"]["expression"])
         return _groups(df, pattern, [n for n, _ in captures])
-    return df
+    return df, None
 
 
 def grok_typed(line: Column, expression: str) -> dict[str, Column]:

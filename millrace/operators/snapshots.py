@@ -9,11 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.aggregate import window_start
+
 #: Columns of the CPU modes.
 CPU = ("user", "system", "idle", "nice", "iowait", "irq", "softirq", "steal", "guest", "guest_nice")
-#: JVM counters that are cumulative, and of them those in nanoseconds.
-JVM = ("ygc_count", "fgc_count", "ygc_time", "fgc_time", "safepoints", "safepoint_time", "classes_loaded", "classes_unloaded", "threads_started", "compile_time")
-JVM_NANOS = ("ygc_time", "fgc_time", "safepoint_time", "compile_time")
+# Names of JVM performance counters and of their metrics, the cumulative ones, and of them those in nanoseconds.
+JVM_NAMES = {
+    "sun.gc.generation.0.space.0.used": "eden_used", "sun.gc.generation.0.space.0.capacity": "eden_capacity", "sun.gc.generation.0.space.0.maxCapacity": "eden_max",
+    "sun.gc.generation.1.space.0.used": "old_used", "sun.gc.generation.1.space.0.capacity": "old_capacity", "sun.gc.generation.1.space.0.maxCapacity": "old_max",
+    "sun.gc.metaspace.used": "meta_used", "sun.gc.metaspace.capacity": "meta_capacity", "sun.gc.metaspace.maxCapacity": "meta_max",
+    "sun.gc.compressedclassspace.used": "compressedclass_used", "sun.gc.compressedclassspace.capacity": "compressedclass_capacity",
+    "sun.gc.generation.2.space.0.used": "perm_used", "sun.gc.generation.2.space.0.capacity": "perm_capacity", "sun.gc.generation.2.space.0.maxCapacity": "perm_max",
+    "sun.gc.collector.0.invocations": "ygc_count", "sun.gc.collector.0.time": "ygc_time", "sun.gc.collector.1.invocations": "fgc_count", "sun.gc.collector.1.time": "fgc_time",
+    "java.threads.started": "thread_started", "java.threads.live": "thread_live", "java.threads.daemon": "thread_daemon", "java.threads.livePeak": "thread_live_peak",
+    "sun.rt.safepoints": "safepoints", "sun.rt.safepointTime": "safepoint_time", "sun.rt.safepointSyncTime": "safepoint_sync_time", "sun.rt.applicationTime": "application_time",
+    "sun.rt._sync_Parks": "parks", "sun.rt._sync_Notifications": "notifications", "sun.rt._sync_MonExtant": "mon_extant", "sun.rt._sync_Inflations": "inflations",
+    "sun.rt._sync_FutileWakeups": "futile_wakeups", "sun.rt._sync_Deflations": "deflations", "sun.rt._sync_ContendedLockAttempts": "contended_lock_attempts",
+    "sun.gc.tlab.alloc": "tlab_alloc", "java.cls.loadedClasses": "loaded_classes", "java.cls.unloadedClasses": "unloaded_classes", "java.cls.sharedLoadedClasses": "shared_loaded_classes",
+    "java.cls.sharedUnloadedClasses": "shared_unloaded_classes", "sun.ci.nmethodCodeSize": "nmethod_code_size", "sun.ci.nmethodSize": "nmethod_size",
+}
+JVM = ("ygc_count", "ygc_time", "fgc_count", "fgc_time", "thread_started", "safepoints", "safepoint_time", "safepoint_sync_time", "application_time", "parks", "notifications", "inflations", "futile_wakeups", "deflations", "contended_lock_attempts")
+JVM_NANOS = ("ygc_time", "fgc_time", "safepoint_time", "safepoint_sync_time", "application_time")
 
 
 def changes(df: DataFrame, entity: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
@@ -30,19 +46,20 @@ def per_second(column: str) -> Column:
 
 
 def cpu_shares(df: DataFrame, entity: list[str]) -> DataFrame:
-    """Shares of the CPU modes in percent; rows without progress are dropped."""
+    """Shares of the CPU modes in percent, cpu_busy (all but idle) and cpu_util; rows without progress are dropped.
+
+    user and nice hold guest and guest_nice, which the total therefore leaves out; their
+    own shares are without them. Modes that the table lacks are 0.
+    """
     modes = [c for c in CPU if c in df.columns]
     d = changes(df, entity, modes)
-    part = {c: F.col(f"d_{c}") for c in modes}
-    if "guest" in part:
-        part["user"] = part["user"] - part["guest"]
-    if "guest_nice" in part:
-        part["nice"] = part["nice"] - part["guest_nice"]
-    total = sum((part[c] for c in modes[1:]), part[modes[0]])
-    idle = part["idle"] + part.get("iowait", F.lit(0))
-    d = d.withColumns({"total": total, "waiting": idle}).filter("total > 0")
-    share = {f"cpu_{c}": 100.0 * part[c] / F.col("total") for c in modes}
-    return d.select(*entity, "ts", *[v.alias(k) for k, v in share.items()], (100.0 * (F.col("total") - F.col("waiting")) / F.col("total")).alias("cpu_util"))
+    delta = lambda *names: sum((F.col(f"d_{c}") for c in names if c in modes), F.lit(0))
+    d = d.withColumn("total", delta("user", "system", "nice", "iowait", "irq", "softirq", "steal", "idle")).filter("total > 0")
+    share = lambda value: 100.0 * value / F.col("total")
+    own = {c: delta(c) for c in modes}
+    own |= {c: delta(c) - delta(guest) for c, guest in (("user", "guest"), ("nice", "guest_nice")) if c in modes}
+    busy, util = F.col("total") - delta("idle"), delta("user", "system", "nice", "guest", "irq", "softirq")
+    return d.select(*entity, "ts", *[share(v).alias(f"cpu_{c}") for c, v in own.items()], share(busy).alias("cpu_busy"), share(util).alias("cpu_util"))
 
 
 def counter_rates(df: DataFrame, entity: list[str], columns: list[str]) -> DataFrame:
@@ -56,11 +73,14 @@ def traffic_rates(df: DataFrame, entity: list[str], columns: list[str]) -> DataF
 
 
 def tcp_rates(df: DataFrame, entity: list[str]) -> DataFrame:
-    """Segment rates, and retransmissions in percent of all segments."""
-    d = changes(df, entity, ["in_segs", "out_segs", "retrans_segs"]).filter("d_ms > 0")
+    """Rates of TCP counters and UDP datagrams as far as the table has them, retransmissions in percent of all segments; current connections stay."""
+    segments = ["in_segs", "out_segs", "retrans_segs"]
+    others = [c for c in ("active_opens", "passive_opens", "estab_resets", "attempt_fails", "in_datagrams", "out_datagrams") if c in df.columns]
+    d = changes(df, entity, [*segments, *others]).filter("d_ms > 0")
     all_segments = F.col("d_in_segs") + F.col("d_out_segs")
     percent = F.when(all_segments > 0, 100.0 * F.col("d_retrans_segs") / all_segments).otherwise(0.0)
-    return d.select(*entity, "ts", per_second("in_segs").alias("in_rate"), per_second("out_segs").alias("out_rate"), percent.alias("retrans_percent"))
+    current = [c for c in ("curr_estab",) if c in df.columns]
+    return d.select(*entity, "ts", *current, per_second("in_segs").alias("in_rate"), per_second("out_segs").alias("out_rate"), percent.alias("retrans_percent"), *[per_second(c).alias(f"{c}_rate") for c in others])
 
 
 def disk_rollup(df: DataFrame, entity: list[str]) -> DataFrame:
@@ -74,17 +94,43 @@ def used_percent(total: Column, available: Column) -> Column:
     return F.when(total > 0, 100.0 * (total - available) / total).otherwise(0.0)
 
 
+def memory_and_load(df: DataFrame, entity: list[str]) -> DataFrame:
+    """Memory, swap and load as they are, named for metrics, and mem_rutil, what is not available in percent.
+
+    df: total, available, and any of used, free, buffers, cached, dirty, used_percent, swap_total, swap_free, swap_cached, load1, load5, load15.
+    """
+    names = {"total": "mem_total", "used": "mem_used", "available": "mem_avail", "free": "mem_free", "buffers": "mem_buff", "cached": "mem_cach", "dirty": "mem_dirty", "used_percent": "mem_util", "swap_total": "swap_total", "swap_free": "swap_free", "swap_cached": "swap_cach", "load1": "load_load1", "load5": "load_load5", "load15": "load_load15"}
+    return df.select(*entity, "ts", *[F.col(c).alias(n) for c, n in names.items() if c in df.columns], used_percent(F.col("total"), F.col("available")).alias("mem_rutil"))
+
+
+def node_containers(df: DataFrame, node: list[str]) -> DataFrame:
+    """Containers of each node and time."""
+    return df.groupBy(*node, "ts").agg(F.count("container").alias("containers"))
+
+
+def interface_traffic(df: DataFrame, entity: list[str], interface: str = "eth0") -> DataFrame:
+    """Bytes in and out a second over one interface, and TCP connections established and listening over both versions of IP.
+
+    df: interface, rx_bytes, tx_bytes, and tcp_established, tcp6_established, tcp_listen, tcp6_listen of the entity.
+    """
+    d = changes(df.filter(F.col("interface") == interface), entity, ["rx_bytes", "tx_bytes"]).filter("d_ms > 0")
+    rate = lambda c: F.col(f"d_{c}") * 1000.0 / F.col("d_ms")
+    both = lambda state: F.col(f"tcp_{state}") + F.col(f"tcp6_{state}")
+    return d.select(*entity, "ts", rate("rx_bytes").alias("traffic_bytin"), rate("tx_bytes").alias("traffic_bytout"), both("established").alias("tcp_established"), both("listen").alias("tcp_listen"))
+
+
 def process_totals(df: DataFrame, entity: list[str]) -> DataFrame:
     """Processes and their threads."""
     return df.groupBy(*entity, "ts").agg(F.count("pid").alias("processes"), F.sum("threads").alias("threads"))
 
 
 def jvm_deltas(df: DataFrame, entity: list[str]) -> DataFrame:
-    """Changes of cumulative JVM counters, falls as 0 and nanoseconds as seconds."""
-    columns = [c for c in JVM if c in df.columns]
-    d = changes(df, entity, columns)
-    change = {c: F.greatest(F.col(f"d_{c}"), F.lit(0)) / (1e9 if c in JVM_NANOS else 1) for c in columns}
-    return d.select(*entity, "ts", *[v.alias(c) for c, v in change.items()])
+    """JVM counters under their metric names: changes of cumulative ones, falls as 0, nanoseconds as seconds, null in the first sample; all others as they are."""
+    df = df.withColumnsRenamed({old: new for old, new in JVM_NAMES.items() if old in df.columns})
+    w = Window.partitionBy(*entity).orderBy("ts")
+    change = lambda c: F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) / (1e9 if c in JVM_NANOS else 1)
+    first = lambda c: F.when(F.lag(c).over(w).isNotNull(), change(c))
+    return df.withColumns({c: first(c) for c in JVM if c in df.columns})
 
 
 def heap_bytes(option: Column) -> Column:
@@ -127,12 +173,16 @@ def carry_forward(df: DataFrame, entity: list[str], value: str, source_ts: str)
     return df.withColumn(value, F.last("fresh", ignorenulls=True).over(upto)).drop("fresh")
 
 
-def with_zero_fill(events: DataFrame, pods: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of events by keys, container and minute; a pod without any has one row, container '-', minute null and count 0."""
-    minute = F.date_trunc("minute", "ts")
+def with_zero_fill(events: DataFrame, pods: DataFrame, keys: list[str], first: Column, last: Column, every_ms: int = 60_000) -> DataFrame:
+    """Counts of events by keys, container and minute; for each minute from first to last, a pod without any has container '-' and count 0.
+
+    The rows that are filled in are made from the pods, each its own minutes.
+    """
+    minute = window_start(F.col("ts"), every_ms)
     counted = events.filter("not coalesce(sandbox, false)").groupBy(*keys, "container", minute.alias("minute")).agg(F.count(F.lit(1)).alias("count"))
-    quiet = pods.select(*keys).distinct().join(counted, keys, "left_anti")
-    return counted.unionByName(quiet.select(*keys, F.lit("-").alias("container"), F.lit(None).cast("timestamp").alias("minute"), F.lit(0).cast("long").alias("count")))
+    minutes = F.sequence(window_start(first, every_ms), window_start(last, every_ms), F.expr(f"interval {every_ms} milliseconds"))
+    quiet = pods.select(*keys).distinct().withColumn("minute", F.explode(minutes)).join(counted, [*keys, "minute"], "left_anti")
+    return counted.unionByName(quiet.select(*keys, F.lit("-").alias("container"), "minute", F.lit(0).cast("long").alias("count")))
 
 
 def gpu_value(cell: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from millrace.functions.expressions import Scope, keeps, predicate
 from millrace.operators import aggregate as agg
 from millrace.operators import parsers, patterns, quality, records
 
+#: Lines that show which time layouts a task has.
+LAYOUT_SAMPLE = 200
+
 
 @dataclass
 class LogTask:
@@ -85,6 +89,17 @@ class LogTask:
             ready = ready & F.col(name).isNotNull()
         return df, ready
 
+    def seen(self, rows: DataFrame) -> timestamps.Seen | None:
+        """The time layouts of a task, from its first LAYOUT_SAMPLE lines; None where nothing needs detecting or rows are a stream."""
+        conf = self.log.get("time") or {}
+        if (conf.get("type") or "auto") != "auto" or rows.isStreaming:
+            return None
+        return timestamps.seen_in([r["line"] for r in rows.select("line").filter("line <> ''").limit(LAYOUT_SAMPLE).collect()])
+
+    def _time(self, df: DataFrame, scope: Scope, rows: DataFrame) -> DataFrame:
+        """df with ts; rows: the lines whose layouts count."""
+        return agg.once(df, "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now, seen=self.seen(rows)))
+
     def _condition(self, scope: Scope) -> tuple[Column, Scope]:
         return predicate(self.conf.get("where"), scope)
 
@@ -92,12 +107,12 @@ class LogTask:
         """Records with ts, window_start and the key columns; rows that fail a stage are gone."""
         df = parsers.before_parsing(rows, (self.log.get("parse") or {}).get("where"))
         if self.analysing:
-            df = agg.once(df, "ts", timestamps.event_time(self.log.get("time"), self.scope(df), now=self.now)).filter(timestamps.usable(F.col("ts")))
+            df = self._time(df, self.scope(df), rows).filter(timestamps.usable(F.col("ts")))
             return df.withColumn("window_start", agg.window_start(F.col("ts"), self.interval_ms))
         df = parsers.parse(df, self.log.get("parse"))
         scope = self.scope(df)
         df, ready = self._variables(df, scope)
-        df = agg.once(df.filter(ready), "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now)).filter(timestamps.usable(F.col("ts")))
+        df = self._time(df.filter(ready), scope, rows).filter(timestamps.usable(F.col("ts")))
         condition, after = self._condition(scope)
         df = df.filter(F.coalesce(condition, F.lit(False)))
         if after is not scope:
@@ -133,38 +148,51 @@ class LogTask:
         """Lines to results."""
         return self.back(self.front(self.records(lines)))
 
-    def staged(self, lines: DataFrame) -> DataFrame:
+    def staged(self, lines: DataFrame, emitted_before: Column | None = None) -> DataFrame:
         """Every line or record with the stage in which it ends, and its window if it has a time.
 
-        Parsers drop rows, so what did not parse is found by its absence.
+        emitted_before: windows that start earlier have been emitted; their rows are late.
+        Nothing is dropped on the way, so rows are read once; only a cap on keys joins
+        the keys that are kept.
         """
         multi = (self.log.get("multiline") or {}).get("enabled")
         rows = self.records(lines) if multi else lines.withColumn("lines", F.array("line"))
-        early = [] if multi else [("broken", ~records.broken(F.col("line"))), ("ignored", ~records.noise(F.col("line")))]
-        early.append(("pre_where", keeps((self.log.get("parse") or {}).get("where"), Scope(line=F.array_join("lines", "\n")))))
-        rows = rows.withColumn("early", quality.stage_of(early))
-        alive, ended = rows.filter("early = 'processed'"), rows.filter("early <> 'processed'")
-        parsed = parsers.parse(alive, self.log.get("parse"))
+        tests = [] if multi else [("broken", ~records.broken(F.col("line"))), ("ignored", ~records.noise(F.col("line")))]
+        tests.append(("pre_where", keeps((self.log.get("parse") or {}).get("where"), Scope(line=F.array_join("lines", "\n")))))
+        parsed, fits = parsers.parsed_and_fits(rows, self.log.get("parse"))
+        tests.append(("parse", F.lit(True) if fits is None else fits))
         scope = self.scope(parsed)
         parsed, ready = self._variables(parsed, scope)
-        parsed = agg.once(parsed, "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now))
+        parsed = self._time(parsed, scope, rows)
         condition, _ = self._condition(scope)
-        keyed = F.lit(True)
-        for g in self.groups:
-            keyed = keyed & expressions.text(g.get("elect"), scope).isNotNull()
-        stage = quality.stage_of([("vars", ready), ("time", timestamps.usable(F.col("ts"))), ("where", condition), ("group", keyed)])
-        columns = ["path", "ord", "line"]
-        parsed = parsed.select(*columns, stage.alias("stage"), agg.window_start(F.col("ts"), self.interval_ms).alias("window_start"))
-        none = F.lit(None).cast("timestamp").alias("window_start")
-        lost = alive.join(parsed.select("path", "ord"), ["path", "ord"], "left_anti").select(*columns, F.lit("parse").alias("stage"), none)
-        return ended.select(*columns, F.col("early").alias("stage"), none).union(lost).union(parsed)
+        parsed = parsed.withColumns({f"key_{g['name']}": expressions.text(g.get("elect"), scope) for g in self.groups})
+        keys = [f"key_{k}" for k in self.keys]
+        keyed = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+        tests += [("vars", ready), ("time", timestamps.usable(F.col("ts"))), ("where", condition), ("group", keyed)]
+        parsed = parsed.withColumn("window_start", agg.window_start(F.col("ts"), self.interval_ms))
+        if emitted_before is not None:
+            tests.append(("late", F.col("window_start") >= emitted_before))
+        cells = [agg.cell(v, scope) for v in self.values if v.get("agg") != "loganalysis"]
+        selected = F.greatest(*[c.isNotNull() for c in cells]) if len(cells) > 1 else cells[0].isNotNull() if cells else F.lit(True)
+        reached = quality.stage_of(tests)
+        last = F.when((reached == "processed") & ~selected, "select").otherwise(reached)
+        timed = F.when(F.col("reached").isin("broken", "ignored", "pre_where", "parse"), None).otherwise(F.col("window_start"))
+        parsed = parsed.select("path", "ord", "line", *keys, "window_start", F.struct(reached.alias("reached"), last.alias("last")).alias("x")).select("path", "ord", "line", *keys, "window_start", "x.*")
+        limit = self.group.get("maxKeySize") or 0
+        stage = F.col("last")
+        if limit > 0 and keys:
+            by = ["window_start", *keys]
+            kept = agg.kept_keys(parsed.filter(F.col("reached") == "processed"), keys, limit).select(*[F.col(c).alias(f"kept_{c}") for c in by], F.lit(True).alias("kept"))
+            parsed = parsed.join(kept, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"kept_{c}")), by, F.lit(True)), "left")
+            stage = F.when((F.col("reached") == "processed") & F.col("kept").isNull(), "keys_cap").otherwise(stage)
+        return parsed.select("path", "ord", "line", stage.alias("stage"), timed.alias("window_start"))
 
     def explain(self, lines: DataFrame) -> DataFrame:
         """path, ord, line, stage, conditions (each node of the condition by its path), keys and values of every record."""
         rows = parsers.parse(self.records(lines), self.log.get("parse"))
         scope = self.scope(rows)
         rows, ready = self._variables(rows, scope)
-        rows = agg.once(rows, "ts", timestamps.event_time(self.log.get("time"), scope, now=self.now))
+        rows = self._time(rows, scope, rows)
         nodes = [F.struct(F.lit(p).alias("node"), predicate(w, scope)[0].alias("result")) for p, w in condition_nodes(self.conf.get("where"))]
         keys = F.map_from_arrays(F.array(*map(F.lit, self.keys)), F.array(*[expressions.text(g.get("elect"), scope) for g in self.groups])) if self.groups else F.create_map().cast("map<string,string>")
         values = [(v["as"], F.lit(1.0) if (v.get("agg") or "count") == "count" else expressions.numeric(v.get("elect"), scope)) for v in self.values if v.get("agg") != "loganalysis"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,9 +77,9 @@ def S7_container_json(spark, sf_dir):
     return e.select("event_id", logs.container_line(raw).alias("line"))
 
 
-@query("SELECT role AS source, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE text IS NOT NULL GROUP BY role")
+@query("SELECT role AS source, count(*) AS lines, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM conversations GROUP BY role")
 def S8_log_groups(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("text is not null")
+    turns = table(spark, sf_dir, "conversations")
     log = F.struct((F.col("turn") + 1_700_000_000).alias("time"), F.create_map(F.lit("content"), F.col("text")).alias("contents"))
     groups = turns.select(F.create_map(F.lit("__source__"), F.col("role")).alias("tags"), F.array(log).alias("logs"))
     return logs.explode_log_groups(groups).groupBy(F.col("log_tags")["__source__"].alias("source")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
@@ -93,6 +91,12 @@ def S10_broken_lines(spark, sf_dir):
     return e.filter(~logs.broken(F.col("line"))).select("event_id", "line")
 
 
+@query("""SELECT user_id AS path, count(*) FILTER (event_id % 7 = 0) AS broken_lines, CAST(5000 * count(*) FILTER (event_id % 7 = 0) AS BIGINT) AS nul_bytes, count(*) FILTER (event_id % 7 = 0) > 0 AS broken FROM events GROUP BY ALL""")
+def S10_broken_reads(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("line", F.when(F.col("event_id") % 7 == 0, F.repeat(F.lit("\0"), 5000)).otherwise(F.col("event_type")))
+    return logs.broken_reads(e.withColumn("path", F.col("user_id")), ["path"])
+
+
 @query(f"WITH {DOCUMENT_LINES} SELECT path, ord, line FROM doc_lines QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord DESC) <= 3")
 def S12_tail(spark, sf_dir):
     return logs.tail(document_lines(spark, sf_dir), 3).select("path", "ord", "line")
@@ -264,6 +268,28 @@ def Q2_T5_window_status(spark, sf_dir):
     return status.select(F.unix_millis("window_start").alias("window_start"), F.col("where").alias("filtered"), "processed", "ok")
 
 
+@query(f"""WITH {LINES}, b AS (SELECT *, {DAY} AS day, event_id % 11 = 0 AS spoilt FROM lines), seen AS (SELECT day, user_id, min(event_id) AS first FROM b WHERE day >= epoch_ms(TIMESTAMP '2024-01-03') GROUP BY ALL),
+    kept AS (SELECT day, user_id FROM seen QUALIFY row_number() OVER (PARTITION BY day ORDER BY first) <= 20)
+    SELECT day AS window_start, CASE WHEN day < epoch_ms(TIMESTAMP '2024-01-03') THEN 'late' WHEN kept.user_id IS NULL THEN 'keys_cap' WHEN spoilt THEN 'select' ELSE 'processed' END AS stage, count(*) AS records FROM b LEFT JOIN kept USING (day, user_id) GROUP BY ALL""")
+def Q1_A13_T4_caps_and_late(spark, sf_dir):
+    lines = event_lines(spark, sf_dir)
+    spoilt = lines.withColumn("line", F.when(F.col("ord") % 11 == 0, F.replace(F.col("line"), F.lit("cost="), F.lit("cost=x"))).otherwise(F.col("line")))
+    task = _task([_value("total", "sum")], [{"name": "who", "elect": USER}], group={"maxKeySize": 20})
+    staged = task.staged(spoilt, emitted_before=F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    return quality.funnel(staged, ["window_start"]).withColumn("window_start", F.unix_millis("window_start"))
+
+
+@query(f"""{_FUNNEL_SQL}, windows AS (SELECT CAST(epoch_ms(w) AS BIGINT) AS day FROM unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS u(w))
+    SELECT day AS window_start, count(*) FILTER (stage = 'where') AS filtered, count(*) FILTER (stage = 'processed') AS processed, day + 86400000 <= epoch_ms(TIMESTAMP '2024-01-20') AND day >= epoch_ms(TIMESTAMP '2024-01-04 12:00:00') AS ok
+    FROM windows LEFT JOIN (SELECT * FROM staged WHERE stage IN ('where', 'processed')) s USING (day) GROUP BY ALL""")
+def T5_every_window(spark, sf_dir):
+    moment = lambda text: F.lit(text).cast("timestamp")
+    staged = _FUNNEL.staged(_spoiled(spark, sf_dir)).filter("window_start is not null")
+    times = {"watermark": moment("2024-01-20 00:00:00"), "interval_ms": 86_400_000, "opened": moment("2024-01-04 12:00:00")}
+    status = quality.every_window(quality.window_status(staged, **times), moment("2023-12-25 00:00:00"), moment("2024-02-05 00:00:00"), **times)
+    return status.select(F.unix_millis("window_start").alias("window_start"), F.col("where").alias("filtered"), "processed", "ok")
+
+
 @query(f"WITH {LINES} SELECT event_id AS ord, CASE WHEN event_type = 'error' AND cost > 50 THEN 'processed' ELSE 'where' END AS stage, '/and=' || (event_type = 'error' AND cost > 50) || ' /and[0]/contains=' || (event_type = 'error') || ' /and[1]/numberOp=' || (cost > 50) AS conditions, upper(event_type) AS level, CAST(cost AS DOUBLE) AS total FROM lines")
 def Q3_explain(spark, sf_dir):
     where = {"and": [{"contains": {"elect": {"type": "line"}, "value": "ERROR"}}, {"numberOp": {"elect": COST, "gt": 50}}]}

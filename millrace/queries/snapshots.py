@@ -44,11 +44,16 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
     return _ms(df).withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query(f"""WITH {CHANGES} SELECT host, ts, round(100.0 * click / (click + error + view), 6) AS cpu_user, round(100.0 * error / (click + error + view), 6) AS cpu_system,
-    round(100.0 * view / (click + error + view), 6) AS cpu_idle, round(100.0 * (click + error) / (click + error + view), 6) AS cpu_util FROM c WHERE d_ms IS NOT NULL AND click + error + view > 0""")
+#: Ten modes out of five counts: user and nice hold guest and guest_nice.
+_MODES = {"user": "2 * click", "system": "error", "idle": "view", "nice": "2 * purchase", "iowait": "signup", "irq": "3 * click", "softirq": "2 * error", "steal": "2 * signup", "guest": "click", "guest_nice": "purchase"}
+_SHARES = {"user": "click", "nice": "purchase", **{c: v for c, v in _MODES.items() if c not in ("user", "nice")}, "busy": "total - view", "util": "6 * click + 3 * error + 2 * purchase"}
+
+
+@query(f"""WITH {CHANGES}, t AS (SELECT *, 5 * click + 3 * error + 2 * purchase + 3 * signup + view AS total FROM c) SELECT host, ts, {", ".join(f"round(100.0 * ({v}) / total, 6) AS cpu_{c}" for c, v in _SHARES.items())}
+    FROM t WHERE d_ms IS NOT NULL AND total > 0""")
 def H1_cpu_shares(spark, sf_dir):
-    df = running(spark, sf_dir).select("host", "ts", F.col("click").alias("user"), F.col("error").alias("system"), F.col("view").alias("idle"))
-    return _round(s.cpu_shares(df, ["host"]), "cpu_user", "cpu_system", "cpu_idle", "cpu_util")
+    df = running(spark, sf_dir).select("host", "ts", *[F.expr(v).alias(c) for c, v in _MODES.items()])
+    return _round(s.cpu_shares(df, ["host"]), *[f"cpu_{c}" for c in _SHARES])
 
 
 @query(f"WITH {CHANGES} SELECT host, ts, CAST(click * 100000 * 1000 // d_ms AS BIGINT) AS click_rate FROM c WHERE d_ms > 0")
@@ -68,9 +73,10 @@ def H3_traffic_rates(spark, sf_dir):
     return _ms(s.traffic_rates(halves, ["machine"], ["view", "error"]))
 
 
-@query(f"""WITH {CHANGES} SELECT host, ts, CAST(click * 1000000 * 1000 // d_ms AS BIGINT) AS in_rate, CAST(view * 1000000 * 1000 // d_ms AS BIGINT) AS out_rate, round(CASE WHEN click + view > 0 THEN 100.0 * error / (click + view) ELSE 0 END, 6) AS retrans_percent FROM c WHERE d_ms > 0""")
+@query(f"""WITH {CHANGES} SELECT host, ts, CAST(click * 1000000 * 1000 // d_ms AS BIGINT) AS in_rate, CAST(view * 1000000 * 1000 // d_ms AS BIGINT) AS out_rate, round(CASE WHEN click + view > 0 THEN 100.0 * error / (click + view) ELSE 0 END, 6) AS retrans_percent,
+    CAST(signup * 2000000 * 1000 // d_ms AS BIGINT) AS active_opens_rate, CAST(purchase * 3000000 * 1000 // d_ms AS BIGINT) AS in_datagrams_rate, host + 7 AS curr_estab FROM c WHERE d_ms > 0""")
 def H4_tcp_rates(spark, sf_dir):
-    df = running(spark, sf_dir).select("host", "ts", *[(F.col(c) * 1_000_000).alias(n) for c, n in (("click", "in_segs"), ("view", "out_segs"), ("error", "retrans_segs"))])
+    df = running(spark, sf_dir).select("host", "ts", *[(F.col(c) * 1_000_000).alias(n) for c, n in (("click", "in_segs"), ("view", "out_segs"), ("error", "retrans_segs"))], (F.col("signup") * 2_000_000).alias("active_opens"), (F.col("purchase") * 3_000_000).alias("in_datagrams"), (F.col("host") + 7).alias("curr_estab"))
     return _round(s.tcp_rates(df, ["host"]), "retrans_percent")
 
 
@@ -81,9 +87,11 @@ def H5_disk_rollup(spark, sf_dir):
     return _round(s.disk_rollup(df, ["machine"]), "util")
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_totalprice > 0 THEN 100.0 * (o_totalprice - o_custkey) / o_totalprice ELSE 0 END, 6) AS rutil FROM orders")
-def H6_used_percent(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(s.used_percent(F.col("o_totalprice"), F.col("o_custkey")), 6).alias("rutil"))
+@query("""SELECT o_orderkey, CAST(epoch_ms(o_orderdate::TIMESTAMP) AS BIGINT) AS ts, o_totalprice AS mem_total, CAST(o_custkey AS DOUBLE) AS mem_avail, CAST(o_custkey % 7 AS BIGINT) AS swap_free, CAST(o_custkey % 5 AS DOUBLE) AS load_load1,
+    round(CASE WHEN o_totalprice > 0 THEN 100.0 * (o_totalprice - o_custkey) / o_totalprice ELSE 0 END, 6) AS mem_rutil FROM orders""")
+def H6_memory_and_load(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("total"), F.col("o_custkey").cast("double").alias("available"), (F.col("o_custkey") % 7).cast("long").alias("swap_free"), (F.col("o_custkey") % 5).cast("double").alias("load1"))
+    return _round(s.memory_and_load(o, ["o_orderkey"]), "mem_rutil")
 
 
 @query("SELECT l_suppkey, count(*) AS processes, CAST(sum(l_linenumber) AS BIGINT) AS threads FROM lineitem GROUP BY 1")
@@ -92,10 +100,17 @@ def H7_process_totals(spark, sf_dir):
     return s.process_totals(df, ["l_suppkey"]).drop("ts")
 
 
-@query(f"WITH {CHANGES} SELECT host, ts, CAST(click AS DOUBLE) AS ygc_count, round(view * 1000000.0 / 1e9, 6) AS ygc_time FROM c WHERE d_ms IS NOT NULL")
+#: Each cumulative counter runs as one of the counts, times a million and its number.
+_JVM = {name: (TYPES[k % 5], (k + 1) * 1_000_000) for k, name in enumerate(s.JVM)}
+_PERF = {new: old for old, new in s.JVM_NAMES.items()}
+
+
+@query(f"""WITH {CHANGES} SELECT host, ts, {", ".join(f"CASE WHEN d_ms IS NOT NULL THEN round({c} * {n} / {1e9 if name in s.JVM_NANOS else 1.0}, 6) END AS {name}" for name, (c, n) in _JVM.items())},
+    CAST(sum(view) OVER (PARTITION BY host ORDER BY ts) AS BIGINT) AS eden_used FROM c""")
 def H8_jvm_deltas(spark, sf_dir):
-    df = running(spark, sf_dir).select("host", "ts", F.col("click").alias("ygc_count"), (F.col("view") * 1_000_000).alias("ygc_time"))
-    return _round(s.jvm_deltas(df, ["host"]).withColumn("ygc_count", F.col("ygc_count").cast("double")), "ygc_time")
+    df = running(spark, sf_dir).select("host", "ts", F.col("view").alias(_PERF["eden_used"]), *[(F.col(c) * n).alias(_PERF[name]) for name, (c, n) in _JVM.items()])
+    found = s.jvm_deltas(df, ["host"])
+    return _ms(found).withColumns({c: F.round(F.col(c).cast("double"), 6) for c in _JVM})
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes FROM part")
@@ -114,10 +129,12 @@ def H9_container_usage(spark, sf_dir):
     return _round(s.container_usage(df, machines, ["host"]), "cpu_util", "mem_util")
 
 
-@query(f"WITH {CHANGES} SELECT host, ts, CAST(view * 1000000 * 1000 // d_ms AS BIGINT) AS rx_rate FROM c WHERE d_ms > 0")
+@query(f"WITH {CHANGES} SELECT host, ts, round(view * 1000000 * 1000.0 / d_ms, 6) AS traffic_bytin, round(click * 1000000 * 1000.0 / d_ms, 6) AS traffic_bytout, host + 3 AS tcp_established, CAST(2 AS BIGINT) AS tcp_listen FROM c WHERE d_ms > 0")
 def H10_interface_traffic(spark, sf_dir):
-    df = running(spark, sf_dir).select("host", "ts", (F.col("view") * 1_000_000).alias("rx"))
-    return _ms(s.counter_rates(df, ["host"], ["rx"]))
+    sockets = {"tcp_established": F.col("host"), "tcp6_established": F.lit(3), "tcp_listen": F.lit(1).cast("long"), "tcp6_listen": F.lit(1).cast("long")}
+    both = running(spark, sf_dir).withColumn("interface", F.explode(F.array(F.lit("eth0"), F.lit("lo"))))
+    df = both.select("host", "ts", "interface", (F.col("view") * 1_000_000).alias("rx_bytes"), (F.col("click") * 1_000_000).alias("tx_bytes"), *[v.alias(c) for c, v in sockets.items()])
+    return _round(s.interface_traffic(df, ["host"]), "traffic_bytin", "traffic_bytout")
 
 
 @query("""WITH p AS (SELECT '/pods/n' || c_nationkey AS path, NULL AS kind FROM customer UNION SELECT '/pods/n' || c_nationkey || '/c' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'sandbox' ELSE 'container' END FROM customer UNION SELECT '/', NULL UNION SELECT '/empty', NULL)
@@ -138,17 +155,22 @@ def H12_carry_forward(spark, sf_dir):
     return s.carry_forward(e, ["user_id"], "value", "source").select("event_id", "value")
 
 
-@query("SELECT c_nationkey AS node, count(*) AS containers FROM customer GROUP BY 1")
+@query("SELECT user_id % 5 AS node, CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) AS ts, count(*) AS containers FROM events GROUP BY ALL")
 def H13_containers(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).alias("containers"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("node"), F.date_trunc("day", "ts").cast("timestamp").alias("ts"), F.col("event_id").alias("container"))
+    return _ms(s.node_containers(e, ["node"]))
 
 
-@query("""WITH k AS (SELECT user_id, 'c' || (event_id % 3) AS container, CAST(epoch_ms(date_trunc('minute', ts)) AS BIGINT) AS minute FROM events WHERE event_type = 'error' AND event_id % 10 <> 0)
-    SELECT user_id, container, minute, count(*) AS count FROM k GROUP BY ALL UNION ALL SELECT c_custkey, '-', NULL, 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM k)""")
+@query("""WITH k AS (SELECT user_id, 'c' || (event_id % 3) AS container, date_trunc('day', ts) AS minute FROM events WHERE event_type = 'error' AND event_id % 10 <> 0),
+    days AS (SELECT unnest(generate_series((SELECT min(date_trunc('day', ts)) FROM events), (SELECT max(date_trunc('day', ts)) FROM events), INTERVAL 1 DAY)) AS minute)
+    SELECT user_id, container, CAST(epoch_ms(minute) AS BIGINT) AS minute, count(*) AS count FROM k GROUP BY ALL
+    UNION ALL SELECT c_custkey, '-', CAST(epoch_ms(minute) AS BIGINT), 0 FROM customer, days WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = c_custkey AND k.minute = days.minute)""")
 def H14_zero_fill(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("container"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 10 == 0).alias("sandbox"))
+    every = table(spark, sf_dir, "events")
+    first, last = every.agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    e = every.filter("event_type = 'error'").select("user_id", F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("container"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 10 == 0).alias("sandbox"))
     pods = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    return s.with_zero_fill(e, pods, ["user_id"]).withColumn("minute", F.unix_millis("minute"))
+    return s.with_zero_fill(e, pods, ["user_id"], F.lit(first), F.lit(last), 86_400_000).withColumn("minute", F.unix_millis("minute"))
 
 
 @query("SELECT p_partkey, round(p_size * CASE p_partkey % 4 WHEN 0 THEN 1048576.0 WHEN 1 THEN 0.01 WHEN 2 THEN 1.0 ELSE 1073741824.0 END, 4) AS value FROM part")

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over as many tasks as there are cores, where its files are fewer splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log lines, with the columns of a parsed record."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
     cost = F.col("value").cast("decimal(18,2)").cast("string")
     line = F.concat(ts, F.lit(" "), F.upper("event_type"), F.lit(" [user-"), F.col("user_id"), F.lit("] cost="), cost, F.lit(" props="), F.col("props"))

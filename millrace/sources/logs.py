@@ -31,7 +31,7 @@ def _shaped(df: DataFrame, pattern: str | None = None, charset: str | None = Non
 
 def _lines(reader, paths, pattern: str | None = None, charset: str | None = None) -> DataFrame:
     path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    return _shaped(reader.text(paths).select(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")), pattern, charset)
+    return _shaped(reader.option("lineSep", "\n").text(paths).select(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")), pattern, charset)
 
 
 def read_log_lines(spark: SparkSession, paths: list[str], charset: str | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def stream_log_lines(spark: SparkSession, path: str, ordered: bool = False, char
     """
     at = F.col("_metadata.file_path").alias("path")
     if not ordered:
-        return _shaped(spark.readStream.text(path).select(at, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"), F.col("value").alias("line")), charset=charset)
+        return _shaped(spark.readStream.option("lineSep", "\n").text(path).select(at, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"), F.col("value").alias("line")), charset=charset)
     whole = spark.readStream.option("wholetext", "true").text(path)
     lines = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)).alias("ord", "line")
     return _shaped(whole.select(at, F.lit(0).cast("long").alias("block"), lines).withColumn("ord", F.col("ord").cast("long")), charset=charset)
@@ -84,6 +84,13 @@ def broken(line: Column) -> Column:
     return nuls | (F.octet_length(line) > MAX_LINE_BYTES)
 
 
+def broken_reads(lines: DataFrame, by: list[str]) -> DataFrame:
+    """For each source, or source and window: broken (some line was), broken_lines and nul_bytes."""
+    nuls = F.length("line") - F.length(F.replace("line", F.lit("\0"), F.lit("")))
+    counts = lines.groupBy(*by).agg(F.count_if(broken(F.col("line"))).alias("broken_lines"), F.coalesce(F.sum(nuls), F.lit(0)).cast("long").alias("nul_bytes"))
+    return counts.withColumn("broken", F.col("broken_lines") > 0)
+
+
 def noise(line: Column) -> Column:
     """True for what single-line mode ignores: blank lines and stack frames."""
     return (line == "") | line.startswith("\tat") | (line.startswith("\t... ") & line.endswith(" more"))

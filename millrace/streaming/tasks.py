@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,27 @@ def run_stream(task: LogTask, lines: DataFrame, delay: str = OUT_OF_ORDER, first
 
     first_window: windows that start earlier, which the stream did not see whole, are left out.
     """
-    if task.analysing:
-        raise ValueError("log analysis of a stream runs on closed windows: use each_batch")
+    if task.analysing or task.group.get("maxKeySize") or ((task.conf.get("select") or {}).get("logSamples") or {}).get("enabled"):
+        raise ValueError("log analysis, key caps and samples rank the rows of whole windows: use each_batch")
     front = task.front(task.records(lines))
     if task.detailed:
         return task.back(front)
     marked = front.withWatermark("ts", delay).drop("window_start").withColumn("window_start", F.window("ts", f"{task.interval_ms} milliseconds"))
     result = task.back(marked).withColumn("window_start", F.col("window_start")["start"])
     return result.filter(F.col("window_start") >= first_window) if first_window is not None else result
+
+
+def each_batch(task: LogTask, lines: DataFrame, write: Callable[[DataFrame, int], None]):
+    """A stream writer that runs the whole task over each micro-batch and hands result and batch number to write.
+
+    For what ranks the rows of a window: log analysis, key caps and samples. A batch
+    counts as closed windows, as with files that each hold whole windows, or the trigger
+    availableNow over what has come in since the last run. write should replace what it
+    has written of the same batch, since a batch may come again.
+    """
+    return lines.writeStream.foreachBatch(lambda batch, number: write(task.run(batch), number))
+
+
+def late_rows(query) -> int:
+    """Rows of a streaming query that came after their window was closed, over its recent progress."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
