@@ -5,8 +5,9 @@ Segments form a monoid: a text is halved down to leaves of LEAF_CHARS characters
 matches each, and neighbours are joined by encoding a window around the border again.
 Two kinds of border occur, and each window grows until what lies outside provably stays:
 
-* Between pattern matches. The last matches of the left segment are opened until three
-  characters have been: a match after which three more characters of its segment follow
+* Between pattern matches. Between a character and white space after it nothing is
+  opened: every match ends there. Else the last matches of the left segment are opened
+  until three characters have been: a match after which three more characters of its segment follow
   is final, for every alternative of the pattern looks at most at the next character,
   the contractions at the next three. From there the text is matched again, until a
   match ends where one of the right segment does; from there both see the same text.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import blocks, texts
 
 #: Characters of a leaf, bytes of a leaf inside a match, ids of a leaf that is decoded.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 64, 16, 1024
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 128, 64, 1024
 LOOKAHEAD = 3
 #: Different matches of a leaf that a worker remembers.
 REMEMBERED = 200_000
@@ -57,24 +58,6 @@ class Segment:
     widths: array
     ids: bytearray
 
-    def pop(self) -> tuple[int, bytes]:
-        """Takes the last match off: its characters and ids."""
-        width = self.widths.pop()
-        last = bytes(self.ids[-width:])
-        del self.ids[-width:]
-        return self.sizes.pop(), last
-
-    def push(self, size: int, ids: bytes) -> None:
-        self.sizes.append(size)
-        self.widths.append(len(ids))
-        self.ids += ids
-
-    def extend(self, other: Segment, skip: int) -> None:
-        """Adds the matches of other from number skip on."""
-        self.ids += other.ids[sum(other.widths[:skip]) :]
-        self.sizes += other.sizes[skip:]
-        self.widths += other.widths[skip:]
-
 
 class Remembered(dict):
     """Ids by match, made when first asked for."""
@@ -151,28 +134,45 @@ class TreeEncoder:
 
     def join(self, text: str, middle: int, end: int, left: Segment, right: Segment) -> Segment:
         """left, which ends at middle, and right, which ends at end, as one segment; left is used up."""
+        sizes, widths, ids = left.sizes, left.widths, left.ids
         window, opened = middle, {}
-        while left.sizes and middle - window < LOOKAHEAD:
-            size, ids = left.pop()
-            opened[window - size, window] = ids
-            window -= size
-        k, border = 0, middle
-        for m in self.pattern.finditer(text, window, end):
-            start, stop = m.span()
-            parts = k == 0
-            while border < stop:
-                border += right.sizes[k]
-                k += 1
-            ids = opened.get((start, stop))
-            if ids is None and parts and k == 1 and border == stop and stop - start > self.leaf_chars and (start, middle) in opened:
-                two = (array("I", part).tolist() for part in (opened[start, middle], bytes(right.ids[: right.widths[0]])))
-                ids = array("I", self.join_tokens(*two)).tobytes()
-            if ids is None:
-                ids = self.of_match[m.group()] if stop - start <= self.leaf_chars else self.match_ids(m.group())
-            left.push(stop - start, ids)
-            if border == stop >= middle:
-                break
-        left.extend(right, k)
+        # Before white space every match of the left segment is final, unless it is white space too.
+        if not text[middle].isspace() or text[middle - 1].isspace():
+            at = len(ids)
+            while sizes and middle - window < LOOKAHEAD:
+                start, first = window - sizes.pop(), at - widths.pop()
+                opened[start, window] = bytes(ids[first:at])
+                window, at = start, first
+            del ids[at:]
+        k, border, remembered, most = 0, middle, self.of_match, self.leaf_chars
+        if window < middle:
+            for m in self.pattern.finditer(text, window, end):
+                start, stop = m.span()
+                fresh = k == 0
+                while border < stop:
+                    border += right.sizes[k]
+                    k += 1
+                if stop - start <= most:
+                    found = remembered[m.group()]
+                elif (found := opened.get((start, stop))) is None:
+                    if fresh and k == 1 and border == stop and (start, middle) in opened:
+                        two = (array("I", part).tolist() for part in (opened[start, middle], bytes(right.ids[: right.widths[0]])))
+                        found = array("I", self.join_tokens(*two)).tobytes()
+                    else:
+                        found = self.match_ids(m.group())
+                sizes.append(stop - start)
+                widths.append(len(found))
+                ids += found
+                if border == stop >= middle:
+                    break
+        if k:
+            ids += right.ids[sum(right.widths[:k]) :]
+            sizes += right.sizes[k:]
+            widths += right.widths[k:]
+        else:
+            ids += right.ids
+            sizes += right.sizes
+            widths += right.widths
         return left
 
     def segment(self, text: str, start: int, end: int) -> Segment:
