@@ -89,15 +89,16 @@ def _unlike_all(signatures: DataFrame, patterns: dict, keys: list[str]) -> DataF
     return signatures.mapInPandas(place, "window_key string, first long, count long, line string, cluster int, signature array<struct<letters:string,size:int,source:boolean,important:boolean>>")
 
 
-def cluster(lines: DataFrame, start: str = "window_start", most_patterns: int = MAX_PATTERNS, most_length: int = MAX_LENGTH, order: str = "ord") -> DataFrame:
-    """window_start, cluster (in order of opening), count, line (the first): unknown lines of each window in clusters.
+def _signed(lines: DataFrame, start: str, most_length: int, order: str) -> DataFrame:
+    """lines with window_key, the signature that similarity compares, and sources, their source words."""
+    words = signature(F.col("line"), most_length)
+    short = F.transform(words, lambda t: F.struct(t["letters"].alias("letters"), t["size"].alias("size"), t["source"].alias("source"), t["important"].alias("important")))
+    sources = F.transform(F.filter(words, lambda t: t["source"]), lambda t: t["word"])
+    return lines.select(F.col(start).cast("string").alias("window_key"), start, order, "line", short.alias("signature"), sources.alias("sources"))
 
-    A line joins the first similar cluster of its window, opens one if there are fewer
-    than most_patterns, and else is dropped. At most most_patterns rounds are run; the
-    driver holds the patterns of the windows and SEED signatures at most.
-    """
-    short = F.transform(signature(F.col("line"), most_length), lambda t: F.struct(t["letters"].alias("letters"), t["size"].alias("size"), t["source"].alias("source"), t["important"].alias("important")))
-    rows = lines.select(F.col(start).cast("string").alias("window_key"), start, order, "line", short.alias("signature"))
+
+def _placed(rows: DataFrame, start: str, most_patterns: int, order: str) -> DataFrame:
+    """window_key, first, count, line, cluster, signature: the signatures of rows that a cluster of their window takes."""
     reduced = rows.groupBy("window_key", "signature").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count"), F.min_by("line", order).alias("line"))
     reduced = reduced.persist()
     patterns: dict[str, list] = {}
@@ -114,19 +115,44 @@ def cluster(lines: DataFrame, start: str = "window_start", most_patterns: int =
             break
         for row in opened:
             patterns.setdefault(row["window_key"], []).append([t.asDict() for t in row["signature"]])
-    placed = _unlike_all(reduced, patterns, [start]).filter("cluster >= 0")
-    found = placed.groupBy("window_key", "cluster").agg(F.sum("count").alias("count"), F.min_by("line", "first").alias("line"))
+    return _unlike_all(reduced, patterns, [start]).filter("cluster >= 0")
+
+
+def _clusters(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("window_key", "cluster").agg(F.sum("count").alias("count"), F.min_by("line", "first").alias("line"))
+
+
+def cluster(lines: DataFrame, start: str = "window_start", most_patterns: int = MAX_PATTERNS, most_length: int = MAX_LENGTH, order: str = "ord") -> DataFrame:
+    """window_start, cluster (in order of opening), count, line (the first): unknown lines of each window in clusters.
+
+    A line joins the first similar cluster of its window, opens one if there are fewer
+    than most_patterns, and else is dropped. At most most_patterns rounds are run; the
+    driver holds the patterns of the windows and SEED signatures at most.
+    """
+    found = _clusters(_placed(_signed(lines, start, most_length, order), start, most_patterns, order))
     return found.select(F.col("window_key").cast(dict(lines.dtypes)[start]).alias(start), "cluster", "count", "line")
 
 
-def source_words(lines: DataFrame, by: list[str], order: str = "ord", most_length: int = MAX_LENGTH, most: int = MAX_SOURCES) -> DataFrame:
-    """Counts of the source words of each group, for the first words seen; at most most + 1 words."""
-    words = lines.select(*by, order, F.explode(F.filter(signature(F.col("line"), most_length), lambda t: t["source"])).alias("t")).select(*by, order, F.col("t.word").alias("word"))
-    counted = words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("seen"))
+def _first_words(words: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(by, word, count) of words (by, word, count, seen): the first most + 1 words seen in each group."""
+    counted = words.groupBy(*by, "word").agg(F.sum("count").alias("count"), F.min("seen").alias("seen"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("seen", "word"))
     return counted.withColumn("rank", rank).filter(F.col("rank") <= most + 1).drop("rank", "seen")
 
 
+def source_words(lines: DataFrame, by: list[str], order: str = "ord", most_length: int = MAX_LENGTH, most: int = MAX_SOURCES) -> DataFrame:
+    """Counts of the source words of each group, for the first words seen; at most most + 1 words."""
+    words = lines.select(*by, F.col(order).alias("seen"), F.explode(F.filter(signature(F.col("line"), most_length), lambda t: t["source"])).alias("t"))
+    return _first_words(words.select(*by, "seen", F.col("t.word").alias("word"), F.lit(1).alias("count")), by, most)
+
+
+def _cluster_sources(rows: DataFrame, placed: DataFrame, order: str, most: int = MAX_SOURCES) -> DataFrame:
+    """window_key, cluster, word, count; words are counted for each signature before they meet its cluster."""
+    own = rows.select("window_key", "signature", order, F.explode("sources").alias("word"))
+    own = own.groupBy("window_key", "signature", "word").agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("seen"))
+    return _first_words(own.join(placed.select("window_key", "signature", "cluster"), ["window_key", "signature"]), ["window_key", "cluster"], most)
+
+
 def known_counts(lines: DataFrame, patterns: list[dict], scope: Scope, start: str = "window_start", order: str = "ord") -> DataFrame:
     """window_start, eventName, value, line (the first) of the known patterns."""
     named = lines.withColumn("eventName", known_pattern(patterns, scope)).filter("eventName is not null")
@@ -134,13 +160,16 @@ def known_counts(lines: DataFrame, patterns: list[dict], scope: Scope, start: st
 
 
 def analyse(lines: DataFrame, conf: dict, scope: Scope, start: str = "window_start", order: str = "ord") -> DataFrame:
-    """window_start, eventName, value, analysis: a row for each known pattern, and one named __analysis for the unknown clusters of a window."""
+    """window_start, eventName, value, analysis: a row for each known pattern, and one named __analysis for the unknown clusters of a window, each with the counts of its source words."""
     patterns = conf.get("patterns") or []
     known = known_counts(lines, patterns, scope, start, order)
     sample = F.to_json(F.struct(F.lit(True).alias("known"), F.col("line").alias("sample")))
     known = known.select(start, "eventName", F.col("value").cast("long").alias("value"), sample.alias("analysis"))
-    unknown = cluster(lines.filter(known_pattern(patterns, scope).isNull()), start, conf.get("maxUnknownPatterns") or MAX_PATTERNS, conf.get("maxLogLength") or MAX_LENGTH, order)
-    each = F.sort_array(F.collect_list(F.struct("cluster", "count", F.col("line").alias("sample"))))
+    rows = _signed(lines.filter(known_pattern(patterns, scope).isNull()), start, conf.get("maxLogLength") or MAX_LENGTH, order)
+    placed = _placed(rows, start, conf.get("maxUnknownPatterns") or MAX_PATTERNS, order)
+    words = _cluster_sources(rows, placed, order).groupBy("window_key", "cluster").agg(F.sort_array(F.collect_list(F.struct(F.col("word").alias("source"), "count"))).alias("sourceWords"))
+    unknown = _clusters(placed).join(words, ["window_key", "cluster"], "left").withColumn(start, F.col("window_key").cast(dict(lines.dtypes)[start]))
+    each = F.sort_array(F.collect_list(F.struct("cluster", "count", F.col("line").alias("sample"), "sourceWords")))
     unknown = unknown.groupBy(start).agg(F.sum("count").alias("value"), F.to_json(F.struct(each.alias("analyzedLogs"))).alias("analysis"))
     return known.union(unknown.select(start, F.lit("__analysis").alias("eventName"), F.col("value").cast("long").alias("value"), "analysis"))
 

@@ -232,10 +232,17 @@ def K4_K5_clusters(spark, sf_dir):
     return _rounded(patterns.cluster(_windowed(spark, sf_dir), most_patterns=8))
 
 
-@query("""SELECT regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS word, count(*) AS count FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/:@=&?]+[.]com/') GROUP BY ALL""")
+@query(r"""WITH hosts AS (
+        SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS word FROM pages WHERE url IS NOT NULL
+    ), counted AS (
+        SELECT regexp_extract(word, '[a-z]+$') AS kind, word, count(*) AS count, min(page_id) AS seen FROM hosts
+        WHERE length(word) > 5 AND (regexp_matches(word, '^(com|java|org)[.]|[.]com$') OR regexp_matches(word, '([0-9]{1,3}[.]){3}[0-9]{1,3}')) GROUP BY ALL
+    )
+    SELECT kind, word, count FROM counted QUALIFY row_number() OVER (PARTITION BY kind ORDER BY seen, word) <= 61""")
 def K6_source_words(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.lit(1).alias("g"), F.col("page_id").alias("ord"), F.regexp_replace("url", "^[a-z]+://([^/]+)/.*$", "$1").alias("line"))
-    return patterns.source_words(pages.filter(F.col("line").endswith(".com")), ["g"], most=10**9).select("word", "count")
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1)
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract(host, "[a-z]+$", 0).alias("kind"), F.col("page_id").alias("ord"), host.alias("line"))
+    return patterns.source_words(pages, ["kind"])
 
 
 @query()

@@ -1,5 +1,6 @@
 """Records, caps, samples and clusters against plain Python models."""
 
+import json
 import random
 from collections import defaultdict
 
@@ -89,3 +90,16 @@ def test_tokens(spark):
     assert [t["word"] for t in row] == ["ERROR", "main", "fail", "connect", "10.0.0.1", "com.acme.Foo", "bad things happened"]
     assert [t["source"] for t in row] == [False, False, False, False, True, True, False]
     assert [t["important"] for t in row] == [False] * 6 + [True]
+
+
+def test_source_words_of_clusters(spark):
+    lines = [(k, "2024-01-01", f"request failed,host{k % 3}.com,giving up") for k in range(9)] + [(9, "2024-01-01", "disk nearly full today")]
+    df = spark.createDataFrame(lines, "ord long, window_start string, line string")
+    found = patterns.analyse(df, {}, None).collect()
+    assert [(r["eventName"], r["value"]) for r in found] == [("__analysis", 10)]
+    logs = json.loads(found[0]["analysis"])["analyzedLogs"]
+    assert [x["count"] for x in logs] == [9, 1]
+    assert logs[0]["sourceWords"] == [{"source": f"host{k}.com", "count": 3} for k in range(3)]
+    assert "sourceWords" not in logs[1]
+    whole = spark.createDataFrame([(0, "a", f"host{k}.com") for k in range(70)], "ord long, g string, line string")
+    assert patterns.source_words(whole, ["g"]).count() == 61
