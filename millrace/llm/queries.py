@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, credential_grammar, feistel_shards, repeat_intervals, subword_toxicity, token_attribution, tool_calls, vantage_simhash
+from millrace.llm import bm25_decontaminate, bpe_tree, chunk_recipes, credential_grammar, feistel_shards, quality_trees, repeat_intervals, russian_negatives, sketch_search, subword_toxicity, token_attribution, tool_calls, vantage_simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,21 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_credential_grammar, op2_tool_calls, op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op7_repeat_intervals, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes)}
+def op11_russian_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return russian_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, relabel)
+
+
+def op12_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_trees.quality(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_credential_grammar, op2_tool_calls, op3_token_attribution, op4_bm25_decontaminate, op5_feistel_shards, op6_vantage_simhash, op7_repeat_intervals, op8_subword_toxicity, op9_bpe_tree, op10_chunk_recipes, op11_russian_negatives, op12_sketch_search, op13_quality_trees)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_tool_calls": """
@@ -96,4 +110,37 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256
         FROM normal JOIN groups USING (body)""",
+    "op11_russian_negatives": """
+        WITH kept AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM kept a JOIN kept b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+    "op12_sketch_search": """
+        WITH terms AS (
+            SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents
+        ), sized AS (
+            SELECT doc_id, row_no, words, len(words) AS n FROM terms WHERE len(words) > 0
+        ), whole AS (
+            SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sized
+        ), tf AS (
+            SELECT row_no, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT row_no, doc_id, n, unnest(words) AS term FROM sized) GROUP BY row_no, term
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs
+        ), scores AS (
+            SELECT item_id, doc_id, row_no, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tf USING (term), whole GROUP BY item_id, doc_id, row_no
+        ), best AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM best WHERE rank <= 50""",
 }
