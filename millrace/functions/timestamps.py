@@ -78,10 +78,16 @@ def seen_in(lines: list[str]) -> Seen:
 def auto(line: Column, zone: str | None = None, seen: Seen | None = None) -> Column:
     """The time near the start of a line in any of the known layouts, or its leading epoch digits; NULL if there is none.
 
-    Times without a zone are in `zone`, UTC by default. seen: the layouts that the lines
-    of a task have; others are then no times.
+    Times without a zone are in `zone`, UTC by default. seen: the layouts that most lines
+    have, which are tried first; a line that has none of them is read in any layout.
     """
-    seen = seen or Seen()
+    if seen is None or seen == Seen():
+        return _auto(line, zone, Seen())
+    # Through a one-element array, so that the code of the other layouts stays apart and runs for the lines that are left only.
+    return F.coalesce(_auto(line, zone, seen), F.transform(F.array(line), lambda x: _auto(x, zone, Seen()))[0])
+
+
+def _auto(line: Column, zone: str | None, seen: Seen) -> Column:
     found = []
     if "date" in seen.ways:
         found.append(_date(line, zone, seen))
@@ -130,7 +136,7 @@ def by_layout(value: Column, layout: str, zone: str | None = None) -> Column:
 
 
 def event_time(conf: dict | None, scope: Scope, zone: str | None = None, now: Column | None = None, seen: Seen | None = None) -> Column:
-    """The time of a record by a task's time configuration; NULL on error. seen: what the lines show where layouts are detected."""
+    """The time of a record by a task's time configuration; NULL on error. seen: the layouts to try first where they are detected."""
     conf = conf or {}
     kind = conf.get("type") or "auto"
     zone = zone or conf.get("timezone") or None

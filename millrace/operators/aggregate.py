@@ -69,15 +69,38 @@ def value_names(values: list[dict]) -> list[str]:
     return ["value"] if len(values) == 1 else [v["as"] for v in values]
 
 
-def aggregate(df: DataFrame, values: list[dict], keys: list[str], scope: Scope, start: str = "window_start") -> DataFrame:
-    """One row for each window and group that any record reached."""
+def arrival(df: DataFrame) -> Column:
+    """Sort key of the order in which rows came: by the age of their file, its path, and their place in it."""
+    return F.struct(*[c for c in ("file_time", "path", "block", "ord") if c in df.columns])
+
+
+def aggregate(df: DataFrame, values: list[dict], keys: list[str], scope: Scope, start: str = "window_start", most_keys: int = 0) -> DataFrame:
+    """One row for each window and group that any record reached; with most_keys, for each window's first groups by arrival."""
     kind = lambda v: v.get("agg") if v.get("agg") in (None, "count", "hll") else "number"
     keyed = [json.dumps([kind(v), kind(v) and v.get("elect"), v.get("where")], sort_keys=True) for v in values]
     cells = {k: cell(v, scope) for k, v in zip(keyed, values, strict=True)}
     place = {k: f"c{i}" for i, k in enumerate(cells)}
+    capped = most_keys > 0 and keys
+    if capped:
+        df = df.withColumn("seen_at", arrival(df))
     df = once(df, "cells", F.struct(*[c.alias(place[k]) for k, c in cells.items()]))
     columns = [total(v, F.col("cells")[place[k]]).alias(n) for v, n, k in zip(values, value_names(values), keyed, strict=True)]
-    return df.groupBy(start, *keys).agg(*columns)
+    if not capped:
+        return df.groupBy(start, *keys).agg(*columns)
+    grouped = df.groupBy(start, *keys).agg(*columns, F.min("seen_at").alias("seen_at"))
+    return earliest(grouped, [start], ["seen_at", *keys], keys, min(most_keys, MOST_KEYS)).drop("seen_at")
+
+
+#: Parts of a window or group that are ranked on their own before it is.
+PARTS = 32
+
+
+def earliest(rows: DataFrame, by: list[str], order: list[str], spread: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each group `by`: of its parts, dealt by a hash of `spread`, first, and then of the parts' firsts."""
+    rows = rows.withColumn("rank_part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)))
+    for parts in ([*by, "rank_part"], by):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).filter(F.col("rank") <= most).drop("rank")
+    return rows.drop("rank_part")
 
 
 def partials(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
@@ -91,24 +114,19 @@ def merge_partials(parts: DataFrame, by: list[str]) -> DataFrame:
     return merged.withColumn("avg", F.when(F.col("count") > 0, F.col("sum") / F.col("count")).otherwise(0.0))
 
 
-def kept_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start", order: str = "ord") -> DataFrame:
-    """(window, keys): each window's first `limit` keys by arrival. Only one row for each key is ranked; windows rank theirs in a task each."""
-    seen = df.groupBy(start, *keys).agg(F.min(order).alias("seen"))
-    rank = F.row_number().over(Window.partitionBy(start).orderBy("seen", *keys))
-    return seen.withColumn("rank", rank).filter(F.col("rank") <= min(limit, MOST_KEYS)).select(start, *keys)
-
-
-def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Equal in all columns, nulls too."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+def kept_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start") -> DataFrame:
+    """(window, keys): each window's first `limit` keys by arrival. Only one row for each key is ranked."""
+    seen = df.groupBy(start, *keys).agg(F.min(arrival(df)).alias("seen_at"))
+    return earliest(seen, [start], ["seen_at", *keys], keys, min(limit, MOST_KEYS)).select(start, *keys)
 
 
-def first_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start", order: str = "ord") -> DataFrame:
+def first_keys(df: DataFrame, keys: list[str], limit: int, start: str = "window_start") -> DataFrame:
     """Rows of each window's first `limit` keys by arrival; no limit if it is 0 or less."""
     if limit <= 0 or not keys:
         return df
-    kept = kept_keys(df, keys, limit, start, order)
-    return df.join(kept, same(df, kept, [start, *keys]), "left_semi")
+    kept = kept_keys(df, keys, limit, start)
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(kept[c]) for c in (start, *keys)])
+    return df.join(kept, same, "left_semi")
 
 
 def cut_bytes(text: Column, most: int) -> Column:
@@ -116,18 +134,31 @@ def cut_bytes(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")))
 
 
-def samples(df: DataFrame, conf: dict, keys: list[str], scope: Scope, start: str = "window_start", order: str = "ord") -> DataFrame:
-    """First records of each window and group: log_samples, JSON {maxCount, samples: [{hostname, logs}]}.
+def sample_limits(conf: dict) -> tuple[int, int]:
+    """How many records a group's samples are, and how many bytes of each line stay."""
+    return min(MOST_SAMPLES, conf.get("maxCount") or 10), min(MOST_SAMPLE_BYTES, conf.get("maxLength") or 4096)
+
+
+def sampled(df: DataFrame, conf: dict, scope: Scope) -> Column:
+    """The lines of a record cut for a sample; NULL if it is none."""
+    return F.when(keeps(conf.get("where"), scope), F.transform("lines", lambda x: cut_bytes(x, sample_limits(conf)[1])))
+
+
+def samples_json(logs: Column, conf: dict, scope: Scope) -> Column:
+    """{maxCount, samples: [{hostname, logs}]} of the logs of sampled records."""
+    host = scope.meta.get("hostname", F.lit(""))
+    each = F.transform(logs, lambda x: F.struct(host.alias("hostname"), x.alias("logs")))
+    return F.to_json(F.struct(F.lit(sample_limits(conf)[0]).alias("maxCount"), each.alias("samples")))
+
+
+def samples(df: DataFrame, conf: dict, keys: list[str], scope: Scope, start: str = "window_start") -> DataFrame:
+    """First records by arrival of each window and group: log_samples.
 
     Rows are ranked within hashed parts of a group first, so that a large group is many
     tasks and only maxCount rows of each part are ranked again.
     """
-    count, length = min(MOST_SAMPLES, conf.get("maxCount") or 10), min(MOST_SAMPLE_BYTES, conf.get("maxLength") or 4096)
     by = [start, *keys]
-    rows = df.filter(keeps(conf.get("where"), scope)).select(*by, order, F.transform("lines", lambda x: cut_bytes(x, length)).alias("logs")).withColumn("part", F.pmod(F.xxhash64(order), F.lit(32)))
-    for parts in ([*by, "part"], by):
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(order))).filter(F.col("rank") <= count).drop("rank")
-    host = scope.meta.get("hostname", F.lit(""))
-    listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, "logs"))).alias("all"))
-    each = F.transform("all", lambda x: F.struct(host.alias("hostname"), x["logs"].alias("logs")))
-    return listed.select(*by, F.to_json(F.struct(F.lit(count).alias("maxCount"), each.alias("samples"))).alias("log_samples"))
+    rows = df.select(*by, arrival(df).alias("seen_at"), sampled(df, conf, scope).alias("logs")).filter("logs is not null")
+    rows = earliest(rows, by, ["seen_at"], ["seen_at"], sample_limits(conf)[0])
+    listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seen_at", "logs"))).alias("all"))
+    return listed.select(*by, samples_json(F.transform("all", lambda x: x["logs"]), conf, scope).alias("log_samples"))

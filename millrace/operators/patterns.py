@@ -2,8 +2,8 @@
 
 Lines are reduced to signatures first: what decides similarity is the ordered list of
 (letters-only form, byte length, source, important) of the tokens, and lines with one
-signature meet the same cluster. Signatures are then placed in rounds: the earliest one
-that no cluster takes opens the next cluster, until there are enough or none is left.
+signature meet the same cluster. The different signatures of a window are then placed in
+the order in which they came first, all windows side by side.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import Scope, keeps
+from millrace.operators.aggregate import arrival, earliest
 
 # Characters and texts that end a token, and the constants of similarity.
 CUTTERS = r"[)!;@\[(,?}\]:^&={*]|->| - |，|【|。|（|）|】|！|；|："
@@ -23,11 +24,8 @@ SIMILAR = 0.8
 SHORT = 5
 MAX_PATTERNS, MAX_LENGTH, MAX_SOURCES = 64, 300, 60
 
-#: So many of the earliest signatures are placed in order on the driver, which leaves few rounds.
-SEED = 5000
-
 _IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
-TOKEN = "struct<word:string,letters:string,size:int,source:boolean,important:boolean>"
+SIGNATURE = "array<struct<letters:string,size:int,source:boolean,important:boolean>>"
 
 
 def known_pattern(patterns: list[dict], scope: Scope) -> Column:
@@ -76,98 +74,108 @@ def similar(tokens_: list[dict], pattern: list[dict]) -> bool:
     return total == 0 or found / total >= SIMILAR
 
 
-def _unlike_all(signatures: DataFrame, patterns: dict, keys: list[str]) -> DataFrame:
-    """signatures with cluster: the position of the first similar pattern of their window, -1 if there is none."""
-    shared = signatures.sparkSession.sparkContext.broadcast(patterns)
+class Placer:
+    """The clusters of one window: a line joins the first similar one, opens one if there are fewer than `most`, and else is dropped."""
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            known = [shared.value.get(k, []) for k in pdf["window_key"]]
-            cluster = [next((i for i, p in enumerate(ps) if similar(list(s), p)), -1) for s, ps in zip(pdf["signature"], known, strict=True)]
-            yield pdf[["window_key", "first", "count", "line"]].assign(cluster=cluster, signature=pdf["signature"])
+    def __init__(self, most: int, patterns: list[list[dict]] | None = None):
+        self.most, self.patterns = most, patterns or []
 
-    return signatures.mapInPandas(place, "window_key string, first long, count long, line string, cluster int, signature array<struct<letters:string,size:int,source:boolean,important:boolean>>")
+    def place(self, tokens_: list[dict]) -> tuple[int, bool]:
+        """Number of the line's cluster, -1 if it is dropped, and whether it opened it."""
+        for k, pattern in enumerate(self.patterns):
+            if similar(tokens_, pattern):
+                return k, False
+        if len(self.patterns) >= self.most:
+            return -1, False
+        self.patterns.append(tokens_)
+        return len(self.patterns) - 1, True
 
 
-def _signed(lines: DataFrame, start: str, most_length: int, order: str) -> DataFrame:
-    """lines with window_key, the signature that similarity compares, and sources, their source words."""
-    words = signature(F.col("line"), most_length)
+def compared(line: Column, most_length: int = MAX_LENGTH) -> tuple[Column, Column]:
+    """The signature of a line that similarity compares, and its source words."""
+    words = signature(line, most_length)
     short = F.transform(words, lambda t: F.struct(t["letters"].alias("letters"), t["size"].alias("size"), t["source"].alias("source"), t["important"].alias("important")))
-    sources = F.transform(F.filter(words, lambda t: t["source"]), lambda t: t["word"])
-    return lines.select(F.col(start).cast("string").alias("window_key"), start, order, "line", short.alias("signature"), sources.alias("sources"))
-
-
-def _placed(rows: DataFrame, start: str, most_patterns: int, order: str) -> DataFrame:
-    """window_key, first, count, line, cluster, signature: the signatures of rows that a cluster of their window takes."""
-    reduced = rows.groupBy("window_key", "signature").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count"), F.min_by("line", order).alias("line"))
-    reduced = reduced.persist()
-    patterns: dict[str, list] = {}
-    # The earliest signatures over all windows are the earliest of each.
-    for row in reduced.select("window_key", "signature", "first").orderBy("first").limit(SEED).collect():
-        own, found = patterns.setdefault(row["window_key"], []), [t.asDict() for t in row["signature"]]
-        if len(own) < most_patterns and not any(similar(found, p) for p in own):
-            own.append(found)
-    for _ in range(most_patterns):
-        open_ = _unlike_all(reduced, patterns, [start]).filter("cluster < 0")
-        full = [k for k, v in patterns.items() if len(v) >= most_patterns]
-        opened = open_.filter(~F.col("window_key").isin(full)).groupBy("window_key").agg(F.min_by("signature", "first").alias("signature")).collect()
-        if not opened:
-            break
-        for row in opened:
-            patterns.setdefault(row["window_key"], []).append([t.asDict() for t in row["signature"]])
-    return _unlike_all(reduced, patterns, [start]).filter("cluster >= 0")
+    return short, F.transform(F.filter(words, lambda t: t["source"]), lambda t: t["word"])
 
 
-def _clusters(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("window_key", "cluster").agg(F.sum("count").alias("count"), F.min_by("line", "first").alias("line"))
+def _signed(lines: DataFrame, start: str, most_length: int) -> DataFrame:
+    """lines with window_key, seen_at, signature and sources."""
+    short, sources = compared(F.col("line"), most_length)
+    return lines.select(F.col(start).cast("string").alias("window_key"), start, arrival(lines).alias("seen_at"), "line", short.alias("signature"), sources.alias("sources"))
 
 
-def cluster(lines: DataFrame, start: str = "window_start", most_patterns: int = MAX_PATTERNS, most_length: int = MAX_LENGTH, order: str = "ord") -> DataFrame:
-    """window_start, cluster (in order of opening), count, line (the first): unknown lines of each window in clusters.
+def _placed(rows: DataFrame, most_patterns: int) -> DataFrame:
+    """window_key, signature, count, line, cluster, opened: the signatures of rows that a cluster of their window takes.
 
-    A line joins the first similar cluster of its window, opens one if there are fewer
-    than most_patterns, and else is dropped. At most most_patterns rounds are run; the
-    driver holds the patterns of the windows and SEED signatures at most.
+    A window's different signatures pass through one task in order, which holds the
+    patterns of one window at a time; windows are dealt over tasks.
     """
-    found = _clusters(_placed(_signed(lines, start, most_length, order), start, most_patterns, order))
+    reduced = rows.groupBy("window_key", "signature").agg(F.min("seen_at").alias("seen_at"), F.count(F.lit(1)).alias("count"), F.min_by("line", "seen_at").alias("line"))
+    ordered = reduced.repartition("window_key").sortWithinPartitions("window_key", "seen_at", "line").drop("seen_at")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, placer = None, Placer(most_patterns)
+        for batch in batches:
+            found = []
+            for key, tokens_ in zip(batch.column("window_key").to_pylist(), batch.column("signature").to_pylist(), strict=True):
+                if key != window:
+                    window, placer = key, Placer(most_patterns)
+                found.append(placer.place(tokens_))
+            clusters, opened = pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, clusters, opened], [*batch.schema.names, "cluster", "opened"])
+
+    return ordered.mapInArrow(place, f"window_key string, signature {SIGNATURE}, count long, line string, cluster int, opened boolean").filter("cluster >= 0")
+
+
+def _clusters(placed: DataFrame) -> DataFrame:
+    # The signature that opened a cluster came before all others of it.
+    return placed.groupBy("window_key", "cluster").agg(F.sum("count").alias("count"), F.max(F.when(F.col("opened"), F.col("line"))).alias("line"))
+
+
+def cluster(lines: DataFrame, start: str = "window_start", most_patterns: int = MAX_PATTERNS, most_length: int = MAX_LENGTH) -> DataFrame:
+    """window_start, cluster (in order of opening), count, line (the first): unknown lines of each window in clusters."""
+    found = _clusters(_placed(_signed(lines, start, most_length), most_patterns))
     return found.select(F.col("window_key").cast(dict(lines.dtypes)[start]).alias(start), "cluster", "count", "line")
 
 
 def _first_words(words: DataFrame, by: list[str], most: int) -> DataFrame:
     """(by, word, count) of words (by, word, count, seen): the first most + 1 words seen in each group."""
     counted = words.groupBy(*by, "word").agg(F.sum("count").alias("count"), F.min("seen").alias("seen"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("seen", "word"))
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= most + 1).drop("rank", "seen")
+    return earliest(counted, by, ["seen", "word"], ["word"], most + 1).drop("seen")
 
 
-def source_words(lines: DataFrame, by: list[str], order: str = "ord", most_length: int = MAX_LENGTH, most: int = MAX_SOURCES) -> DataFrame:
+def source_words(lines: DataFrame, by: list[str], most_length: int = MAX_LENGTH, most: int = MAX_SOURCES) -> DataFrame:
     """Counts of the source words of each group, for the first words seen; at most most + 1 words."""
-    words = lines.select(*by, F.col(order).alias("seen"), F.explode(F.filter(signature(F.col("line"), most_length), lambda t: t["source"])).alias("t"))
+    words = lines.select(*by, arrival(lines).alias("seen"), F.explode(F.filter(signature(F.col("line"), most_length), lambda t: t["source"])).alias("t"))
     return _first_words(words.select(*by, "seen", F.col("t.word").alias("word"), F.lit(1).alias("count")), by, most)
 
 
-def _cluster_sources(rows: DataFrame, placed: DataFrame, order: str, most: int = MAX_SOURCES) -> DataFrame:
+def _cluster_sources(rows: DataFrame, placed: DataFrame, most: int = MAX_SOURCES) -> DataFrame:
     """window_key, cluster, word, count; words are counted for each signature before they meet its cluster."""
-    own = rows.select("window_key", "signature", order, F.explode("sources").alias("word"))
-    own = own.groupBy("window_key", "signature", "word").agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("seen"))
+    own = rows.select("window_key", "signature", "seen_at", F.explode("sources").alias("word"))
+    own = own.groupBy("window_key", "signature", "word").agg(F.count(F.lit(1)).alias("count"), F.min("seen_at").alias("seen"))
     return _first_words(own.join(placed.select("window_key", "signature", "cluster"), ["window_key", "signature"]), ["window_key", "cluster"], most)
 
 
-def known_counts(lines: DataFrame, patterns: list[dict], scope: Scope, start: str = "window_start", order: str = "ord") -> DataFrame:
+def known_counts(lines: DataFrame, patterns: list[dict], scope: Scope, start: str = "window_start") -> DataFrame:
     """window_start, eventName, value, line (the first) of the known patterns."""
     named = lines.withColumn("eventName", known_pattern(patterns, scope)).filter("eventName is not null")
-    return named.groupBy(start, "eventName").agg(F.count(F.lit(1)).alias("value"), F.min_by("line", order).alias("line"))
+    return named.groupBy(start, "eventName").agg(F.count(F.lit(1)).alias("value"), F.min_by("line", arrival(lines)).alias("line"))
+
+
+def known_sample() -> Column:
+    """The analysis of a known pattern, of the column line."""
+    return F.to_json(F.struct(F.lit(True).alias("known"), F.col("line").alias("sample")))
 
 
-def analyse(lines: DataFrame, conf: dict, scope: Scope, start: str = "window_start", order: str = "ord") -> DataFrame:
+def analyse(lines: DataFrame, conf: dict, scope: Scope, start: str = "window_start") -> DataFrame:
     """window_start, eventName, value, analysis: a row for each known pattern, and one named __analysis for the unknown clusters of a window, each with the counts of its source words."""
     patterns = conf.get("patterns") or []
-    known = known_counts(lines, patterns, scope, start, order)
-    sample = F.to_json(F.struct(F.lit(True).alias("known"), F.col("line").alias("sample")))
-    known = known.select(start, "eventName", F.col("value").cast("long").alias("value"), sample.alias("analysis"))
-    rows = _signed(lines.filter(known_pattern(patterns, scope).isNull()), start, conf.get("maxLogLength") or MAX_LENGTH, order)
-    placed = _placed(rows, start, conf.get("maxUnknownPatterns") or MAX_PATTERNS, order)
-    words = _cluster_sources(rows, placed, order).groupBy("window_key", "cluster").agg(F.sort_array(F.collect_list(F.struct(F.col("word").alias("source"), "count"))).alias("sourceWords"))
+    known = known_counts(lines, patterns, scope, start)
+    known = known.select(start, "eventName", F.col("value").cast("long").alias("value"), known_sample().alias("analysis"))
+    rows = _signed(lines.filter(known_pattern(patterns, scope).isNull()), start, conf.get("maxLogLength") or MAX_LENGTH)
+    placed = _placed(rows, conf.get("maxUnknownPatterns") or MAX_PATTERNS)
+    words = _cluster_sources(rows, placed).groupBy("window_key", "cluster").agg(F.sort_array(F.collect_list(F.struct(F.col("word").alias("source"), "count"))).alias("sourceWords"))
     unknown = _clusters(placed).join(words, ["window_key", "cluster"], "left").withColumn(start, F.col("window_key").cast(dict(lines.dtypes)[start]))
     each = F.sort_array(F.collect_list(F.struct("cluster", "count", F.col("line").alias("sample"), "sourceWords")))
     unknown = unknown.groupBy(start).agg(F.sum("count").alias("value"), F.to_json(F.struct(each.alias("analyzedLogs"))).alias("analysis"))
@@ -176,13 +184,7 @@ def analyse(lines: DataFrame, conf: dict, scope: Scope, start: str = "window_sta
 
 def place_in_order(lines: list[list[dict]], most_patterns: int = MAX_PATTERNS) -> Counter:
     """Counts of clusters when lines are placed one by one; the model that cluster() is tested against."""
-    patterns: list[list[dict]] = []
-    counts: Counter = Counter()
-    for line in lines:
-        k = next((i for i, p in enumerate(patterns) if similar(line, p)), None)
-        if k is None and len(patterns) < most_patterns:
-            patterns.append(line)
-            k = len(patterns) - 1
-        if k is not None:
-            counts[k] += 1
+    placer = Placer(most_patterns)
+    counts = Counter(placer.place(line)[0] for line in lines)
+    del counts[-1]
     return counts

@@ -54,6 +54,6 @@ def multiline(lines: DataFrame, where: dict, what: str = "previous", max_lines:
         placed = at.withColumn("record", before)
         first = placed.groupBy("path", "record").agg(F.min("no").alias("first"))
         placed = placed.join(first, ["path", "record"]).withColumn("chunk", F.floor((F.col("no") - F.col("first")) / cap))
-    kept = [c for c in ("path_tags", "log_tags") if c in lines.columns]
+    kept = [c for c in ("path_tags", "log_tags", "file_time") if c in lines.columns]
     grouped = placed.groupBy("path", "record", "chunk").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("all"), *[F.first(c).alias(c) for c in kept])
     return grouped.select("path", F.col("all")[0]["no"].alias("ord"), F.col("all")[0]["line"].alias("line"), F.transform("all", lambda x: x["line"]).alias("lines"), *kept)

@@ -18,7 +18,7 @@ from millrace.functions.expressions import Scope, keeps, predicate
 from millrace.operators import aggregate as agg
 from millrace.operators import parsers, patterns, quality, records
 
-#: Lines that show which time layouts a task has.
+#: Lines that show which time layout most lines of a task have.
 LAYOUT_SAMPLE = 200
 
 
@@ -66,6 +66,16 @@ class LogTask:
     def detailed(self) -> bool:
         return bool((self.group.get("details") or {}).get("enabled"))
 
+    @property
+    def max_keys(self) -> int:
+        return self.group.get("maxKeySize") or 0
+
+    @property
+    def samples(self) -> dict:
+        """Configuration of the log samples, empty if there are to be none."""
+        wanted = (self.conf.get("select") or {}).get("logSamples") or {}
+        return wanted if wanted.get("enabled") else {}
+
     def records(self, lines: DataFrame) -> DataFrame:
         """Lines (path, block, ord, line) as records."""
         multi = self.log.get("multiline") or {}
@@ -90,7 +100,7 @@ class LogTask:
         return df, ready
 
     def seen(self, rows: DataFrame) -> timestamps.Seen | None:
-        """The time layouts of a task, from its first LAYOUT_SAMPLE lines; None where nothing needs detecting or rows are a stream."""
+        """The time layouts to try first, from LAYOUT_SAMPLE lines; None where nothing needs detecting or rows are a stream. A line that has none of them is read in any layout."""
         conf = self.log.get("time") or {}
         if (conf.get("type") or "auto") != "auto" or rows.isStreaming:
             return None
@@ -128,11 +138,9 @@ class LogTask:
             return patterns.analyse(df, self.group.get("logAnalysis") or {}, scope)
         if self.detailed:
             return self.details(df, scope)
-        df = agg.first_keys(df, self.keys, self.group.get("maxKeySize") or 0)
-        result = agg.aggregate(df, self.values, self.keys, scope)
-        wanted = (self.conf.get("select") or {}).get("logSamples") or {}
-        if wanted.get("enabled"):
-            extra = agg.samples(df, wanted, self.keys, scope)
+        result = agg.aggregate(df, self.values, self.keys, scope, most_keys=self.max_keys)
+        if self.samples:
+            extra = agg.samples(df, self.samples, self.keys, scope)
             result = result.join(extra, ["window_start", *self.keys], "left")
         return result
 
@@ -177,8 +185,9 @@ class LogTask:
         reached = quality.stage_of(tests)
         last = F.when((reached == "processed") & ~selected, "select").otherwise(reached)
         timed = F.when(F.col("reached").isin("broken", "ignored", "pre_where", "parse"), None).otherwise(F.col("window_start"))
-        parsed = parsed.select("path", "ord", "line", *keys, "window_start", F.struct(reached.alias("reached"), last.alias("last")).alias("x")).select("path", "ord", "line", *keys, "window_start", "x.*")
-        limit = self.group.get("maxKeySize") or 0
+        place = [c for c in ("file_time", "path", "block", "ord") if c in parsed.columns]
+        parsed = parsed.select(*place, "line", *keys, "window_start", F.struct(reached.alias("reached"), last.alias("last")).alias("x")).select(*place, "line", *keys, "window_start", "x.*")
+        limit = self.max_keys
         stage = F.col("last")
         if limit > 0 and keys:
             by = ["window_start", *keys]

@@ -1,7 +1,8 @@
 """Lines of log files and of log-group tables as one record table.
 
 Every source returns path, block, ord (order within the block), line, path_tags and
-log_tags; (path, block, ord) is the order in which lines were written.
+log_tags; (path, block, ord) is the order in which lines were written. Files read as
+batches also give file_time, when they were last written, which orders lines of files.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def no_tags() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def _shaped(df: DataFrame, pattern: str | None = None, charset: str | None = None) -> DataFrame:
+def shaped(df: DataFrame, pattern: str | None = None, charset: str | None = None) -> DataFrame:
+    """Lines (path, block, ord, line) in the shape of a source, of the paths that match."""
     df = df.withColumn("line", F.regexp_replace(decoded(F.col("line"), charset), "\r$", ""))
     tags = path_tags(F.col("path"), pattern) if pattern else no_tags()
     df = df.filter(path_matches(F.col("path"), pattern)) if pattern else df
@@ -31,7 +33,7 @@ def _shaped(df: DataFrame, pattern: str | None = None, charset: str | None = Non
 
 def _lines(reader, paths, pattern: str | None = None, charset: str | None = None) -> DataFrame:
     path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    return _shaped(reader.option("lineSep", "\n").text(paths).select(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")), pattern, charset)
+    return shaped(reader.option("lineSep", "\n").text(paths).select(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("file_time")), pattern, charset)
 
 
 def read_log_lines(spark: SparkSession, paths: list[str], charset: str | None = None) -> DataFrame:
@@ -59,10 +61,10 @@ def stream_log_lines(spark: SparkSession, path: str, ordered: bool = False, char
     """
     at = F.col("_metadata.file_path").alias("path")
     if not ordered:
-        return _shaped(spark.readStream.option("lineSep", "\n").text(path).select(at, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"), F.col("value").alias("line")), charset=charset)
-    whole = spark.readStream.option("wholetext", "true").text(path)
+        return shaped(spark.readStream.option("lineSep", "\n").text(path).select(at, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"), F.col("value").alias("line")), charset=charset)
+    whole = spark.readStream.text(path, wholetext=True)
     lines = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)).alias("ord", "line")
-    return _shaped(whole.select(at, F.lit(0).cast("long").alias("block"), lines).withColumn("ord", F.col("ord").cast("long")), charset=charset)
+    return shaped(whole.select(at, F.lit(0).cast("long").alias("block"), lines).withColumn("ord", F.col("ord").cast("long")), charset=charset)
 
 
 def decoded(line: Column, charset: str | None) -> Column:

@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from millrace.plans.task import LogTask
+from millrace.streaming import windows
 
 #: How far event times may be out of order.
 OUT_OF_ORDER = "1 second"
 
 
-def run_stream(task: LogTask, lines: DataFrame, delay: str = OUT_OF_ORDER, first_window=None) -> DataFrame:
-    """Aggregates of a stream of lines, for append mode: a window is emitted once the watermark passes it, later rows are dropped.
+def run_stream(task: LogTask, lines: DataFrame, delay: str = OUT_OF_ORDER, first_window=None, idle: str | None = None) -> DataFrame:
+    """Results of a stream of lines, for append mode: a window is emitted once the watermark passes it, later rows are dropped.
 
-    first_window: windows that start earlier, which the stream did not see whole, are left out.
+    Key caps, samples and log analysis are ranked over whole windows, which are held as
+    state (needs the RocksDB state store). first_window: windows that start earlier, which
+    the stream did not see whole, are left out. idle: an interval; while no data comes, the
+    watermark is the clock's time less this, so the last windows close.
     """
-    if task.analysing or task.group.get("maxKeySize") or ((task.conf.get("select") or {}).get("logSamples") or {}).get("enabled"):
-        raise ValueError("log analysis, key caps and samples rank the rows of whole windows: use each_batch")
-    front = task.front(task.records(lines))
     if task.detailed:
-        return task.back(front)
-    marked = front.withWatermark("ts", delay).drop("window_start").withColumn("window_start", F.window("ts", f"{task.interval_ms} milliseconds"))
-    result = task.back(marked).withColumn("window_start", F.col("window_start")["start"])
+        return task.back(task.front(task.records(lines)))
+    if task.analysing or task.max_keys or task.samples:
+        result = windows.results(task, windows.held_windows(task, lines, delay, idle))
+    else:
+        front = windows.marked(task.front(task.records(lines)), delay, idle)
+        front = front.drop("window_start").withColumn("window_start", F.window("ts", f"{task.interval_ms} milliseconds"))
+        result = task.back(front).withColumn("window_start", F.col("window_start")["start"])
     return result.filter(F.col("window_start") >= first_window) if first_window is not None else result
 
 
-def each_batch(task: LogTask, lines: DataFrame, write: Callable[[DataFrame, int], None]):
-    """A stream writer that runs the whole task over each micro-batch and hands result and batch number to write.
+class LateRows(StreamingQueryListener):
+    """Counts, by query name, the rows that Spark dropped because they came after their window was closed.
 
-    For what ranks the rows of a window: log analysis, key caps and samples. A batch
-    counts as closed windows, as with files that each hold whole windows, or the trigger
-    availableNow over what has come in since the last run. write should replace what it
-    has written of the same batch, since a batch may come again.
+    Add it with spark.streams.addListener before the query starts; it adds up every
+    micro-batch. Counts by window are in windows.late().
     """
-    return lines.writeStream.foreachBatch(lambda batch, number: write(task.run(batch), number))
 
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name or str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        name = event.progress.name or str(event.progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def late_rows(query) -> int:
-    """Rows of a streaming query that came after their window was closed, over its recent progress."""
-    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
+    def onQueryTerminated(self, event) -> None:
+        pass

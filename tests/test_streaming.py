@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.task import LogTask
-from millrace.sources import logs
+from millrace.sources import growing, logs
 from millrace.streaming import multiline, sinks, tasks
 
 COST = {"type": "leftRight", "leftRight": {"left": "cost=", "right": " "}}
@@ -57,10 +57,55 @@ def test_sinks(spark, tmp_path):
     metrics = rows.select(F.lit("cost").alias("name"), F.create_map(F.lit("level"), "level").alias("tags"), "ts", F.col("total").alias("value"))
     both = sinks.fan_out([sinks.metric_table(str(tmp_path / "m")), sinks.detail_table(str(tmp_path / "d"))])
     sinks.start(metrics, both, str(tmp_path / "c")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "m")).count() == spark.read.parquet(str(tmp_path / "d")).count() == 20
-    # The same batch again replaces itself.
-    sinks.metric_table(str(tmp_path / "m"))(spark.read.parquet(str(tmp_path / "m")).select("name", "tags", "ts", "value").limit(0), 1)
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 20
+    m, d = str(tmp_path / "m"), str(tmp_path / "d")
+    days = lambda: sorted((str(r["date"]), r["count"]) for r in sinks.read_table(spark, m).groupBy("date").count().collect())
+    assert days() == [("2024-01-01", 20)] and sinks.read_table(spark, d).count() == 20
+    # The same batch again replaces all it wrote: with other dates, fewer rows, and none.
+    again = sinks.read_table(spark, m).select("name", "tags", "ts", "value").persist()
+    first = again.orderBy("value").limit(3)
+    sinks.metric_table(m)(again.union(first.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))), 0)
+    assert days() == [("2024-01-01", 20), ("2024-01-02", 3)]
+    sinks.metric_table(m)(first, 0)
+    assert days() == [("2024-01-01", 3)]
+    # Another batch and another task are beside it.
+    sinks.metric_table(m)(first, 1)
+    sinks.metric_table(m, task="other")(first, 0)
+    assert days() == [("2024-01-01", 9)]
+    for batch in (0, 1):
+        sinks.metric_table(m)(first.limit(0), batch)
+    assert days() == [("2024-01-01", 3)]
+    sinks.detail_table(d)(first.limit(0), 0)
+    assert sinks.read_table(spark, d).count() == 0
+    assert len(list((tmp_path / "m" / "content").iterdir())) == 3
+
+
+def test_growing_files(spark, tmp_path):
+    folder = tmp_path / "grow"
+    folder.mkdir()
+    a, b = folder / "a.log", folder / "b.log"
+    got = lambda: sorted((r["path"].rsplit("/", 1)[1], r["ord"], r["line"]) for r in spark.read.parquet(str(tmp_path / "grown")).collect())
+    want = []
+
+    def step(text, path=a, mode="a", names=None):
+        """Appends text, runs what has come and compares with the lines that are whole."""
+        with open(path, mode) as f:
+            f.write(text)
+        lines = growing.stream_growing_lines(spark, f"{folder}/*.log", split_bytes=16)
+        query = lines.writeStream.foreachBatch(lambda df, n: df.select("path", "ord", "line").write.mode("append").parquet(str(tmp_path / "grown"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        want.extend(names or [])
+        assert got() == sorted(want)
+
+    step("one\ntwo\nthr", names=[("a.log", 0, "one"), ("a.log", 4, "two")])
+    step("ee\n", names=[("a.log", 8, "three")])
+    step("", names=[])
+    step("a line longer than two splits of a file are\nshort\n\n", b, names=[("b.log", 0, "a line longer than two splits of a file are"), ("b.log", 44, "short"), ("b.log", 50, "")])
+    # Renamed files are not read again, the new file of the name is.
+    a.rename(folder / "a.1.log")
+    step("fresh\n", names=[("a.log", 0, "fresh")])
+    # One that is cut short is read from its start.
+    step("cut\n", b, "w", names=[("b.log", 0, "cut")])
 
 
 @pytest.mark.parametrize(("what", "want"), [("previous", [["H1", "a", "b"], ["H2", "c"], ["H3"]]), ("next", [["H1"], ["a", "b", "H2"], ["c", "H3"]])])
