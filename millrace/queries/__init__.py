@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.queries import dimensions, logs, metrics, scalars, snapshots
+from millrace.queries import dimensions, logs, metrics, scalars, snapshots, streams
 
-_MODULES = (scalars, logs, metrics, snapshots, dimensions)
+_MODULES = (scalars, logs, metrics, snapshots, dimensions, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 
