@@ -136,8 +136,9 @@ def relabel(labels: Column, rules: list[dict]) -> tuple[Column, Column]:
             replaced = F.when(made == "", others).otherwise(F.map_concat(others, F.create_map(F.lit(rule["targetLabel"]), made)))
             labels = F.when(source.rlike(whole), replaced).otherwise(labels)
         elif action == "labelmap":
-            matched = F.map_filter(labels, _key_fits(whole, True))
-            renamed = F.transform_keys(matched, _key_renamed(whole, rule.get("replacement", "$1"), len(names)))
+            # In the order of their names; of labels that get one name the last one stays.
+            matched = F.array_sort(F.map_entries(F.map_filter(labels, _key_fits(whole, True))))
+            renamed = last_of_each(F.transform(matched, _entry_renamed(whole, rule.get("replacement", "$1"), len(names))))
             labels = F.map_concat(F.map_filter(labels, _key_missing(renamed)), renamed)
         elif action in ("labeldrop", "labelkeep"):
             labels = F.map_filter(labels, _key_fits(whole, action == "labelkeep"))
@@ -158,8 +159,14 @@ def _key_missing(other: Column):
     return lambda k, v: ~F.map_contains_key(other, k)
 
 
-def _key_renamed(pattern: str, template: str, count: int):
-    return lambda k, v: _replacement(k, pattern, template, count)
+def _entry_renamed(pattern: str, template: str, count: int):
+    return lambda e: F.struct(_replacement(e["key"], pattern, template, count).alias("key"), e["value"].alias("value"))
+
+
+def last_of_each(entries: Column) -> Column:
+    """map of array<struct<key, value>>; a key that is repeated has its last value."""
+    after = lambda i: F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(0)))
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(after(i), lambda x: x["key"] == e["key"])))
 
 
 def _replacement(source: Column, pattern: str, template: str, count: int) -> Column:
@@ -171,13 +178,19 @@ _SAMPLE = r"^([A-Za-z_:][\w:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
 
 
 def exposition(line: Column) -> Column:
-    """struct<name, tags, value> of a line of exposition text; NULL for comments, other lines and NaN."""
+    """struct<name, tags, value> of a line of exposition text; NULL for comments, other lines and NaN. A repeated label has its last value; escapes in values are undone."""
     pairs = F.regexp_extract_all(F.regexp_extract(line, _SAMPLE, 2), F.lit(r'([A-Za-z_]\w*)="((?:[^"\\]|\\.)*)"'), F.lit(0))
-    tags = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.regexp_extract(p, '^[^=]*="(.*)"$', 1))))
+    tags = last_of_each(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), _unescaped(F.regexp_extract(p, '^[^=]*="(.*)"$', 1)).alias("value"))))
     value = F.regexp_extract(line, _SAMPLE, 3).try_cast("double")
     return F.when(line.rlike(_SAMPLE) & value.isNotNull() & ~F.isnan(value), F.struct(F.regexp_extract(line, _SAMPLE, 1).alias("name"), tags.alias("tags"), value.alias("value")))
 
 
+def _unescaped(value: Column) -> Column:
+    # Between escaped backslashes, so that none of them is read as the start of another escape.
+    parts = F.split(value, r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def datapoints(df: DataFrame, text: str = "datapoints") -> DataFrame:
     """JSON arrays of objects as metrics: timestamp is the time, strings are tags, numbers are values with lower-case names."""
     points = df.select(*[c for c in df.columns if c != text], F.explode(F.from_json(text, "array<map<string,variant>>")).alias("point"))

@@ -134,11 +134,21 @@ def jvm_deltas(df: DataFrame, entity: list[str]) -> DataFrame:
 
 
 def heap_bytes(option: Column) -> Column:
-    """Bytes of a size such as 512m or 4G."""
+    """Bytes of a size such as 512m or 4G. A number without a unit is bytes, as a JVM reads it; anything else is null."""
     number, unit = F.regexp_extract(option, r"^(\d+)([kKmMgG]?)$", 1).try_cast("bigint"), F.lower(F.regexp_extract(option, r"^(\d+)([kKmMgG]?)$", 2))
     return number * F.when(unit == "k", 1 << 10).when(unit == "m", 1 << 20).when(unit == "g", 1 << 30).otherwise(1)
 
 
+def command_sizes(command: Column) -> Column:
+    """struct<meta_max, reserved_code_cache_size>: bytes of the options in a command line (array<string>), the last of each; 0 if it has none that can be read."""
+
+    def size(option: str) -> Column:
+        found = F.filter(command, lambda x: x.startswith(option))
+        return F.coalesce(heap_bytes(F.substring(F.try_element_at(found, F.lit(-1)), len(option) + 1, 64)), F.lit(0))
+
+    return F.struct(size("-XX:MaxMetaspaceSize=").alias("meta_max"), size("-XX:ReservedCodeCacheSize=").alias("reserved_code_cache_size"))
+
+
 def container_usage(df: DataFrame, machines: DataFrame, entity: list[str]) -> DataFrame:
     """CPU use of a limit in percent (100 at most) and memory less cache, for rows of (machine, entity, ts, cpu_ns, user_ns, system_ns, quota, period, mem_usage, mem_cache, mem_limit).
 
@@ -193,6 +203,18 @@ def gpu_value(cell: Column) -> Column:
     return number * F.when(unit == "KiB", 2.0**10).when(unit == "MiB", 2.0**20).when(unit == "GiB", 2.0**30).when(unit == "TiB", 2.0**40).when(unit == "%", 0.01).otherwise(1.0)
 
 
+def gpu_metrics(df: DataFrame, entity: list[str], names: list[str], line: str = "line") -> DataFrame:
+    """(entity, name, index, value) of the rows that a GPU query prints, an index and a cell for each of names; and system_gpu_count of each entity, without an index.
+
+    Cells that hold no number give nothing; a row counts whatever its cells hold.
+    """
+    cells = df.select(*entity, F.split(line, r"\s*,\s*", -1).alias("cells"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), gpu_value(F.get("cells", F.lit(i))).alias("value")) for i, n in enumerate(names, 1)]))
+    values = cells.select(*entity, F.trim(F.get("cells", F.lit(0))).alias("index"), each.alias("m")).select(*entity, "m.name", "index", "m.value").filter("value is not null")
+    counts = cells.groupBy(*entity).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return values.unionByName(counts.select(*entity, F.lit("system_gpu_count").alias("name"), F.lit(None).cast("string").alias("index"), "value"))
+
+
 def probe_rollup(df: DataFrame, by: list[str]) -> DataFrame:
     """Attempts (up, cost_ms) by target: up if any was, down, and the mean cost in whole milliseconds."""
     up = F.max(F.col("up").cast("int"))

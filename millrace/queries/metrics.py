@@ -133,6 +133,22 @@ def M14_relabel(spark, sf_dir):
     return shaped.select("c_custkey", F.col("l")["code"].alias("code"), F.col("l")["segment"].alias("segment"), F.col("l")["x_nation"].alias("x_nation"))
 
 
+@query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS kept, map_size FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'none' END AS c_mktsegment, 1 AS map_size FROM customer)")
+def M14_labelmap_onto_one_name(spark, sf_dir):
+    # Two labels get one name: the last by name stays.
+    labels = F.create_map(F.lit("x_a"), F.lit("none"), F.lit("x_b"), F.when((F.col("c_custkey") % 2 == 0) & (F.col("c_mktsegment") != "BUILDING"), F.col("c_mktsegment")).otherwise("none"))
+    mapped, _ = m.relabel(labels, [{"action": "labelmap", "regex": "x_.", "replacement": "kept"}, {"action": "labelkeep", "regex": "kept"}])
+    return table(spark, sf_dir, "customer").select("c_custkey", mapped.alias("l")).select("c_custkey", F.col("l")["kept"].alias("kept"), F.size("l").alias("map_size"))
+
+
+@query("SELECT event_id, event_type AS last, 'a' || chr(92) || 'n' || chr(10) || '\"' || user_id AS text FROM events")
+def M15_repeated_and_escaped(spark, sf_dir):
+    # A label that is repeated has its last value; escaped backslash, line end and quote.
+    line = F.concat(F.lit('m{x="first",t="a\\\\n\\n\\"'), F.col("user_id"), F.lit('",x="'), F.col("event_type"), F.lit('"} 3'))
+    found = table(spark, sf_dir, "events").select("event_id", m.exposition(line).alias("s"))
+    return found.select("event_id", F.col("s.tags")["x"].alias("last"), F.col("s.tags")["t"].alias("text"))
+
+
 @query("SELECT event_id, event_type || '_cost' AS name, CAST(user_id AS VARCHAR) AS \"user\", CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events WHERE event_id % 4 <> 0 AND event_id % 5 <> 0")
 def M15_exposition(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -186,6 +186,29 @@ def H16_probe_rollup(spark, sf_dir):
     return s.probe_rollup(e.select("user_id", s.http_up(status, F.col("props"), [200, 204], "7").alias("up"), F.col("event_id").alias("cost_ms")), ["user_id"])
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS BIGINT) * 1048576 ELSE 0 END AS meta_max, CASE p_partkey % 3 WHEN 1 THEN 0 ELSE CAST(p_size AS BIGINT) * 1024 END AS code FROM part")
+def H8_command_sizes(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    meta = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-XX:MaxMetaspaceSize="), size, F.lit("m"))).when(F.col("p_partkey") % 3 == 1, "-XX:MaxMetaspaceSize=all").otherwise("-Xmx1g")
+    code = F.when(F.col("p_partkey") % 3 == 1, "-server").otherwise(F.concat(F.lit("-XX:ReservedCodeCacheSize="), size, F.lit("k")))
+    # Of an option given twice the last one counts.
+    command = F.array(F.lit("java"), F.when(F.col("p_partkey") % 3 == 0, "-XX:MaxMetaspaceSize=1g").otherwise("-Xss1m"), meta, code)
+    found = table(spark, sf_dir, "part").select("p_partkey", s.command_sizes(command).alias("x"))
+    return found.select("p_partkey", F.col("x.meta_max").alias("meta_max"), F.col("x.reserved_code_cache_size").alias("code"))
+
+
+@query("""WITH gpus AS (SELECT user_id AS host, event_id % 4 AS gpu, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS v, event_id FROM events)
+    SELECT host, name, index, round(value, 4) AS value, count(*) AS n FROM (
+        SELECT host, 'gpu_power' AS name, CAST(gpu AS VARCHAR) AS index, v AS value FROM gpus UNION ALL SELECT host, 'gpu_memory', CAST(gpu AS VARCHAR), v * 1048576 FROM gpus WHERE event_id % 3 <> 0
+        UNION ALL SELECT host, 'system_gpu_count', NULL, count(*) FROM gpus GROUP BY host) GROUP BY ALL""")
+def H15_gpu_metrics(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    number = F.col("value").cast("decimal(18,2)").cast("string")
+    line = F.concat((F.col("event_id") % 4).cast("string"), F.lit(", "), number, F.lit(" W, "), F.when(F.col("event_id") % 3 == 0, "[N/A]").otherwise(F.concat(number, F.lit(" MiB"))))
+    rows = s.gpu_metrics(e.select(F.col("user_id").alias("host"), line.alias("line")), ["host"], ["gpu_power", "gpu_memory"])
+    return rows.withColumn("value", F.round("value", 4)).groupBy("host", "name", "index", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {CHANGES}, m AS (SELECT host, ts, 'COUNT' AS statistic, CAST(click AS DOUBLE) AS value FROM c WHERE d_ms IS NOT NULL UNION ALL SELECT host, ts, 'MAX', CAST(view AS DOUBLE) FROM c)
     SELECT host, ts, statistic, value FROM m""")
 def H17_actuator(spark, sf_dir):
