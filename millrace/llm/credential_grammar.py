@@ -42,8 +42,8 @@ ASSIGN_CHARS = 8
 #: Every whole run of the symbols of an assigned value, from its least length on.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_CHARS)
 LEARNED = tuple(f"{k}_format" for k in KINDS)
-#: Bounds on what the driver learns from: credentials of a kind, and plain tokens; symbols of one, longer ones teach nothing.
-SAMPLE, SYMBOLS = 300, 128
+#: Bounds on what the driver learns from: credentials of a kind, and plain tokens; symbols of all of them, which bound the states.
+SAMPLE, SYMBOLS = 300, 1 << 17
 #: Distinct tokens whose kinds a task remembers, and their longest.
 REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 SALTS = 16
@@ -243,10 +243,20 @@ class Formats:
         return max(scores)[1]
 
 
+def bounded(sample: list[str]) -> list[str]:
+    """The strings, of any length, that SYMBOLS symbols hold, taken in order; one that no longer fits makes room for the next."""
+    out, left = [], SYMBOLS
+    for text in sample:
+        if len(text) <= left:
+            out.append(text)
+            left -= len(text)
+    return out
+
+
 def learn(samples: dict[str, list[str]]) -> Formats:
     of_kind = []
     for k, kind in enumerate(KINDS):
-        sample = [t for t in samples.get(kind, ()) if len(t) <= SYMBOLS]
+        sample = bounded(samples.get(kind, []))
         if len(sample) >= FOLDS:
             held_out = []
             for i, j in pairwise(len(sample) * f // FOLDS for f in range(FOLDS + 1)):
@@ -256,7 +266,7 @@ def learn(samples: dict[str, list[str]]) -> Formats:
             scores = sorted(x for x in held_out if x > -math.inf)
             if scores:
                 of_kind.append((k, Automaton(sample), scores[int(QUANTILE * len(scores))] - 1e-9))
-    plain = [t for t in samples.get("plain", ()) if len(t) <= SYMBOLS]
+    plain = bounded(samples.get("plain", []))
     return Formats(of_kind, Automaton(plain) if plain else None)
 
 

@@ -51,6 +51,22 @@ def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], stops[:-1]]), stops
 
 
+def in_order(given: list[dict | None], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, start, end) of the sections given for a text of so many characters, in order and without overlap.
+
+    A section that is null or has a null start or end is none. The others are cut to the
+    text, ordered by start and end, and begin where the ones before them end; what is
+    left of one may be empty. number: its place among those given.
+    """
+    known = sorted((max(0, s["start"]), s["end"], k) for k, s in enumerate(given) if s is not None and s["start"] is not None and s["end"] is not None)
+    out, upto = [], 0
+    for start, end, k in known:
+        start = min(max(start, upto), length)
+        upto = max(start, min(end, length))
+        out.append((k, start, upto))
+    return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
+
+
 def reached(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first and the last section that each token has a part in; none: the first is after the last."""
     return np.searchsorted(end, token_start, "right"), np.searchsorted(start, token_end, "left") - 1
@@ -86,9 +102,10 @@ def allocate(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray,
 def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: str | None = None, rules: Sequence[str] = ("largest",)) -> DataFrame:
     """doc_id, section, start, end, n_crossing and n_tokens_<rule> for each rule: one row for each section of each row's text.
 
-    sections: the name of a column array<struct<start, end>> in characters, in order and
-    without overlap, or None for lines, each with its line end. A section past the end
-    of the text is cut there. rules: where a token goes that reaches over a border, see
+    sections: the name of a column array<struct<start, end>> in characters, or None for
+    lines, each with its line end. Sections are put in order: null ones and ones with a
+    null start or end are left out, others are cut to the text and to what no earlier one
+    has, see in_order; section is the place in the array. rules: where a token goes that reaches over a border, see
     allocate. Tokens outside all sections are in a row with section null. n_crossing:
     tokens that reach into the section and out of it. Counts of a row by one rule add
     up to the tokens of its whole text. A null or empty text has no sections and no
@@ -106,17 +123,23 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: str
 
     def counts(encoder: OffsetEncoder, text: str, own: list | None) -> list[np.ndarray]:
         """Columns from section on of one text; section -1 is none."""
-        start, end = lines(text) if own is None else (np.array([min(s[c], len(text)) for s in own], np.int64) for c in ("start", "end"))
+        if own is None:
+            start, end = lines(text)
+            number = np.arange(len(start))
+        else:
+            number, start, end = in_order(own, len(text))
+        # Row 0 is for tokens in no section; empty sections have none.
+        row = np.concatenate([[0], np.nonzero(start < end)[0] + 1])
         token_start, token_end = encoder.spans(text)
-        owners = [allocate(token_start, token_end, start, end, rule) for rule in rules]
-        by_rule = [np.bincount(owner + 1, minlength=len(start) + 1) for owner in owners]
+        full = start[row[1:] - 1], end[row[1:] - 1]
+        by_rule = [np.bincount(row[allocate(token_start, token_end, *full, rule) + 1], minlength=len(start) + 1) for rule in rules]
         over = np.zeros(len(start) + 1, np.int64)
-        first, last = reached(token_start, token_end, start, end)
+        first, last = reached(token_start, token_end, *full)
         # A token that stands partly in sections crosses into each that it reaches.
-        for k in np.nonzero(first <= last)[0][cut_off(token_start, token_end, start, end, first, last)]:
-            over[first[k] + 1 : last[k] + 2] += 1
+        for k in np.nonzero(first <= last)[0][cut_off(token_start, token_end, *full, first, last)]:
+            over[row[first[k] + 1 : last[k] + 2]] += 1
         at = np.arange(0 if by_rule[0][0] else 1, len(start) + 1)
-        return [at - 1, np.concatenate([[0], start])[at], np.concatenate([[0], end])[at], over[at], *(n[at] for n in by_rule)]
+        return [np.concatenate([[-1], number])[at], np.concatenate([[0], start])[at], np.concatenate([[0], end])[at], over[at], *(n[at] for n in by_rule)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = OffsetEncoder(encoder(ranks.value, pattern, key))

@@ -102,6 +102,27 @@ def test_crossing_is_counted_where_it_reaches(spark, encoding):
     assert [tuple(r)[1:] for r in found] == [(0, 0, 2, 1, 1, 0, 0), (1, 2, 3, 1, 0, 0, 0), (2, 4, 9, 1, 1, 2, 2)]
 
 
+def test_sections_in_any_state(spark, encoding):
+    """Null, negative, reversed, overlapping, empty and unordered sections, and ones past the end."""
+    text = "one two three four five six"
+    given = [None, (20, 400), (None, 3), (-5, 7), (4, 13), (9, None), (13, 13), (30, 40), (18, 15), (0, 2)]
+    rows = [(1, text, given), (2, text, None), (3, text, []), (4, "", given), (5, None, given)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    assert (list(map(list, token_attribution.in_order([{"start": a, "end": b} for a, b in (x or (None, None) for x in given)], len(text))))) == [[9, 3, 4, 6, 8, 1, 7], [0, 2, 7, 13, 18, 20, 27], [2, 7, 13, 13, 18, 27, 27]]
+    found = token_attribution.section_tokens(df, RANKS_PATH, public_tokenizers.PATTERN, "parts", ("first", "last")).collect()
+    n = len(encoding.encode_ordinary(text))
+    for doc in (1, 2, 3):
+        own = [r for r in found if r["doc_id"] == doc]
+        assert sum(r["n_tokens_first"] for r in own) == sum(r["n_tokens_last"] for r in own) == n
+    assert {r["section"] for r in found if r["doc_id"] == 2} == {None}
+    of_one = {r["section"]: tuple(r)[2:] for r in found if r["doc_id"] == 1}
+    # " four" starts outside, " two" and " three" are in section 4, "one" crosses from 9 to 3.
+    assert set(of_one) == {None, 9, 3, 4, 6, 8, 1, 7}
+    assert of_one[9][2:] == (1, 1, 0) and of_one[3][2:] == (1, 1, 2) and of_one[4][3:] == (1, 1)
+    assert all(of_one[k][2:] == (0, 0, 0) for k in (6, 8, 7))
+    assert not [r for r in found if r["doc_id"] > 3]
+
+
 LONG = {
     "blanks": " " * 1_000_000,
     "blanks and a word": " " * 300_000 + "x" + " " * 300_001 + "end",
@@ -186,6 +207,18 @@ def test_base_law_over_a_table(spark, sf_dir, docs, odd):
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
+def test_long_credentials_teach_their_format():
+    rng = random.Random(8)
+    long = lambda n=180: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    formats = credential_grammar.learn({"hex": [long() for _ in range(300)], "plain": ["andering", "restatement", "under_the_mill", "thth.ere"] * 10})
+    found = [formats.classify(long()) == 2 for _ in range(60)] + [formats.classify(long().upper()) == 2 for _ in range(20)]
+    assert sum(found) > 0.95 * len(found)
+    assert formats.classify("x" * 180) is None and formats.classify(long()[:-1] + "zz") is None
+    # One that is larger than all that may be held makes room for the others.
+    some = [long(40) for _ in range(9)]
+    assert credential_grammar.bounded(["a" * (1 << 18), *some]) == some
+
+
 def test_planted_formats():
     """Precision and recall on credentials of the learned formats among tokens that look a little like them."""
     rng = random.Random(1)
