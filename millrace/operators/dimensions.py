@@ -45,12 +45,16 @@ def full_sync(resources: DataFrame) -> DataFrame:
     return resources.filter(~F.coalesce(gone, F.lit(False)))
 
 
+def gone() -> Column:
+    """True for the event of a resource that was deleted or has finished."""
+    return (F.col("event") == "delete") | F.col("phase").isin("Succeeded", "Failed")
+
+
 def delta_events(events: DataFrame, interval: str = "3 seconds", key: tuple[str, ...] = ("namespace", "name")) -> DataFrame:
     """The last event of each resource and interval, with action del for deleted or finished ones and add for others."""
     start = F.window("ts", interval)["start"]
     last = events.withColumn("batch", start).groupBy("batch", *key).agg(F.max_by(F.struct(*events.columns), F.struct("ts", "seq")).alias("e"))
-    gone = (F.col("event") == "delete") | F.col("phase").isin("Succeeded", "Failed")
-    return last.select("batch", "e.*").withColumn("action", F.when(F.coalesce(gone, F.lit(False)), "del").otherwise("add"))
+    return last.select("batch", "e.*").withColumn("action", F.when(F.coalesce(gone(), F.lit(False)), "del").otherwise("add"))
 
 
 def apply_delta(snapshot: DataFrame, delta: DataFrame, key: tuple[str, ...] = ("namespace", "name")) -> DataFrame:

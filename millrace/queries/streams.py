@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import dimensions
 from millrace.plans.task import LogTask
 from millrace.queries.logs import _PATTERNS, ALL, BY_LEVEL, DAY, _task, _value
+from millrace.queries.metrics import DAILY, daily
 from millrace.queries.scalars import USER
-from millrace.queries.tables import LINES, event_lines
+from millrace.queries.tables import LINES, event_lines, table
 from millrace.sources import growing, logs, paths
-from millrace.streaming import sinks, tasks
+from millrace.streaming import series, sinks, tasks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,3 +141,24 @@ def O1_O4_metric_and_detail_tables(spark, sf_dir):
     sinks.start(metrics, twice, f"{where}/state").awaitTermination()
     stored = sinks.read_table(spark, f"{where}/metrics").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return stored.join(sinks.read_table(spark, f"{where}/details").groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n")), ["date", "n"]).withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"WITH {DAILY} SELECT now.name, now.team, CAST(epoch_ms(now.ts) AS BIGINT) AS ts, greatest(now.value - old.value, 0) AS value FROM daily AS now JOIN daily AS old ON now.name = old.name AND now.team = old.team AND old.ts = now.ts - INTERVAL 1 DAY")
+def T1_M3_stream_delta(spark, sf_dir):
+    where = folder(spark)
+    samples = daily(spark, sf_dir)
+    samples.write.parquet(where)
+    stream = spark.readStream.schema(samples.schema).parquet(where)
+    return ran(series.stream_delta(stream, 86_400_000).select("name", F.col("tags")["team"].alias("team"), F.unix_millis("ts").alias("ts"), "value"))
+
+
+@query("""WITH last AS (SELECT CAST(user_id AS VARCHAR) AS name, max_by(event_id, (ts, event_id)) AS seq FROM events GROUP BY user_id)
+    SELECT name, seq, value FROM last JOIN events ON event_id = seq WHERE event_type NOT IN ('error', 'view')""")
+def N6_stream_snapshot(spark, sf_dir):
+    where = folder(spark)
+    e = table(spark, sf_dir, "events")
+    events = e.select(F.col("user_id").cast("string").alias("name"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("event"), F.when(F.col("event_type") == "view", "Failed").otherwise("Running").alias("phase"), "value")
+    events.repartition(4, "seq").write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")
+    sinks.start(stream, sinks.snapshot_table(f"{where}/out", ["name"], ["ts", "seq"], 8), f"{where}/state").awaitTermination()
+    return sinks.read_snapshot(spark, f"{where}/out", dimensions.gone()).select("name", "seq", "value")

@@ -119,3 +119,50 @@ def start(df: DataFrame, writer: Writer, checkpoint: str, mode: str = "append",
     """Runs a stream into a writer."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(writer)
     return query.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def snapshot_table(path: str, key: Sequence[str], order: Sequence[str], buckets: int = 64) -> Writer:
+    """Keeps the last event of each key, by order, over all batches; read it with read_snapshot.
+
+    Rows are dealt over buckets by their key. A batch rewrites the buckets that it has
+    events for, and one commit record names the folder of each bucket, so readers see all
+    of a batch or none. Events of deletion stay as tombstones: a repeated batch or an event
+    that comes late changes nothing. The folders that a commit replaces go with the next one.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        files = _Files(spark, path)
+        now = files.records().get("snapshot", {"buckets": {}, "replaced": []})
+        events = df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = sorted(str(r["bucket"]) for r in events.select("bucket").distinct().collect())
+            if not touched:
+                return
+            old = [now["buckets"][b] for b in touched if b in now["buckets"]]
+            rows = events.unionByName(_buckets(spark, path, old, events.schema)) if old else events
+            newest = rows.groupBy("bucket", *key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")).select("bucket", "row.*")
+            folder = f"content/commit={batch:012d}-{uuid.uuid4().hex}"
+            newest.write.partitionBy("bucket").parquet(f"{path}/{folder}")
+        finally:
+            events.unpersist()
+        now["buckets"] |= {b: f"{folder}/bucket={b}" for b in touched}
+        files.replace("snapshot", json.dumps({"buckets": now["buckets"], "replaced": old, "schema": df.schema.json()}))
+        for part in now["replaced"]:
+            files.fs.delete(files.at(part), True)
+
+    return write
+
+
+def _buckets(spark: SparkSession, path: str, parts: list[str], schema: T.StructType) -> DataFrame:
+    whole = T.StructType([*[f for f in schema.fields if f.name != "bucket"], T.StructField("commit", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(whole).option("basePath", f"{path}/content").parquet(*[f"{path}/{p}" for p in parts]).drop("commit")
+
+
+def read_snapshot(spark: SparkSession, path: str, gone=None) -> DataFrame:
+    """The last event of each key, without those for which gone, a condition, holds."""
+    record = _Files(spark, path).records().get("snapshot")
+    if record is None:
+        raise FileNotFoundError(f"no batch of {path} was committed")
+    rows = _buckets(spark, path, sorted(record["buckets"].values()), T.StructType.fromJson(json.loads(record["schema"]))).drop("bucket")
+    return rows if gone is None else rows.filter(~F.coalesce(gone, F.lit(False)))
