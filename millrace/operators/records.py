@@ -21,16 +21,18 @@ def single_lines(lines: DataFrame) -> DataFrame:
 
 
 def positions(lines: DataFrame, flag: Column) -> DataFrame:
-    """lines with no (1, 2, ... within the path), flags (flagged lines up to this one) and last (no of the last flagged line so far, 0 if none)."""
-    here = Window.partitionBy("path", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = lines.withColumn("flag", flag).withColumn("no", F.row_number().over(Window.partitionBy("path", "block").orderBy("ord")))
+    """lines with no (1, 2, ... within the path), flags (flagged lines up to this one), and last and prior (no of the last flagged line up to and before this one, 0 if none)."""
+    block = Window.partitionBy("path", "block").orderBy("ord")
+    here = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = lines.withColumn("flag", flag).withColumn("no", F.row_number().over(block))
     local = local.withColumn("flags", F.sum(F.col("flag").cast("long")).over(here)).withColumn("last", F.max(F.when(F.col("flag"), F.col("no"))).over(here))
+    local = local.withColumn("prior", F.lag("last").over(block))
     ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = local.groupBy("path", "block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("flag").cast("long")).alias("in_block"), F.max("last").alias("last_in_block"))
     sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     sizes = sizes.select("path", "block", "base", F.coalesce(F.sum("in_block").over(ahead), F.lit(0)).alias("base_flags"), F.coalesce(F.max(F.col("base") + F.col("last_in_block")).over(ahead), F.lit(0)).alias("base_last"))
     joined = local.join(sizes, ["path", "block"])
-    exact = {"no": F.col("no") + F.col("base"), "flags": F.col("flags") + F.col("base_flags"), "last": F.coalesce(F.col("last") + F.col("base"), F.col("base_last"))}
+    exact = {"no": F.col("no") + F.col("base"), "flags": F.col("flags") + F.col("base_flags"), "last": F.coalesce(F.col("last") + F.col("base"), F.col("base_last")), "prior": F.coalesce(F.col("prior") + F.col("base"), F.col("base_last"))}
     return joined.withColumns(exact).drop("base", "base_flags", "base_last")
 
 
@@ -51,9 +53,7 @@ def multiline(lines: DataFrame, where: dict, what: str = "previous", max_lines:
     else:
         # A head closes its record, so the lines of a record count the heads before them.
         before = F.col("flags") - F.col("flag").cast("long")
-        placed = at.withColumn("record", before)
-        first = placed.groupBy("path", "record").agg(F.min("no").alias("first"))
-        placed = placed.join(first, ["path", "record"]).withColumn("chunk", F.floor((F.col("no") - F.col("first")) / cap))
+        placed = at.withColumn("record", before).withColumn("chunk", F.floor((F.col("no") - F.col("prior") - 1) / cap))
     kept = [c for c in ("path_tags", "log_tags", "file_time") if c in lines.columns]
     grouped = placed.groupBy("path", "record", "chunk").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("all"), *[F.first(c).alias(c) for c in kept])
     return grouped.select("path", F.col("all")[0]["no"].alias("ord"), F.col("all")[0]["line"].alias("line"), F.transform("all", lambda x: x["line"]).alias("lines"), *kept)
