@@ -131,3 +131,14 @@ def test_estimate_of_distinct_hashes():
         kept = windows.smallest(kept | set(hashes[k : k + 1000]))
     assert abs(windows.distinct(kept) / 50_000 - 1) < 0.07
     assert windows.distinct(set(hashes[:2000])) == 2000
+
+
+def test_mixed_time_layouts(spark, tmp_path):
+    """The layouts of a sample are tried first; a line of another one is read all the same, in batch as on streams."""
+    (tmp_path / "in").mkdir()
+    forms = ["2024-01-01 00:00:{:02d} user=a cost=1 end", "02/Jan/2024:00:00:{:02d} user=b cost=1 end", "17043264{:02d} user=c cost=1 end"]
+    rows = [f.format(k % 60) for f in forms for k in range(300)]
+    (tmp_path / "in" / "a.log").write_text("\n".join(rows) + "\n")
+    one = LogTask({"select": {"values": [{"as": "n", "agg": "count"}]}, "from": {"log": {"time": {"type": "auto"}}}, "groupBy": {"groups": [{"name": "user", "elect": USER}]}, "window": {"interval": "1h"}})
+    got = {r["user"]: r["value"] for r in one.run(logs.read_log_lines(spark, [str(tmp_path / "in")])).groupBy("user").agg(F.sum("value").alias("value")).collect()}
+    assert got == {"a": 300, "b": 300, "c": 300}
