@@ -13,9 +13,10 @@ where they start at anchors with the same K-gram, about one byte in 35:
    An interval whose members agree further to the left is not a maximal repeat by
    itself; the same scan over the reversed left sides finds how far it extends.
 
-Copies within a batch are settled there. An anchor that occurs more than HOT times in
-all, or LOCAL times in a batch, is not gathered anywhere: its strings are hashed one by one (128 bits) and each batch
-sends only its first of each.
+Copies within a batch are settled there. A K-gram with more than HOT occurrences is split: its strings are dealt by how far
+they reach to the left of it, in ranges of LEVELS places, and each part is known by all bytes that the strings of a range
+have in common. Two equal strings are in one part, so the same scan over each part finds all; a part that is still too
+large is split by the next, narrower range, down to parts of one string, of which the first place is a minimum.
 """
 
 from __future__ import annotations
@@ -30,15 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import durable, joined_back, texts
 
 LENGTH = 100
 K = 32
 WINDOW = LENGTH - K + 1
 SEGMENT = 1 << 20
-#: Occurrences of one K-gram that a batch sends one by one; a K-gram with more in one batch is hot.
-LOCAL = 4096
-HOT = 500_000
+#: Contexts that one scan takes; a K-gram or part with more is split by the next range of LEVELS.
+HOT = 100_000
+LEVELS = (23, 8, 1)
+#: Names of split parts that are broadcast; more of them are joined by a shuffle.
+FEW_PARTS = 1 << 20
 #: What a null doc_id is where places are ordered.
 NO_ID = -(1 << 63)
 #: Bytes of text for each bucket of K-grams and for each task of a shuffle.
@@ -117,7 +120,11 @@ def tasks_for(docs: DataFrame, total: int) -> int:
 
 
 def ask(homes: np.ndarray, raws: list[bytes], buckets: int) -> list[tuple]:
-    """Rows (bucket, settled, hash, count, home, anchor), each column's values in one binary."""
+    """Rows (bucket, settled, hash, count, home, anchor), each column's values in one binary.
+
+    A batch asks once for each K-gram. The other occurrences of one that it has twice are
+    known to repeat; they are settled, and carry neither hash nor count.
+    """
     found = [x[:3] for x in anchors(raws)]
     if not found:
         return []
@@ -125,36 +132,36 @@ def ask(homes: np.ndarray, raws: list[bytes], buckets: int) -> list[tuple]:
     order = np.argsort(h, kind="stable")
     h, doc, at = h[order], homes[text[order]], at[order]
     start = _same(h)
-    n = np.diff(np.append(start, len(h)))
-    rank = np.arange(len(h)) - np.repeat(start, n)
-    count = np.repeat(n, n)
-    few = count <= LOCAL
-    # Of a K-gram with more, one stands for all; the others know that they are hot.
-    settled = ~few & (rank > 0)
+    count = np.diff(np.append(start, len(h)))
+    settled = np.ones(len(h), bool)
+    settled[start] = False
     bucket = np.where(settled, pd.util.hash_array(doc), h % np.uint64(buckets)) % np.uint64(buckets)
-    count = np.where(few, 1, count)
+    count = np.repeat(count, count)
     order = np.lexsort((settled, bucket))
-    columns = [c[order] for c in (bucket.astype(np.int64), settled, h, count, doc, at)]
-    edge = np.append(_same(columns[0] * 2 + columns[1]), len(order))
-    return [(int(columns[0][a]), bool(columns[1][a]), *(c[a:b].astype(kind).tobytes() for c, kind in zip(columns[2:], (np.uint64, np.int64, np.int64, np.int64), strict=True))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    bucket, settled, h, count, doc, at = (c[order] for c in (bucket.astype(np.int64), settled, h, count, doc, at))
+    edge = np.append(_same(bucket * 2 + settled), len(order))
+    out = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        asks = (b"", b"") if settled[a] else (h[a:b].tobytes(), count[a:b].astype(np.int64).tobytes())
+        out.append((int(bucket[a]), bool(settled[a]), *asks, doc[a:b].astype(np.int64).tobytes(), at[a:b].astype(np.int64).tobytes()))
+    return out
 
 
 def answer(group: pd.DataFrame, hot: int) -> pd.DataFrame:
-    """(home, known): anchors whose K-gram occurs again, doubled, plus 1 where it occurs more than hot times."""
+    """(home, known, is_hot): anchors whose K-gram occurs again; and, is_hot, the K-grams that occur more than hot times."""
     out = []
     for settled, part in group.groupby("settled"):
         h, count, doc, at = (np.frombuffer(b"".join(part[c]), kind) for c, kind in (("hash", np.uint64), ("n", np.int64), ("homes", np.int64), ("at", np.int64)))
         if settled:
-            out.append((doc, 2 * at + 1))
+            out.append(pd.DataFrame({"home": doc, "known": at, "is_hot": False}))
             continue
         order = np.argsort(h, kind="stable")
         start = _same(h[order])
-        total, most = (f.reduceat(count[order], start) for f in (np.add, np.maximum))
-        size = np.diff(np.append(start, len(h)))
-        again = np.repeat(total > 1, size)
-        out.append((doc[order][again], 2 * at[order][again] + np.repeat((total > hot) | (most > LOCAL), size)[again]))
-    doc, known = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pd.DataFrame({"home": doc, "known": known})
+        total = np.add.reduceat(count[order], start)
+        again = np.repeat(total > 1, np.diff(np.append(start, len(h))))
+        out.append(pd.DataFrame({"home": doc[order][again], "known": at[order][again], "is_hot": False}))
+        out.append(pd.DataFrame({"home": 0, "known": h[order][start][total > hot].view(np.int64), "is_hot": True}))
+    return pd.concat(out)
 
 
 def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -248,48 +255,111 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[hit], "key": key[hit], "start": anchor[hit] - down[hit], "stop": anchor[hit] + up[hit]})
 
 
-def first_strings(group: pd.DataFrame) -> pd.DataFrame:
-    """Spans of the strings of hot anchors that another batch had earlier."""
-    group = group.sort_values(["hash", "more", "doc_id", "first"], kind="stable", ignore_index=True)
-    same = (group["hash"] == group["hash"].shift()) & (group["more"] == group["more"].shift())
-    lead = group.groupby((~same).cumsum())[["doc_id", "first"]].transform("first")
-    later = (group["doc_id"] != lead["doc_id"]) | (group["first"] != lead["first"])
-    found = group[later]
-    return pd.DataFrame({"doc_id": found["doc_id"], "key": found["key"], "start": found["first"], "stop": found["first"] + LENGTH})
-
-
-def contexts(ids: np.ndarray, keys: np.ndarray, raws: list[bytes], known: list[np.ndarray]) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """What the known anchors of some texts send: contexts, strings of hot anchors, and spans settled here."""
+def contexts(ids: np.ndarray, keys: np.ndarray, raws: list[bytes], known: list[np.ndarray]) -> tuple[list[tuple], list[tuple]]:
+    """What the known anchors of some texts send: contexts (hash, doc_id, key, first, delta, bytes), and spans settled here."""
     seen: dict[tuple, tuple] = {}
-    strings: dict[tuple, tuple] = {}
     spans = []
     order = sorted(range(len(raws)), key=lambda i: int(ids[i]))
     for h, text, at, first, last in anchors([raws[i] for i in order]):
         edge = np.append(_same(text), len(text)).tolist()
         for begin, end in zip(edge[:-1], edge[1:], strict=True):
             t = order[text[begin]]
-            code = known[t]
-            own = begin + np.nonzero(np.isin(at[begin:end], code >> 1))[0]
-            hot = np.isin(at[own], code[(code & 1) == 1] >> 1)
+            own = begin + np.nonzero(np.isin(at[begin:end], known[t]))[0]
             raw, doc, key = raws[t], int(ids[t]), int(keys[t])
-            for i, f, s, x, is_hot in zip(at[own].tolist(), first[own].tolist(), last[own].tolist(), h[own].view(np.int64).tolist(), hot.tolist(), strict=True):
-                if is_hot:
-                    for p in range(f, s + 1):
-                        string = xxhash.xxh128_intdigest(raw[p : p + LENGTH])
-                        sent = strings.setdefault(string, (doc, key, p))
-                        if sent[0] != doc or sent[2] != p:
-                            spans.append((doc, key, p, p + LENGTH))
-                    continue
+            for i, f, s, x in zip(at[own].tolist(), first[own].tolist(), last[own].tolist(), h[own].view(np.int64).tolist(), strict=True):
                 context = raw[f : s + LENGTH]
                 sent = seen.setdefault((x, i - f, context), (x, doc, key, f, i - f, context))
                 if sent[1] != doc or sent[3] != f:
                     spans.append((doc, key, f, s + LENGTH))
+    return list(seen.values()), whole_spans(spans)
+
+
+def whole_spans(spans: list[tuple]) -> list[tuple]:
+    """Spans (doc_id, key, start, stop) with those of a text that touch made one."""
     of_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for doc, key, a, b in spans:
         of_doc.setdefault((doc, key), []).append((a, b))
-    spans = [(doc, key, a, b) for (doc, key), some in of_doc.items() for a, b in merged(some)]
-    halves = lambda v: np.array([v & ((1 << 64) - 1), v >> 64], np.uint64).view(np.int64).tolist()
-    return list(seen.values()), [(*halves(v), *x) for v, x in strings.items()], spans
+    return [(doc, key, a, b) for (doc, key), some in of_doc.items() for a, b in merged(some)]
+
+
+def pieces(some: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
+    """Contexts cut for a split, and the spans of pieces that an earlier context among them has too.
+
+    some: (doc_id, key, first, delta, bytes). A piece holds the strings that start a to a + width - 1 bytes before the
+    anchor, a a multiple of width; its hash is that of the bytes which all strings of that range share.
+    """
+    seen: dict[tuple, tuple] = {}
+    spans = []
+    for doc, key, first, delta, data in sorted(some):
+        low = delta - (len(data) - LENGTH)
+        for a in range(low // width * width, delta + 1, width):
+            top, bottom = min(a + width - 1, delta), max(a, low)
+            piece, start = data[delta - top : delta - bottom + LENGTH], first + delta - top
+            shared = xxhash.xxh64_intdigest(data[delta - a : delta - (a + width - 1) + LENGTH], seed=a)
+            shared -= (shared >> 63) << 64
+            sent = seen.setdefault((shared, top, piece), (shared, doc, key, start, top, piece))
+            if sent[1] != doc or sent[3] != start:
+                spans.append((doc, key, start, start + len(piece)))
+    return list(seen.values()), whole_spans(spans)
+
+
+SENT = "kind long, bucket long, hash long, doc_id long, key long, first long, delta long, bytes binary"
+
+
+def sent_rows(some: list[tuple], spans: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of SENT: contexts (kind 0), and spans (kind 2; first and delta are their ends)."""
+    table = [(0, x[0] % buckets, *x) for x in some] + [(2, doc % buckets, 0, doc, key, a, b, b"") for doc, key, a, b in spans]
+    for at in range(0, len(table), 20_000):
+        part = table[at : at + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate((*[pa.int64()] * 7, pa.binary()))], [c.split()[0] for c in SENT.split(", ")])
+
+
+def finish(group: pd.DataFrame) -> pd.DataFrame:
+    done = group[group["kind"] == 2]
+    parts = [settle(group[group["kind"] == 0]), pd.DataFrame({"doc_id": done["doc_id"], "key": done["key"], "start": done["first"], "stop": done["delta"]})]
+    return pd.concat([p for p in parts if len(p)] or parts[:1]).astype("int64")
+
+
+def scanned(sent: DataFrame, tasks: int) -> DataFrame:
+    """(doc_id, key, start, stop): the spans of rows of SENT, parts scanned by buckets."""
+    return sent.select(*(c.split()[0] for c in SENT.split(", "))).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(finish, "doc_id long, key long, start long, stop long")
+
+
+def sized(parts: DataFrame, most: int) -> DataFrame:
+    """Contexts with large: whether over `most` of them have their hash. parts: a durable table."""
+    counts = parts.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    large = durable(counts.filter(F.col("n") > most))
+    if large.count() <= FEW_PARTS:
+        return parts.join(F.broadcast(large), "hash", "left").withColumn("large", F.col("n").isNotNull())
+    return joined_back(parts, counts, ["hash"], "n", parts.count()).withColumn("large", F.col("n") > most)
+
+
+def split_spans(parts: DataFrame, most: int, buckets: int, tasks: int) -> DataFrame:
+    """Spans of the contexts of hot K-grams, by parts of at most `most` contexts each."""
+
+    def cut(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                some = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "first", "delta", "bytes")), strict=True)
+                yield from sent_rows(*pieces(list(some), width), buckets)
+
+        return run
+
+    ends = lambda df: df.select("doc_id", "key", F.col("first").alias("start"), F.col("delta").alias("stop"))
+    found = None
+    for width in LEVELS:
+        cuts = durable(parts.mapInArrow(cut(width), SENT))
+        spans, parts = ends(cuts.filter("kind = 2")), cuts.filter("kind = 0")
+        found = found.unionByName(spans) if found else spans
+        if width > 1:
+            parts = sized(parts, most)
+            found = found.unionByName(scanned(parts.filter("not large"), tasks))
+            parts = parts.filter("large")
+    # Parts of one string: all members are equal, and every one after the first place goes.
+    groups = parts.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("lead"))
+    strings = joined_back(parts, groups.filter("n > 1"), ["bytes"], "n", parts.count())
+    later = strings.filter((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("first") != F.col("lead.first")))
+    return found.unionByName(later.select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("stop")))
 
 
 def home(place: str) -> F.Column:
@@ -308,31 +378,22 @@ def _spans(docs: DataFrame, hot: int, total: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "settled", "hash", "n", "homes", "at"])
 
     asked = docs.mapInArrow(find, "bucket long, settled boolean, hash binary, n binary, homes binary, at binary")
-    known = asked.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(lambda g: answer(g, hot), "home long, known long")
-    of_doc = known.repartition(tasks, "home").groupBy("home").agg(F.collect_set("known").alias("known"))
+    answers = durable(asked.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(lambda g: answer(g, hot), "home long, known long, is_hot boolean"))
+    of_doc = answers.filter("not is_hot").repartition(tasks, "home").groupBy("home").agg(F.collect_set("known").alias("known"))
     rows = docs.repartition(tasks, "home").join(of_doc, "home")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             raws = [t.encode("utf-8", "replace") for t in whole.column("text").to_pylist()]
-            some, strings, spans = contexts(whole.column("place").to_numpy(), whole.column("key").to_numpy(), raws, [np.array(k, np.int64) for k in whole.column("known").to_pylist()])
-            # kind 0: context, 1: string of a hot anchor, 2: span
-            table = [(0, h % buckets, h, 0, doc, key, f, d, x) for h, doc, key, f, d, x in some]
-            table += [(1, a % buckets, a, b, doc, key, f, 0, b"") for a, b, doc, key, f in strings]
-            table += [(2, doc % buckets, 0, 0, doc, key, a, b, b"") for doc, key, a, b in spans]
-            for at in range(0, len(table), 20_000):
-                part = table[at : at + 20_000]
-                kinds = (*[pa.int64()] * 8, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate(kinds)], ["kind", "bucket", "hash", "more", "doc_id", "key", "first", "delta", "bytes"])
-
-    sent = rows.mapInArrow(send, "kind long, bucket long, hash long, more long, doc_id long, key long, first long, delta long, bytes binary")
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        done = group[group["kind"] == 2]
-        parts = [settle(group[group["kind"] == 0]), first_strings(group[group["kind"] == 1]), pd.DataFrame({"doc_id": done["doc_id"], "key": done["key"], "start": done["first"], "stop": done["delta"]})]
-        return pd.concat([p for p in parts if len(p)] or parts[:1]).astype("int64")
-
-    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(finish, "doc_id long, key long, start long, stop long").withColumn("home", home("doc_id"))
+            yield from sent_rows(*contexts(whole.column("place").to_numpy(), whole.column("key").to_numpy(), raws, [np.array(k, np.int64) for k in whole.column("known").to_pylist()]), buckets)
+
+    sent = rows.mapInArrow(send, SENT)
+    if answers.filter("is_hot").isEmpty():
+        return scanned(sent, tasks).withColumn("home", home("doc_id"))
+    sent = durable(sent)
+    parts = sized(sent.filter("kind = 0"), hot)
+    small = scanned(parts.filter("not large").unionByName(sent.filter("kind = 2"), allowMissingColumns=True), tasks)
+    return small.unionByName(split_spans(parts.filter("large"), hot, buckets, tasks)).withColumn("home", home("doc_id"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

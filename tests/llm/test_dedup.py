@@ -210,11 +210,14 @@ def repeats(df, **options):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
 
 
-def test_remove_repeats(docs, texts, odd, empty):
+def test_remove_repeats(docs, texts, odd, empty, monkeypatch):
     want = repeats_model(texts)
     assert any(w[1] for w in want.values())
     assert repeats(docs) == want
-    # All that repeats through the path of hot anchors.
+    # Parts that are split at once to one string, after some ranges, and with names of parts joined by a shuffle.
+    assert repeats(docs, hot=0) == want
+    assert repeats(docs, hot=3) == want
+    monkeypatch.setattr(repeat_intervals, "FEW_PARTS", 0)
     assert repeats(docs, hot=1) == want
     rows = [tuple(r)[:4] for r in repeat_intervals.remove_repeats(odd).collect()]
     assert sorted(rows, key=repr) == sorted(((r["doc_id"], len(r["text"] or ""), 0, 0) for r in odd.collect()), key=repr)
@@ -255,3 +258,5 @@ def test_repeats_of_random_texts(spark):
     rows = [(i, "".join(rng.choice(pieces)[rng.randint(0, 60) :] for _ in range(rng.randint(0, 4))) + "z" * rng.choice([0, 0, 150])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert repeats(df) == repeats_model(rows)
+    for hot in (0, 2, 10):
+        assert repeats(df, hot=hot) == repeats_model(rows)
