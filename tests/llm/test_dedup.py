@@ -1,5 +1,6 @@
 """Exact and near dedup, shards and repeat removal against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import chunk_recipes, feistel_shards, repeat_intervals, vantage_simhash
+from millrace.llm import chunk_recipes, feistel_shards, repeat_groups, repeat_intervals, vantage_simhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -260,3 +261,68 @@ def test_repeats_of_random_texts(spark):
     assert repeats(df) == repeats_model(rows)
     for hot in (0, 2, 10):
         assert repeats(df, hot=hot) == repeats_model(rows)
+
+
+def groups_model(rows):
+    """Sets of (string, its places): repeated 100-byte strings, made one with the next where both have the same places."""
+    raws = [(i, (t or "").encode()) for i, t in dict.fromkeys(rows)]
+    places = defaultdict(list)
+    for r, (_, raw) in enumerate(raws):
+        for p in range(len(raw) - 99):
+            places[raw[p : p + 100]].append((r, p))
+    places = {k: set(some) for k, some in places.items() if len(some) > 1}
+    at = {p: k for k, some in places.items() for p in some}
+
+    @functools.cache
+    def follows(one, other):
+        return len(places[one]) == len(places[other]) and places[other] == {(r, p + 1) for r, p in places[one]}
+
+    goes_on = lambda r, p: (r, p + 1) in at and follows(at[r, p], at[r, p + 1])
+    out = defaultdict(list)
+    for r, p in at:
+        if (r, p - 1) in at and goes_on(r, p - 1):
+            continue
+        q = p
+        while goes_on(r, q):
+            q += 1
+        out[raws[r][1][p : q + 100]].append((raws[r][0], p))
+    return {s: sorted(some, key=repr) for s, some in out.items()}
+
+
+def repeat_group_rows(df, rows, **options):
+    raw = {(i, len((t or "").encode())): (t or "").encode() for i, t in rows}
+    found, strings = defaultdict(list), {}
+    for r in repeat_groups.maximal_repeats(df, **options).collect():
+        found[r["group_id"]].append((r["doc_id"], r["start"], r["length"], r["copies"]))
+    out = {}
+    for group, some in found.items():
+        assert {(x[2], x[3]) for x in some} == {(some[0][2], len(some))}
+        doc, start, length, _ = some[0]
+        own = [x for (i, _), x in raw.items() if i == doc]
+        strings[group] = next(x for x in own if len(x) >= start + length)[start : start + length]
+        assert strings[group] not in out
+        out[strings[group]] = sorted(((x[0], x[1]) for x in some), key=repr)
+    return out
+
+
+def test_maximal_repeats(spark, docs, texts, odd, empty, monkeypatch):
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("ab é") for _ in range(rng.randint(60, 400))) for _ in range(6)]
+    rows = [(i, "".join(rng.choice(pieces)[rng.randint(0, 60) :][: rng.randint(90, 400)] for _ in range(rng.randint(0, 4))) + "z" * rng.choice([0, 0, 150])) for i in range(40)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(4)
+    want = groups_model(rows)
+    assert len(want) > 20 and max(map(len, want)) > 150 and max(map(len, want.values())) > 5
+    assert repeat_group_rows(df, rows) == want
+    # By parts of at most two contexts, and by parts of one string.
+    for hot in (0, 2):
+        assert repeat_group_rows(df, rows, hot=hot) == want
+    assert repeat_group_rows(docs, texts) == groups_model(texts)
+    assert repeat_groups.maximal_repeats(odd).count() == repeat_groups.maximal_repeats(empty).count() == 0
+
+
+def test_maximal_repeats_of_one_text_under_null_and_equal_ids(spark):
+    text = "".join(random.Random(5).choices("abcdefgh ", k=150))
+    rows = [(None, text), (None, text), (None, "x" + text), (-(1 << 63), text), (5, text), (5, "yy" + text), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((tuple(r)[1:] for r in repeat_groups.maximal_repeats(df).collect()), key=repr)
+    assert found == sorted([(150, 5, None, 0), (150, 5, None, 1), (150, 5, -(1 << 63), 0), (150, 5, 5, 0), (150, 5, 5, 2)], key=repr)
