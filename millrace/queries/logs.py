@@ -9,6 +9,7 @@ from millrace.functions.expressions import Scope
 from millrace.operators import aggregate as agg
 from millrace.operators import patterns, quality, records
 from millrace.plans.task import LogTask
+from millrace.queries import analysis_sql
 from millrace.queries.scalars import COST, LEVEL, USER
 from millrace.queries.tables import DOCUMENT_LINES, LINES, document_lines, event_lines, table
 from millrace.sources import logs, paths
@@ -154,6 +155,21 @@ def A8_distinct_sketch(spark, sf_dir):
     return _rounded(_task([{"as": "users", "agg": "hll", "elect": USER}, _value("n", "count")], BY_LEVEL).run(event_lines(spark, sf_dir)))
 
 
+@query(f"""WITH {LINES} SELECT {DAY} AS window_start, upper(event_type) AS level, count(DISTINCT user_id) AS users, true AS near FROM lines GROUP BY ALL
+    UNION ALL SELECT CAST(NULL AS BIGINT), upper(event_type), count(DISTINCT user_id), true FROM lines GROUP BY ALL""")
+def A8_sketch_error(spark, sf_dir):
+    """Sketches of a day and level, and those of all days merged, against exact counts: near is a difference of at most three standard deviations, 15 % and 5 %."""
+    task = _task([{"as": "estimate", "agg": "hll", "elect": USER}, _value("n", "count")], BY_LEVEL)
+    lines = event_lines(spark, sf_dir)
+    front = task.front(task.records(lines)).withColumn("user", F.regexp_extract("line", r"user-(\d+)", 1))
+    exact = front.groupBy("window_start", "level").agg(F.countDistinct("user").alias("users"))
+    daily = task.run(lines).join(exact, ["window_start", "level"]).withColumn("most", F.lit(0.15))
+    merged = agg.merge_partials(agg.partials(front, F.col("user").cast("double"), ["window_start", "level"]), ["level"]).select("level", F.col("distinct").alias("estimate"))
+    merged = merged.join(front.groupBy("level").agg(F.countDistinct("user").alias("users")), "level").withColumn("most", F.lit(0.05))
+    both = daily.select("window_start", "level", "users", "estimate", "most").unionByName(merged, allowMissingColumns=True)
+    return _rounded(both.select("window_start", "level", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.col("most") * F.col("users")).alias("near")))
+
+
 @query(f"""WITH {LINES} SELECT {DAY} AS window_start, upper(event_type) AS level, count(*) FILTER (cost > 50) AS high, round(coalesce(CAST(sum(cost) FILTER (cost > 400) AS DOUBLE), 0), 4) AS top
     FROM lines GROUP BY ALL""")
 def A10_A11_filtered_values(spark, sf_dir):
@@ -221,17 +237,29 @@ def K1_known_patterns(spark, sf_dir):
     return _rounded(patterns.known_counts(_windowed(spark, sf_dir), _PATTERNS, Scope()))
 
 
-@query()
+@query(f"""WITH {DOCUMENT_LINES}, t AS (SELECT path, unnest(words) AS w FROM {analysis_sql.words("doc_lines")})
+    SELECT path, count(*) AS tokens, count(*) FILTER (w.important) AS important, count(*) FILTER (w.source) AS source FROM t GROUP BY path""")
 def K2_K3_tokens(spark, sf_dir):
     words = document_lines(spark, sf_dir).select("path", F.explode(patterns.signature(F.col("line"))).alias("t"))
     return words.groupBy("path").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("t.important").alias("important"), F.count_if("t.source").alias("source"))
 
 
-@query()
+_WINDOWED = f"{LINES}, windowed AS (SELECT CAST(epoch_ms(ts) // 864000000 * 864000000 AS BIGINT) AS window_start, event_id AS seq, line, CASE WHEN event_type = 'error' THEN 'errors' WHEN cost > 50 THEN 'high' END AS known FROM lines)"
+
+
+@query(f"WITH {_WINDOWED}, {analysis_sql.clusters('windowed', 8)} SELECT window_start, cluster, count, line FROM clusters")
 def K4_K5_clusters(spark, sf_dir):
     return _rounded(patterns.cluster(_windowed(spark, sf_dir), most_patterns=8))
 
 
+@query(f"""WITH {DOCUMENT_LINES}, windowed AS (SELECT CAST(path AS BIGINT) // 100 AS window_start, row_number() OVER (ORDER BY path, ord) AS seq, line FROM doc_lines),
+    {analysis_sql.clusters("windowed", 16)} SELECT window_start AS part, cluster, count, line FROM clusters""")
+def K5_document_clusters(spark, sf_dir):
+    """Lines of documents, a hundred documents a window: many signatures, more of them than a window has room for."""
+    lines = document_lines(spark, sf_dir).withColumn("part", F.floor(F.col("path").cast("long") / 100))
+    return patterns.cluster(lines, "part", most_patterns=16)
+
+
 @query(r"""WITH hosts AS (
         SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS word FROM pages WHERE url IS NOT NULL
     ), counted AS (
@@ -245,7 +273,9 @@ def K6_source_words(spark, sf_dir):
     return patterns.source_words(pages, ["kind"])
 
 
-@query()
+@query(f"""WITH {_WINDOWED}, {analysis_sql.clusters("(SELECT * FROM windowed WHERE known IS NULL)", 4)}, counted AS (SELECT window_start, known, count(*) AS value, min_by(line, seq) AS line FROM windowed WHERE known IS NOT NULL GROUP BY ALL)
+    SELECT window_start, known AS "eventName", value, '{{"known":true,"sample":' || to_json(line) || '}}' AS analysis FROM counted
+    UNION ALL SELECT window_start, '__analysis', CAST(sum(count) AS BIGINT), '{{"analyzedLogs":[' || string_agg('{{"cluster":' || cluster || ',"count":' || count || ',"sample":' || to_json(line) || '}}', ',' ORDER BY cluster) || ']}}' FROM clusters GROUP BY window_start""")
 def K7_analysis(spark, sf_dir):
     task = LogTask({"select": {"values": [{"agg": "loganalysis"}]}, "from": {"log": {"time": {"type": "auto"}}}, "groupBy": {"logAnalysis": {"patterns": _PATTERNS, "maxUnknownPatterns": 4}}, "window": {"interval": "10d"}})
     return _rounded(task.run(event_lines(spark, sf_dir)))
