@@ -188,8 +188,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     errors and n_repeats are null). position is a topological order within a conversation,
     see positions; what is on a cycle comes last, with level null. Rows with a null id are
     left out; of rows that repeat an id, the smallest stays, nulls first, and n_repeats
-    counts the calls that went. Null arguments are no JSON; arguments that are none are
-    written as a string; other columns are ignored.
+    counts the calls that went. Null arguments are no JSON, and neither is an object that
+    repeats a key, at any depth; arguments that are none are written as a string, with error
+    `json`; other columns are ignored.
     """
     calls = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("name", "arguments", "parent_id")).alias("c"), (F.count(F.lit(1)) - 1).alias("n_repeats"))
     calls = durable(calls.select("conv_id", "call_id", "c.*", "n_repeats"))

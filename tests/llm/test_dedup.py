@@ -127,7 +127,9 @@ def test_shards(docs, texts, odd, empty):
     assert max(map(len, slots.values())) - min(len(slots[k]) for k in range(16)) <= 1
     again = feistel_shards.shard_rows(docs.repartition(7)).collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, again))
-    assert feistel_shards.shard_rows(odd).count() == 8
+    got, given = feistel_shards.shard_rows(odd).collect(), [(r["doc_id"], r["text"] or "") for r in odd.collect()]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in given), key=repr)
+    assert len({r["shard"] for r in got}) == 8 and {r["slot"] for r in got} == {0} and {r["law"] for r in got} == {"rows"}
     assert feistel_shards.shard_rows(empty).count() == 0
 
 
@@ -169,7 +171,8 @@ def test_near_duplicates(docs, texts, odd, empty):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found} == {i: (f"{f:016x}", smallest[roots[f]]) for i, f in fps.items()}
     kept = vantage_simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(smallest.values())
-    assert vantage_simhash.near_duplicates(odd).count() == 8
+    groups = [(None, 1), (1, 1), (1, 1), (1, 1), (2, 1), (None, 3), (3, 3), (3, 3)]
+    assert sorted(((r["doc_id"], r["component_id"]) for r in vantage_simhash.near_duplicates(odd).collect()), key=repr) == sorted(groups, key=repr)
     assert vantage_simhash.near_duplicates(empty).count() == 0
 
 

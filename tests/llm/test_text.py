@@ -1,6 +1,7 @@
 """BPE, token attribution, secrets, toxicity, decontamination and tool calls."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -392,6 +393,14 @@ def test_leaks(spark, docs, texts, odd, empty):
     assert bm25_decontaminate.drop_leaks(docs, items.limit(0)).count() == len(texts)
 
 
+def test_leaks_under_null_and_repeated_ids(spark):
+    rows = [(None, ITEMS[0][1]), (None, "clean words of no item at all"), (None, None), (5, ITEMS[3][1]), (5, "other words, clean as well"), (5, ITEMS[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in bm25_decontaminate.leaked_items(df, items).collect()} == {(None, ITEMS[0][0]), (5, ITEMS[3][0])}
+    assert sorted((tuple(r) for r in bm25_decontaminate.drop_leaks(df, items).collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
+
+
 def test_several_indexes(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     parts = bm25_decontaminate.indexes(items, 1000)
@@ -511,12 +520,15 @@ def test_schemas(spark):
         '{"where":"a","tags":"p","x":{},"other":1}': "missing:x.y,type:tags,type:where,unknown:other",
         "[1]": "json",
         "7": "json",
+        '{"n":1,"n":2}': "json",
+        '{"x":{"y":1,"y":2}}': "json",
     }
     calls = spark.createDataFrame([(1, str(k), None, "f", text) for k, text in enumerate(cases)], "conv_id long, call_id string, parent_id string, name string, arguments string")
     tools = spark.createDataFrame([("f", params)], f"name string, params {tool_calls.PARAMS}")
     found = tool_calls.link_tool_calls(calls, calls.limit(0).select("conv_id", "call_id", F.lit("").alias("content")), tools).orderBy("call_id").collect()
     assert [r["errors"] for r in found] == list(cases.values())
     assert [r["position"] for r in found] == list(range(len(cases)))
+    assert json.loads(found[5]["message"])["arguments"] == '{"n":1,"n":2}'
 
 
 def test_order_of_a_large_conversation(spark):
