@@ -51,8 +51,12 @@ def gone() -> Column:
 
 
 def delta_events(events: DataFrame, interval: str = "3 seconds", key: tuple[str, ...] = ("namespace", "name")) -> DataFrame:
-    """The last event of each resource and interval, with action del for deleted or finished ones and add for others."""
-    start = F.window("ts", interval)["start"]
+    """The last event of each resource and interval, with action del for deleted or finished ones and add for others.
+
+    Events without a time are a batch of their own, without a start.
+    """
+    # A window leaves out rows without a time; these pass it under another one.
+    start = F.when(F.col("ts").isNotNull(), F.window(F.coalesce("ts", F.timestamp_seconds(F.lit(0))), interval)["start"])
     last = events.withColumn("batch", start).groupBy("batch", *key).agg(F.max_by(F.struct(*events.columns), F.struct("ts", "seq")).alias("e"))
     return last.select("batch", "e.*").withColumn("action", F.when(F.coalesce(gone(), F.lit(False)), "del").otherwise("add"))
 
