@@ -2,9 +2,10 @@
 
 What ranks the rows of a window (its first keys, first records, first clusters) needs the
 window whole, however its rows are cut into micro-batches. Each task first reduces its
-rows to one for each window and group, or for each window and different signature. The reduced rows of a window meet its state,
-which an event-time timer at the window's end closes and turns into rows. Rows that come
-after that are counted for their window.
+rows to one for each window and group, or for each window and different signature. The reduced rows of a window, or of a part of
+its groups, meet its state, which an event-time timer at the window's end closes and turns
+into rows. With a key cap a part holds its first groups, and the first of all parts are
+the window's. Rows that come after that are counted for their window.
 
 In order of arrival means: by micro-batch, and within one by path and place in the file.
 """
@@ -12,6 +13,7 @@ In order of arrival means: by micro-batch, and within one by path and place in t
 from __future__ import annotations
 
 import json
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -28,10 +30,12 @@ from millrace.plans.task import LogTask
 
 #: Distinct hashes that are kept exactly for a value; beyond it the smallest ones give an estimate.
 DISTINCT = 2048
-#: Tasks that share the groups of a window without a cap.
+#: Parts of a window that hold its groups, dealt by a hash of the group.
 PARTS = 32
 
 PLACE = ["path", "block", "ord"]
+#: Order of arrival over all micro-batches.
+SEEN = ["batch", *PLACE]
 
 
 class HeldWindow(StatefulProcessor):
@@ -46,13 +50,12 @@ class HeldWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, end = key[0], key[0] + self.interval
-        table = pd.concat(list(rows), ignore_index=True)
         if end <= timerValues.getCurrentWatermarkInMs():
-            yield self.frame([{"kind": "late", "start": start, "late": int(table["n"].sum())}])
+            yield self.frame([{"kind": "late", "start": start, "late": sum(int(table["n"].sum()) for table in rows)}])
             return
         old = self.held.get()
         content = pickle.loads(old[0]) if old else self.empty()
-        self.add(content, table)
+        self.add(content, rows)
         self.held.update((pickle.dumps(content),))
         if not old:
             self.handle.registerTimer(end)
@@ -64,16 +67,21 @@ class HeldWindow(StatefulProcessor):
         yield self.frame([{"kind": "row", "start": key[0], "late": 0, **row} for row in self.rows(pickle.loads(old[0]))] if old else [])
 
     def frame(self, rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="int64" if c in ("start", "late") else object) for c in self.columns})
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="int64" if c in ("start", "late") else "Int64" if c in ("batch", "block", "ord") else object) for c in self.columns})
 
     def close(self) -> None:
         pass
 
 
 class HeldGroups(HeldWindow):
-    """Groups of a window: number, total, least and most of each value, distinct hashes, and the first sampled records."""
+    """Groups of a part of a window: number, total, least and most of each value, distinct hashes, and the first sampled records.
+
+    Rows are added as they come, whatever their order, to the groups that were held or came in
+    this micro-batch. With most_keys the first ones by arrival stay after it; later groups
+    cannot come before them.
+    """
 
-    columns = ("kind", "start", "late", "keys", "vals", "samples")
+    columns = ("kind", "start", "late", "keys", "vals", "samples", *SEEN)
 
     def __init__(self, interval_ms: int, kinds: list[str], most_keys: int, most_samples: int):
         super().__init__(interval_ms)
@@ -82,20 +90,34 @@ class HeldGroups(HeldWindow):
     def empty(self) -> dict:
         return {}
 
-    def add(self, content: dict, table: pd.DataFrame) -> None:
-        for r in table.sort_values(PLACE, kind="stable").itertuples(index=False):
-            own = content.get(r.keys)
-            if own is None:
-                if self.most and len(content) >= self.most:
-                    continue
-                own = content[r.keys] = {"fresh": [], "count": np.zeros(len(self.kinds)), "sum": np.zeros(len(self.kinds)), "min": np.full(len(self.kinds), np.inf), "max": np.full(len(self.kinds), -np.inf), "sets": [set() for _ in self.kinds], "samples": []}
-            own["count"] += r.counts
-            own["sum"] += r.sums
-            own["min"], own["max"] = np.fmin(own["min"], r.least), np.fmax(own["max"], r.highest)
-            for k, kind in enumerate(self.kinds):
-                if kind == "hll":
-                    own["sets"][k] = smallest(own["sets"][k] | set(r.sets[k]))
-            own["fresh"] += [(x["path"], x["block"], x["ord"], list(x["logs"])) for x in r.samples]
+    def add(self, content: dict, rows: Iterator[pd.DataFrame]) -> None:
+        full, every = bool(self.most) and len(content) >= self.most, range(len(self.kinds))
+        for table in rows:
+            for r in table.itertuples(index=False):
+                own = content.get(r.keys)
+                seen = (r.batch, r.path, r.block, r.ord)
+                if own is None:
+                    if full:
+                        continue
+                    own = content[r.keys] = {"seen": seen, "fresh": [], "count": [0.0 for _ in every], "sum": [0.0 for _ in every], "min": [math.inf for _ in every], "max": [-math.inf for _ in every], "sets": [set() for _ in every], "samples": []}
+                elif seen < own["seen"]:
+                    own["seen"] = seen
+                for k in every:
+                    own["count"][k] += float(r.counts[k])
+                    own["sum"][k] += float(r.sums[k])
+                    if r.least[k] < own["min"][k]:
+                        own["min"][k] = float(r.least[k])
+                    if r.highest[k] > own["max"][k]:
+                        own["max"][k] = float(r.highest[k])
+                    if self.kinds[k] == "hll":
+                        own["sets"][k] = smallest(own["sets"][k] | set(r.sets[k]))
+                if self.samples and len(r.samples) and len(own["samples"]) < self.samples:
+                    own["fresh"] += [(x["path"], x["block"], x["ord"], list(x["logs"])) for x in r.samples]
+                    if len(own["fresh"]) > 2 * self.samples:
+                        own["fresh"] = sorted(own["fresh"])[: self.samples]
+        if self.most and len(content) > self.most:
+            for keys in sorted(content, key=lambda k: content[k]["seen"])[self.most :]:
+                del content[keys]
         for own in content.values():
             if own["fresh"]:
                 own["samples"] = (own["samples"] + [x[3] for x in sorted(own["fresh"])])[: self.samples]
@@ -111,7 +133,28 @@ class HeldGroups(HeldWindow):
 
     def rows(self, content: dict) -> Iterator[dict]:
         for keys, own in content.items():
-            yield {"keys": json.loads(keys), "vals": [self.value(own, k) for k in range(len(self.kinds))], "samples": own["samples"]}
+            yield {"keys": json.loads(keys), "vals": [self.value(own, k) for k in range(len(self.kinds))], "samples": own["samples"], **dict(zip(SEEN, own["seen"], strict=True))}
+
+
+def _first_groups(most: int):
+    """Task that keeps the first `most` groups, by arrival, of the parts of the windows that close."""
+
+    def first_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size, kept = 0, 0
+        first = lambda: pd.concat(held, ignore_index=True).sort_values(SEEN, kind="stable").groupby("start", sort=False).head(most)
+        for pdf in batches:
+            grouped = pdf["kind"] == "row"
+            yield pdf[~grouped]
+            held.append(pdf[grouped])
+            size += int(grouped.sum())
+            if size > 2 * kept + 10_000:
+                held = [first()]
+                size = kept = len(held[0])
+        if size:
+            yield first()
+
+    return first_groups
 
 
 def smallest(hashes: set[float]) -> set[float]:
@@ -150,12 +193,14 @@ def _reduced_groups(kinds: list[str], most_samples: int):
                     own.append({"path": r.path, "block": r.block, "ord": r.ord, "logs": list(r.logs)})
             out["samples"] = [first.get(i, []) for i in out.index]
             out = out.reset_index()
+            out["batch"] = pdf["batch"].iloc[0]
             yield out
 
     return reduce_rows
 
 
-_GROUPS = "start long, keys string, path string, block long, ord long, n long, counts array<double>, sums array<double>, least array<double>, highest array<double>, sets array<array<double>>, samples array<struct<path:string,block:bigint,ord:bigint,logs:array<string>>>"
+_GROUPS = "batch long, start long, keys string, path string, block long, ord long, n long, counts array<double>, sums array<double>, least array<double>, highest array<double>, sets array<array<double>>, samples array<struct<path:string,block:bigint,ord:bigint,logs:array<string>>>"
+_HELD_GROUPS = "kind string, start long, late long, keys array<string>, vals array<double>, samples array<array<string>>, batch long, path string, block long, ord long"
 
 
 class HeldAnalysis(HeldWindow):
@@ -170,7 +215,8 @@ class HeldAnalysis(HeldWindow):
     def empty(self) -> dict:
         return {"known": {}, "patterns": [], "clusters": []}
 
-    def add(self, content: dict, table: pd.DataFrame) -> None:
+    def add(self, content: dict, rows: Iterator[pd.DataFrame]) -> None:
+        table = pd.concat(list(rows), ignore_index=True)
         placer, fresh = patterns.Placer(self.most, content["patterns"]), []
         for r in table.sort_values(PLACE, kind="stable").itertuples(index=False):
             if r.eventName is not None:
@@ -264,12 +310,15 @@ def held_windows(task: LogTask, lines: DataFrame, delay: str, idle: str | None =
     cells = [agg.cell(v, scope) if k in ("count", "hll") else agg.finite(agg.cell(v, scope)) for v, k in zip(task.values, kinds, strict=True)]
     logs = agg.sampled(front, task.samples, scope) if task.samples else F.lit(None).cast("array<string>")
     keys = F.to_json(F.array(*[F.col(k).cast("string") for k in task.keys])) if task.keys else F.lit("[]")
-    rows = front.select(start.alias("start"), keys.alias("keys"), *place, F.array(*cells).cast("array<double>").alias("cells"), logs.alias("logs"))
+    # The time of a micro-batch, which stays when the batch runs again, orders arrival over batches.
+    batch = F.unix_millis(F.current_timestamp())
+    rows = front.select(batch.alias("batch"), start.alias("start"), keys.alias("keys"), *place, F.array(*cells).cast("array<double>").alias("cells"), logs.alias("logs"))
     capped, most = min(task.max_keys, agg.MOST_KEYS) if task.keys else 0, agg.sample_limits(task.samples)[0] if task.samples else 0
     reduced = rows.mapInPandas(_reduced_groups(kinds, most), _GROUPS)
-    part = F.lit(0) if capped else F.pmod(F.xxhash64("keys"), F.lit(PARTS)).cast("int")
     held = HeldGroups(task.interval_ms, kinds, capped, most)
-    return reduced.withColumn("part", part).groupBy("start", "part").transformWithStateInPandas(held, "kind string, start long, late long, keys array<string>, vals array<double>, samples array<array<string>>", "Append", "EventTime")
+    closed = reduced.withColumn("part", F.pmod(F.xxhash64("keys"), F.lit(PARTS)).cast("int")).groupBy("start", "part").transformWithStateInPandas(held, _HELD_GROUPS, "Append", "EventTime")
+    # All parts of a window close in one micro-batch.
+    return (closed.repartition("start").mapInPandas(_first_groups(capped), _HELD_GROUPS) if capped else closed).drop(*SEEN)
 
 
 def results(task: LogTask, held: DataFrame) -> DataFrame:

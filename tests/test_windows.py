@@ -142,3 +142,40 @@ def test_mixed_time_layouts(spark, tmp_path):
     one = LogTask({"select": {"values": [{"as": "n", "agg": "count"}]}, "from": {"log": {"time": {"type": "auto"}}}, "groupBy": {"groups": [{"name": "user", "elect": USER}]}, "window": {"interval": "1h"}})
     got = {r["user"]: r["value"] for r in one.run(logs.read_log_lines(spark, [str(tmp_path / "in")])).groupBy("user").agg(F.sum("value").alias("value")).collect()}
     assert got == {"a": 300, "b": 300, "c": 300}
+
+
+def test_capped_parts_take_rows_in_pieces():
+    """A part of a capped window holds one piece of its rows at a time, in any order, and the first groups of all parts are the window's."""
+    import weakref
+
+    import numpy as np
+    import pandas as pd
+
+    def piece(batch, rows):
+        one = lambda x: np.array([float(x)])
+        return pd.DataFrame([{"batch": batch, "start": 0, "keys": f'["{key}"]', "path": "p", "block": 0, "ord": place, "n": 1, "counts": one(1), "sums": one(cost), "least": one(cost), "highest": one(cost), "sets": [[]], "samples": []} for key, place, cost in rows])
+
+    alive, most_alive = [], 0
+
+    def pieces(*parts):
+        nonlocal most_alive
+        for batch, rows in parts:
+            frame = piece(batch, rows)
+            alive.append(weakref.ref(frame))
+            most_alive = max(most_alive, sum(r() is not None for r in alive))
+            yield frame
+            del frame
+
+    held = windows.HeldGroups(1000, ["sum"], 2, 0)
+    content = held.empty()
+    held.add(content, pieces((1, [("c", 9, 1), ("b", 5, 2)]), (1, [("a", 7, 4)]), (1, [("b", 8, 8), ("c", 1, 16)])))
+    assert most_alive <= 2
+    assert {k: v["sum"] for k, v in content.items()} == {'["c"]': [17.0], '["b"]': [10.0]}
+    # Later groups come behind, whatever their place.
+    held.add(content, pieces((2, [("d", 0, 1), ("c", 0, 32)])))
+    assert {k: v["sum"] for k, v in content.items()} == {'["c"]': [49.0], '["b"]': [10.0]}
+    rows = held.frame([{"kind": "row", "start": 0, "late": 0, **r} for r in held.rows(content)])
+    other = held.frame([{"kind": "row", "start": 0, "late": 0, "keys": ["e"], "vals": [3.0], "samples": [], "batch": 1, "path": "p", "block": 0, "ord": 2}])
+    late = held.frame([{"kind": "late", "start": 0, "late": 4}])
+    found = pd.concat(list(windows._first_groups(2)(iter([rows, other, late]))))
+    assert sorted(k[0] for k in found[found["kind"] == "row"]["keys"]) == ["c", "e"] and found["late"].sum() == 4
