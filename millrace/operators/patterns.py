@@ -2,21 +2,23 @@
 
 Lines are reduced to signatures first: what decides similarity is the ordered list of
 (letters-only form, byte length, source, important) of the tokens, and lines with one
-signature meet the same cluster. The different signatures of a window are then placed in
-the order in which they came first, all windows side by side.
+signature meet the same cluster. Each task passes on its different signatures only; those of
+a window are then placed in the order in which they came first, all windows side by side.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import Scope, keeps
-from millrace.operators.aggregate import arrival, earliest
+from millrace.operators.aggregate import arrival, earliest, once
 
 # Characters and texts that end a token, and the constants of similarity.
 CUTTERS = r"[)!;@\[(,?}\]:^&={*]|->| - |，|【|。|（|）|】|！|；|："
@@ -25,7 +27,8 @@ SHORT = 5
 MAX_PATTERNS, MAX_LENGTH, MAX_SOURCES = 64, 300, 60
 
 _IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
-SIGNATURE = "array<struct<letters:string,size:int,source:boolean,important:boolean>>"
+#: Different lines, and characters of them, that a task holds before it passes them on.
+HELD_LINES, HELD_CHARS = 20_000, 32 << 20
 
 
 def known_pattern(patterns: list[dict], scope: Scope) -> Column:
@@ -91,17 +94,86 @@ class Placer:
         return len(self.patterns) - 1, True
 
 
-def compared(line: Column, most_length: int = MAX_LENGTH) -> tuple[Column, Column]:
-    """The signature of a line that similarity compares, and its source words."""
-    words = signature(line, most_length)
-    short = F.transform(words, lambda t: F.struct(t["letters"].alias("letters"), t["size"].alias("size"), t["source"].alias("source"), t["important"].alias("important")))
-    return short, F.transform(F.filter(words, lambda t: t["source"]), lambda t: t["word"])
+def signature_text(words: Column) -> Column:
+    """What similarity compares of a line's words, as one text: letters,size,flags of each word."""
+    flags = lambda t: F.concat(F.when(t["source"], "s").otherwise(""), F.when(t["important"], "i").otherwise(""))
+    return F.array_join(F.transform(words, lambda t: F.concat_ws(",", t["letters"], t["size"].cast("string"), flags(t))), ";")
+
+
+def signed(text: str | None) -> list[dict]:
+    """The words of a signature's text."""
+    parts = (w.split(",") for w in text.split(";")) if text else ()
+    return [{"letters": letters, "size": int(size), "source": "s" in flags, "important": "i" in flags} for letters, size, flags in parts]
+
+
+def compared(rows: DataFrame, most_length: int = MAX_LENGTH, wanted: Column | None = None) -> DataFrame:
+    """rows (with line) and signature, the text that similarity compares, and sources, the source words; NULL where wanted does not hold."""
+    words = signature(F.col("line"), most_length)
+    rows = once(rows, "words", words if wanted is None else F.when(wanted, words))
+    return rows.withColumns({"signature": signature_text(F.col("words")), "sources": F.transform(F.filter("words", lambda t: t["source"]), lambda t: t["word"])}).drop("words")
+
+
+def distinct_lines(by: list[str], place: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task that reduces rows (by, place, line, signature, sources) to one for each `by` and signature.
+
+    It has their number, the place and line of the first, and its source words with number
+    and first place. A task holds so many different ones and then passes them on, so one
+    may come several times.
+    """
+    keys = [*by, "signature"]
+
+    def passed_on(found: dict[tuple, dict], schema: pa.Schema) -> pa.RecordBatch:
+        at = [schema.field(c) for c in place]
+        word = pa.struct([("word", pa.string()), ("count", pa.int64()), *at])
+        kept = [schema.field(c) for c in (*keys, *place, "line")]
+        rows = [r | {"words": [{"word": w, "count": n} | dict(zip(place, first, strict=True)) for w, (n, first) in r["words"].items()]} for r in found.values()]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([*kept, ("n", pa.int64()), ("words", pa.list_(word))]))
+
+    def reduce_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, dict] = {}
+        chars, schema = 0, None
+        for batch in batches:
+            schema = batch.schema
+            table = pa.Table.from_batches([batch])
+            table = table.take(pc.sort_indices(table, [(c, "ascending") for c in place])).append_column("row", pa.array(range(len(batch)), pa.int64()))
+            grouped = table.select([*keys, "row"]).group_by(keys, use_threads=False).aggregate([("row", "min"), ("row", "count")])
+            firsts = table.select([*keys, *place, "line"]).take(grouped["row_min"]).to_pylist()
+            for r, n in zip(firsts, grouped["row_count"].to_pylist(), strict=True):
+                key, at = tuple(r[c] for c in keys), tuple(r[c] for c in place)
+                own = found.get(key)
+                if own is None:
+                    found[key] = r | {"n": n, "words": {}}
+                    chars += len(r["line"] or "")
+                    continue
+                own["n"] += n
+                if at < tuple(own[c] for c in place):
+                    own.update(r)
+            for r in table.filter(pc.greater(pc.list_value_length(table["sources"]), 0)).select([*keys, *place, "sources"]).to_pylist():
+                words, at = found[tuple(r[c] for c in keys)]["words"], tuple(r[c] for c in place)
+                for word in r["sources"]:
+                    n, first = words.get(word, (0, at))
+                    words[word] = (n + 1, min(first, at))
+            if len(found) >= HELD_LINES or chars >= HELD_CHARS:
+                yield passed_on(found, schema)
+                found, chars = {}, 0
+        if found:
+            yield passed_on(found, schema)
+
+    return reduce_lines
+
+
+def distinct_schema(by: str, place: str) -> str:
+    """Schema of the rows of distinct_lines; by and place are the schemas of these columns."""
+    return f"{by}, signature string, {place}, line string, n long, words array<struct<word:string,count:bigint,{re.sub(r'(\w+) (\w+)', r'\1:\2', place)}>>"
 
 
 def _signed(lines: DataFrame, start: str, most_length: int) -> DataFrame:
-    """lines with window_key, seen_at, signature and sources."""
-    short, sources = compared(F.col("line"), most_length)
-    return lines.select(F.col(start).cast("string").alias("window_key"), start, arrival(lines).alias("seen_at"), "line", short.alias("signature"), sources.alias("sources"))
+    """window_key, signature, seen_at, line, count, words: the lines, reduced task by task to the different signatures of a window."""
+    place = [c for c in ("file_time", "path", "block", "ord") if c in lines.columns]
+    rows = compared(lines.select(F.col(start).cast("string").alias("window_key"), *place, "line"), most_length)
+    types = dict(rows.dtypes)
+    reduced = rows.select("window_key", *place, "line", "signature", "sources").mapInArrow(distinct_lines(["window_key"], place), distinct_schema("window_key string", ", ".join(f"{c} {types[c]}" for c in place)))
+    return reduced.select("window_key", "signature", arrival(reduced).alias("seen_at"), "line", F.col("n").alias("count"), "words")
 
 
 def _placed(rows: DataFrame, most_patterns: int) -> DataFrame:
@@ -110,21 +182,21 @@ def _placed(rows: DataFrame, most_patterns: int) -> DataFrame:
     A window's different signatures pass through one task in order, which holds the
     patterns of one window at a time; windows are dealt over tasks.
     """
-    reduced = rows.groupBy("window_key", "signature").agg(F.min("seen_at").alias("seen_at"), F.count(F.lit(1)).alias("count"), F.min_by("line", "seen_at").alias("line"))
+    reduced = rows.groupBy("window_key", "signature").agg(F.min("seen_at").alias("seen_at"), F.sum("count").alias("count"), F.min_by("line", "seen_at").alias("line"))
     ordered = reduced.repartition("window_key").sortWithinPartitions("window_key", "seen_at", "line").drop("seen_at")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, placer = None, Placer(most_patterns)
         for batch in batches:
             found = []
-            for key, tokens_ in zip(batch.column("window_key").to_pylist(), batch.column("signature").to_pylist(), strict=True):
+            for key, text in zip(batch.column("window_key").to_pylist(), batch.column("signature").to_pylist(), strict=True):
                 if key != window:
                     window, placer = key, Placer(most_patterns)
-                found.append(placer.place(tokens_))
+                found.append(placer.place(signed(text)))
             clusters, opened = pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, clusters, opened], [*batch.schema.names, "cluster", "opened"])
 
-    return ordered.mapInArrow(place, f"window_key string, signature {SIGNATURE}, count long, line string, cluster int, opened boolean").filter("cluster >= 0")
+    return ordered.mapInArrow(place, "window_key string, signature string, count long, line string, cluster int, opened boolean").filter("cluster >= 0")
 
 
 def _clusters(placed: DataFrame) -> DataFrame:
@@ -152,8 +224,9 @@ def source_words(lines: DataFrame, by: list[str], most_length: int = MAX_LENGTH,
 
 def _cluster_sources(rows: DataFrame, placed: DataFrame, most: int = MAX_SOURCES) -> DataFrame:
     """window_key, cluster, word, count; words are counted for each signature before they meet its cluster."""
-    own = rows.select("window_key", "signature", "seen_at", F.explode("sources").alias("word"))
-    own = own.groupBy("window_key", "signature", "word").agg(F.count(F.lit(1)).alias("count"), F.min("seen_at").alias("seen"))
+    own = rows.select("window_key", "signature", F.explode("words").alias("w"))
+    seen = F.struct(*[F.col("w")[c].alias(c) for c in rows.schema["seen_at"].dataType.names])
+    own = own.groupBy("window_key", "signature", F.col("w.word").alias("word")).agg(F.sum("w.count").alias("count"), F.min(seen).alias("seen"))
     return _first_words(own.join(placed.select("window_key", "signature", "cluster"), ["window_key", "signature"]), ["window_key", "cluster"], most)
 
 

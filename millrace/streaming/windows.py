@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -223,7 +222,7 @@ class HeldAnalysis(HeldWindow):
                 count, line = content["known"].get(r.eventName, (0, r.line))
                 content["known"][r.eventName] = (count + r.n, line)
                 continue
-            k, opened = placer.place([dict(t) for t in r.signature])
+            k, opened = placer.place(patterns.signed(r.signature))
             if k < 0:
                 continue
             if opened:
@@ -245,27 +244,10 @@ class HeldAnalysis(HeldWindow):
             yield {"eventName": "__analysis", "value": sum(c["count"] for c in listed), "clusters": listed}
 
 
-_ANALYSIS = f"start long, eventName string, path string, block long, ord long, line string, signature {patterns.SIGNATURE}, n long, words array<struct<word:string,count:bigint,path:string,block:bigint,ord:bigint>>"
+_ANALYSIS = patterns.distinct_schema("start long, eventName string", "path string, block long, ord long")
 _CLUSTERS = "array<struct<cluster:int,count:bigint,sample:string,sourceWords:array<struct<source:string,count:bigint>>>>"
 
 
-def _reduced_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task that reduces lines (start, eventName, place, line, signature, sources) to one for each window and pattern or signature."""
-    for batch in batches:
-        found: dict[tuple, dict] = {}
-        for r in sorted(batch.to_pylist(), key=lambda r: tuple(r[c] for c in PLACE)):
-            key = (r["start"], r["eventName"], () if r["eventName"] is not None else tuple(tuple(t.values()) for t in r["signature"]))
-            own = found.setdefault(key, r | {"n": 0, "tally": {}})
-            own["n"] += 1
-            for word in r["sources"] if r["eventName"] is None else ():
-                own["tally"].setdefault(word, {"word": word, "count": 0} | {c: r[c] for c in PLACE})["count"] += 1
-        kept = ["start", "eventName", *PLACE, "line", "signature"]
-        rows = [{c: r[c] for c in (*kept, "n")} | {"words": list(r["tally"].values())} for r in found.values()]
-        word = pa.struct([("word", pa.string()), ("count", pa.int64()), ("path", pa.string()), ("block", pa.int64()), ("ord", pa.int64())])
-        schema = pa.schema([*[batch.schema.field(c) for c in kept], ("n", pa.int64()), ("words", pa.list_(word))])
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-
 def with_heartbeat(rows: DataFrame, lag: str) -> DataFrame:
     """rows (with ts) and beat: also a row each second whose ts is the clock's time less lag, and beat true.
 
@@ -301,9 +283,8 @@ def held_windows(task: LogTask, lines: DataFrame, delay: str, idle: str | None =
     if task.analysing:
         conf = task.group.get("logAnalysis") or {}
         known = patterns.known_pattern(conf.get("patterns") or [], scope)
-        signature, sources = patterns.compared(F.col("line"), conf.get("maxLogLength") or patterns.MAX_LENGTH)
-        rows = front.select(start.alias("start"), known.alias("eventName"), *place, "line", signature.alias("signature"), sources.alias("sources"))
-        reduced = rows.mapInArrow(_reduced_lines, _ANALYSIS)
+        rows = patterns.compared(front.select(start.alias("start"), known.alias("eventName"), *place, "line"), conf.get("maxLogLength") or patterns.MAX_LENGTH, F.col("eventName").isNull())
+        reduced = rows.select("start", "eventName", *PLACE, "line", "signature", "sources").mapInArrow(patterns.distinct_lines(["start", "eventName"], PLACE), _ANALYSIS)
         held = HeldAnalysis(task.interval_ms, conf.get("maxUnknownPatterns") or patterns.MAX_PATTERNS)
         return reduced.groupBy("start").transformWithStateInPandas(held, f"kind string, start long, late long, eventName string, value long, line string, clusters {_CLUSTERS}", "Append", "EventTime")
     kinds = [v.get("agg") or "count" for v in task.values]

@@ -102,3 +102,27 @@ def test_source_words_of_clusters(spark):
     assert "sourceWords" not in logs[1]
     whole = spark.createDataFrame([(0, "a", f"host{k}.com") for k in range(70)], "ord long, g string, line string")
     assert patterns.source_words(whole, ["g"]).count() == 61
+
+
+def test_lines_are_reduced_in_their_task(spark, monkeypatch):
+    """A task passes on its different signatures, not its lines; what it holds is bounded, and nothing is lost by passing on early."""
+    texts = ["request failed,host1.com,giving up", "disk nearly full today", "", "request failed,host2.com,giving up"]
+    lines = [(k, 0, "", texts[k % 4]) for k in reversed(range(2000))]
+    df = windowed(spark, lines).repartition(2)
+    reduced = patterns._signed(df, "window_start", 300).collect()
+    # Both hosts are source words of one size, so their lines have one signature.
+    assert len(reduced) <= 2 * 3 and sum(r["count"] for r in reduced) == 2000
+    first = {r["signature"]: r for r in sorted(reduced, key=lambda r: r["seen_at"], reverse=True)}
+    assert {r["seen_at"]["ord"]: r["line"] for r in first.values()} == dict(enumerate(texts[:3]))
+    words = [(w["word"], w["count"], w["ord"]) for r in reduced for w in r["words"]]
+    assert {w: sum(n for x, n, _ in words if x == w) for w, *_ in words} == {"host1.com": 500, "host2.com": 500}
+    assert min(words, key=lambda w: w[2])[::2] == ("host1.com", 0)
+    row = df.select(patterns.signature(F.col("line")).alias("s"), patterns.signature_text(patterns.signature(F.col("line"))).alias("t")).distinct().collect()
+    for r in row:
+        assert patterns.signed(r["t"]) == [{k: v for k, v in t.asDict().items() if k != "word"} for t in r["s"]]
+    import pyarrow as pa
+
+    monkeypatch.setattr(patterns, "HELD_LINES", 2)
+    batches = [pa.RecordBatch.from_pylist([{"w": 1, "ord": 10 * b + k, "line": f"l{10 * b + k}", "signature": f"a{k},2,", "sources": []} for k in range(3)], pa.schema([("w", pa.int64()), ("ord", pa.int64()), ("line", pa.string()), ("signature", pa.string()), ("sources", pa.list_(pa.string()))])) for b in range(3)]
+    out = [b.num_rows for b in patterns.distinct_lines(["w"], ["ord"])(iter(batches))]
+    assert out == [3, 3, 3]
