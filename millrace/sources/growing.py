@@ -6,8 +6,8 @@ end waits. A file is known by its device and inode, so one that is renamed is no
 again, and one that is replaced or cut short is read from its start.
 
 The files have to be seen by driver and executors at the same paths, such as log volumes
-that all of them mount. A range of a file larger than a split is read by several tasks:
-a line belongs to the split in which it starts.
+that all of them mount. A range of a file is read in splits, and a line belongs to the split in
+which it starts. A task reads several splits where a micro-batch has many more than tasks.
 """
 
 from __future__ import annotations
@@ -25,13 +25,35 @@ from millrace.sources.logs import checked_glob, shaped
 
 SCHEMA = "path string, block long, ord long, value string"
 SPLIT_BYTES, READ_BYTES, BATCH_ROWS = 64 << 20, 1 << 20, 10_000
+#: A task reads one split in so many of a micro-batch, and up to SPLIT_BYTES, unless a split is larger.
+TASKS = 64
 
 
-class Split(InputPartition):
+class Split:
     def __init__(self, path: str, identity: str, pattern: str, first: int, stop: int, begins: int):
         self.path, self.identity, self.pattern, self.first, self.stop, self.begins = path, identity, pattern, first, stop, begins
 
 
+class Splits(InputPartition):
+    """The splits that one task reads, in order."""
+
+    def __init__(self, splits: list[Split]):
+        self.splits = splits
+
+
+def dealt(splits: list[Split]) -> list[Splits]:
+    """All splits, as few tasks as the bytes of a task allow."""
+    most = min(SPLIT_BYTES, -(-sum(s.stop - s.first for s in splits) // TASKS))
+    out, size = [Splits([])], 0
+    for s in splits:
+        if out[-1].splits and size + s.stop - s.first > most:
+            out.append(Splits([]))
+            size = 0
+        out[-1].splits.append(s)
+        size += s.stop - s.first
+    return out
+
+
 def identity(path: str) -> tuple[str, int] | None:
     """(device and inode, size) of a file; None if it has gone."""
     try:
@@ -87,18 +109,32 @@ class GrowingReader(DataSourceStreamReader):
             _, read, old = before.get(key, [path, 0, generation])
             first = read if old == generation else 0
             out += [Split(path, key, self.pattern, at, min(at + self.split, stop), first) for at in range(first, stop, self.split)]
-        return out or [Split("", "", "", 0, 0, 0)]
+        return dealt(out)
+
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, str]] = []
+        path = None
+        for split in partition.splits:
+            if rows and split.path != path:
+                yield _batch(path, rows)
+                rows = []
+            path = split.path
+            for row in self.lines(split):
+                rows.append(row)
+                if len(rows) == BATCH_ROWS:
+                    yield _batch(path, rows)
+                    rows = []
+        if rows:
+            yield _batch(path, rows)
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        if not split.path:
-            return
+    def lines(self, split: Split) -> Iterator[tuple[int, str]]:
+        """(position, text) of the lines that start in a split."""
         path = split.path
         if (found := identity(path)) is None or found[0] != split.identity:
             # Renamed since the offset was taken.
             path = next((p for p in glob.glob(os.path.join(os.path.dirname(path), "*")) if (identity(p) or ("", 0))[0] == split.identity), None)
             if path is None:
                 raise FileNotFoundError(f"{split.path} went before it was read")
-        rows: list[tuple[int, str]] = []
         with open(path, "rb") as file:
             at = split.first
             if at > split.begins:
@@ -107,13 +143,8 @@ class GrowingReader(DataSourceStreamReader):
                 at += len(file.readline()) - 1
             file.seek(at)
             while at < split.stop and (raw := file.readline()):
-                rows.append((at, raw.removesuffix(b"\n").decode("utf-8", "replace")))
+                yield at, raw.removesuffix(b"\n").decode("utf-8", "replace")
                 at += len(raw)
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(split.path, rows)
-                    rows = []
-        if rows:
-            yield _batch(split.path, rows)
 
     def commit(self, end: dict) -> None:
         pass

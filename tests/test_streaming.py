@@ -127,3 +127,20 @@ def test_multiline(spark, tmp_path, what, want):
     finally:
         query.stop()
     assert got == want
+
+
+def test_growing_files_in_few_tasks(tmp_path):
+    """Tasks do not grow with the number of splits; each line is read once, with its place."""
+    want = []
+    for name in "ab":
+        text = [f"{name} {k} " + "x" * (k % 40) for k in range(3000)]
+        (tmp_path / f"{name}.log").write_text("\n".join(text) + "\n")
+        at = 0
+        for line in text:
+            want.append((str(tmp_path / f"{name}.log"), at, line))
+            at += len(line) + 1
+    reader = growing.GrowingReader({"path": f"{tmp_path}/*.log", "splitBytes": "32"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) <= growing.TASKS + 4
+    got = [(r["path"], r["ord"], r["value"]) for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    assert sorted(got) == sorted(want)
