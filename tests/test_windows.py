@@ -179,3 +179,17 @@ def test_capped_parts_take_rows_in_pieces():
     late = held.frame([{"kind": "late", "start": 0, "late": 4}])
     found = pd.concat(list(windows._first_groups(2)(iter([rows, other, late]))))
     assert sorted(k[0] for k in found[found["kind"] == "row"]["keys"]) == ["c", "e"] and found["late"].sum() == 4
+
+
+def test_analysis_holds_signatures_as_text():
+    """Rows of a window come as texts of signatures, several times for one, and meet the clusters in order of place."""
+    import pandas as pd
+
+    def row(name, place, text, n, words=()):
+        return {"start": 0, "eventName": name, "signature": text, "path": "p", "block": 0, "ord": place, "line": f"l{place}", "n": n, "words": list(words)}
+
+    held = windows.HeldAnalysis(1000, 1)
+    content = held.empty()
+    held.add(content, iter([pd.DataFrame([row(None, 9, "request,7,", 2), row("six", 8, None, 3)]), pd.DataFrame([row(None, 3, "request,7,", 4), row(None, 5, "other,5,", 1), row("six", 1, None, 1)])]))
+    assert [(r["eventName"], r["value"]) for r in held.rows(content)] == [("six", 4), ("__analysis", 6)]
+    assert content["known"]["six"] == (4, "l1") and content["clusters"][0]["line"] == "l3"
